@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from subsidia.llm.language_id import op5_language_id
 from subsidia.llm.license_scans import op4_license_scans
 from subsidia.llm.mixing import OP3_SQL, op3_source_mix
 from subsidia.llm.secret_scans import op6_secret_scans
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
     "op4_license_scans": op4_license_scans,
+    "op5_language_id": op5_language_id,
     "op6_secret_scans": op6_secret_scans,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_source_mix": OP3_SQL}
