@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from subsidia.llm.jaccard_join import op9_ngram_jaccard
 from subsidia.llm.language_id import op5_language_id
 from subsidia.llm.license_scans import op4_license_scans
 from subsidia.llm.mixing import OP3_SQL, op3_source_mix
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scans": op4_license_scans,
     "op5_language_id": op5_language_id,
     "op6_secret_scans": op6_secret_scans,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_source_mix": OP3_SQL}
