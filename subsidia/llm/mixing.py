@@ -73,7 +73,7 @@ def _copies(targets: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words the mix takes of each document.
 
-    Returns one row per input row: id, size, source_size, target, copies and
+    Returns one row per input row: id, source, size, source_size, target, copies and
     taken.  ``copies`` is how often the document is in the mix and ``taken`` is
     that times its size.  A null source is a source of its own; null and empty
     texts have size 0; rows with equal ids share a hash and are taken or left
@@ -98,7 +98,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: i
     plan = materialize(plan.select("p.source", "source_size", "target", "copies", F.coalesce("limit", F.lit(1 << HASH_BITS)).alias("limit")), "mix-plan")
     out = base.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = F.col("copies") + (F.col("hash") < F.col("limit")).cast("bigint")
-    return out.select(F.col("d.id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _boundary(histogram: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from subsidia.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from subsidia.llm.jaccard_join import op9_ngram_jaccard
 from subsidia.llm.language_id import op5_language_id
 from subsidia.llm.license_scans import op4_license_scans
 from subsidia.llm.mixing import OP3_SQL, op3_source_mix
+from subsidia.llm.packing import op10_packing
 from subsidia.llm.secret_scans import op6_secret_scans
 from subsidia.llm.token_counts import op2_token_counts
+from subsidia.llm.topk_search import OP7_SQL, op7_topk_search
 from subsidia.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scans": op4_license_scans,
     "op5_language_id": op5_language_id,
     "op6_secret_scans": op6_secret_scans,
+    "op7_topk_search": op7_topk_search,
+    "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_source_mix": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_source_mix": OP3_SQL, "op7_topk_search": OP7_SQL, "op8_exact_dedup": OP8_SQL}
