@@ -13,10 +13,10 @@ and puts shingles in order; any order gives the same result.
 
 Sets that are equal are one node from the start.  Links within a group of
 copies are not all expanded: first each node is compared with the first node
-of its lists (a star), the links found are closed to components, and then all
-pairs that pass the occurrence bound are compared unless both nodes already
-are in one component.  No link between different components is lost, so the
-components are exact.
+of its lists (a star), and in large lists with some more of their nodes, the
+links found are closed to components, and then all pairs that pass the
+occurrence bound are compared unless both nodes already are in one component.
+No link between different components is lost, so the components are exact.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SAMPLED, LONG = 16, 4
 MAX_LONG, MAX_BROADCAST = 1_000_000, 500_000
 #: Sets of a long list that one task orders at a time.
 PER_SALT = 50_000
+#: Lists of this many sets are contracted further before all pairs are compared, in rounds with so many leaders each.
+LARGE, CENTRAL_LEADERS, LEADERS = 64, (4, 4), (16, 16, 16, 16)
 CACHED_WORDS = 400_000
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -152,7 +154,7 @@ def _occurring(pairs: DataFrame) -> DataFrame:
     both = F.col("an") + F.col("bn")
     needed = F.ceil(both * 4 / F.lit(9.0) - 1e-9) - F.greatest("arest", "brest")
     sized = pairs.where(F.least("an", "bn") * 5 >= F.greatest("an", "bn") * 4)
-    return sized.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(needed).alias("needed")).where("c >= needed").select("a", "b")
+    return sized.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(needed).alias("needed")).where("c >= needed").select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -189,6 +191,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return with_sets.mapInPandas(probed, "a long, b long")
 
 
+def _placed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    return lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _contracted(lists: DataFrame, joined: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components after further stars in the large lists that still hold several of them.
+
+    Each round compares leaders of a list with its nodes of other components.
+    First they are nodes with the largest share of their short lists among the
+    large ones (in steps of a twentieth), for what a group has in common is
+    densest there; then any nodes, by another hash each time.  Links may be
+    found here or not; the pass over all pairs that follows finds the others.
+    """
+    long = lists.groupBy("shingle").count().where(F.col("count") >= LARGE).select("shingle")
+    lists = lists.join(materialize(long, "large"), "shingle", "left_semi").select("shingle", "node", "n", "rest")
+    share = F.count("*").over(Window.partitionBy("node")) / (F.col("n") - F.col("rest"))
+    lists = materialize(lists.withColumn("outer", F.floor((1 - share) * 20).cast("int")), "large-lists")
+    tried = 0
+    for central, number in [*((True, n) for n in CENTRAL_LEADERS), *((False, n) for n in LEADERS)]:
+        placed = _placed(lists, joined)
+        one = F.struct("node", "n", "rest", "component")
+        seeds = [F.xxhash64("node", F.lit(tried + k)) for k in range(number)]
+        leaders = F.array(*[F.min_by(one, F.struct("outer", seed) if central else seed) for seed in seeds])
+        tried += number
+        mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array_distinct(leaders).alias("leaders")).where("low <> high")
+        other = F.filter("leaders", lambda x: (x["component"] != F.col("component")) & (F.least(x["n"], F.col("n")) * 5 >= F.greatest(x["n"], F.col("n")) * 4))
+        met = placed.join(mixed.select("shingle", "leaders"), "shingle").withColumn("leader", F.explode(other))
+        met = met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("leader.node").alias("b"), F.col("leader.n").alias("bn"), F.col("leader.rest").alias("brest"))
+        pairs = materialize(_occurring(met), "round-pairs")
+        if pairs.isEmpty():
+            break
+        links = materialize(_verified(pairs, nodes, docs), "round-links")
+        if links.isEmpty():
+            if central:
+                continue
+            break
+        joined = materialize(components(links.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "round-components")
+    return joined
+
+
 def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the links between documents with a shingle similarity of 0.8 or more.
 
@@ -227,7 +269,9 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links = materialize(_verified(first_pairs, nodes, named), "star-links")
     joined = materialize(components(links, "a", "b"), "star-components")
 
-    placed = lists.drop("lead", "size_class", "salt").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = lists.drop("lead", "size_class", "salt")
+    joined = _contracted(lists, joined, nodes, named)
+    placed = _placed(lists, joined)
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     placed = materialize(placed.join(mixed, "shingle", "left_semi"), "mixed-lists")
     a = placed.select("shingle", F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("component").alias("ac"))
