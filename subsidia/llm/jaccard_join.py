@@ -81,9 +81,9 @@ def node_of(found: np.ndarray) -> int:
     return int(_scrambled(total + np.full(1, len(found), np.uint64) * _ODD).view(np.int64)[0])
 
 
-def prefix_lengths(n: int) -> tuple[int, int]:
-    """Short lists of a set of n: as many as its larger or equal, and its smaller or equal partners need."""
-    return n - math.ceil(4 * n / 5) + 1, n - math.ceil(8 * n / 9) + 1
+def short_lists(n: int) -> int:
+    """How many lists of a set of n are merged; the others are fewer than it shares with any partner."""
+    return n - (4 * n + 4) // 5 + 1
 
 
 def _sets(rows: DataFrame, id_type: str) -> DataFrame:
@@ -124,9 +124,7 @@ def _short_lists(rows: DataFrame, long_lists: np.ndarray, salts: int) -> DataFra
                 n = len(found)
                 at = np.searchsorted(lists.value, found)
                 is_long = lists.value[np.minimum(at, len(lists.value) - 1)] == found if len(lists.value) else np.zeros(n, bool)
-                short = n - int(is_long.sum())
-                most, least = prefix_lengths(n)
-                take = min(most, short) if short >= least else most
+                short, take = n - int(is_long.sum()), short_lists(n)
                 kept = found[~is_long][:take]
                 salt = np.full(take, -1, np.int32)
                 if take > short:
@@ -152,7 +150,7 @@ def _entries(parts: list) -> pd.DataFrame:
 def _occurring(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) that occur on T - L lists at least; from (a, an, arest, b, bn, brest), one row for each list."""
     both = F.col("an") + F.col("bn")
-    needed = F.ceil(both * 4 / F.lit(9.0) - 1e-9) - F.greatest("arest", "brest")
+    needed = F.floor((both * 4 + 8) / F.lit(9)) - F.greatest("arest", "brest")
     sized = pairs.where(F.least("an", "bn") * 5 >= F.greatest("an", "bn") * 4)
     return sized.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(needed).alias("needed")).where("c >= needed").select("a", "b")
 
