@@ -118,12 +118,15 @@ def predict(filters: LanguageFilters, texts: list[str | None]) -> tuple[list[str
     """Language and score of each text.
 
     The score is the best language's corrected share of the sum of all shares.
-    A text that is null or has no letter is ``und`` with score 0; where no
+    A text that is null or has no letter is ``und`` with score 0, as is any text
+    where no language was learned; where no
     language has an n-gram of the text, the first language is given, score 0.
     Languages stand by number of training documents, so the more frequent one
     wins a tie.
     """
     n = len(filters.languages)
+    if not n:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
     hits, total, letters = np.zeros((len(texts), n), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
     for codes, starts, which in _pieces(texts):
         np.logical_or.at(letters, which, np.add.reduceat(codes != 0, starts) > 0)
@@ -141,11 +144,10 @@ def predict(filters: LanguageFilters, texts: list[str | None]) -> tuple[list[str
                 for bit in range(min(64, n - 64 * word)):
                     np.add.at(hits[:, 64 * word + bit], into, np.add.reduceat(((found >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), edges))
     share = np.clip((hits / np.maximum(total, 1)[:, None] - filters.false_rate) / (1 - filters.false_rate), 0, 1)
-    best = share.argmax(1) if n else np.zeros(len(texts), np.int64)
+    best = share.argmax(1)
     top, sums = share[np.arange(len(texts)), best], share.sum(1)
-    known = letters & (n > 0)
-    score = np.where(known & (sums > 0), top / np.where(sums > 0, sums, 1), 0.0)
-    return [filters.languages[b] if k else UNKNOWN for b, k in zip(best, known)], score.tolist()
+    score = np.where(letters & (sums > 0), top / np.where(sums > 0, sums, 1), 0.0)
+    return [filters.languages[b] if k else UNKNOWN for b, k in zip(best, letters)], score.tolist()
 
 
 def held_out(ident: Column) -> Column:
