@@ -27,6 +27,10 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+#: Shards of the state, each a RocksDB instance of its own with some MB of files; fixed for the life of a state.
+STATE_SHARDS = 24
+#: Digests of repeated texts that are broadcast at most, counted first.
+MAX_BROADCAST = 500_000
 
 
 def sha256(text: Column) -> Column:
@@ -54,14 +58,14 @@ def _located(docs: DataFrame, columns: list[Column]) -> DataFrame:
     return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def keep_state(spark: SparkSession, slim: str, state: str, out: str, schema, files_per_batch: int | None = None) -> list[int]:
+def keep_state(spark: SparkSession, slim: str, state: str, out: str, schema, files_per_batch: int | None = None, shards: int = STATE_SHARDS) -> list[int]:
     """Streams the slim rows that are new in folder ``slim`` into the state and writes each batch's changed groups to ``out``.
 
     Returns the numbers of the batches.  A second call with the same ``state``
     continues where the first one ended.
     """
     session, batches = spark.newSession(), []
-    for key, value in (_STATE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+    for key, value in (_STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(shards)}).items():
         session.conf.set(key, value)
     reader = session.readStream.schema(schema)
     if files_per_batch:
@@ -101,7 +105,8 @@ def group_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     groups = groups.select("digest", "keep", "group_size")
 
     hits = materialize(groups.where("group_size > 1").select("digest"), "dedup-hits")
-    texts = docs.select(digest(text).alias("digest"), text.alias("text")).join(hits, "digest", "left_semi")
+    few = F.broadcast(hits) if hits.count() <= MAX_BROADCAST else hits
+    texts = docs.select(digest(text).alias("digest"), text.alias("text")).join(few, "digest", "left_semi")
     bytes_read = texts.groupBy("digest", "text").agg(F.count("*").alias("n"))
     clashing = materialize(bytes_read.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-clashing")
     rows = slim.join(groups, "digest")
