@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def build_session(master: str = "local[*]", app_name: str = "subsidia", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC timestamps and Arrow on."""
     settings = {
@@ -32,8 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
+    if not _is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -43,7 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/subsidia/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; a local-mode session removes it when Python ends."""
+    path = f"{shared_dir(spark)}/subsidia/{name}-{uuid.uuid4().hex}"
+    if _is_local(spark) and (path.startswith("file:") or path.startswith("/")):
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

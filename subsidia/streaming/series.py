@@ -11,5 +11,6 @@ def windowed_means(stream: DataFrame, *, time: str = "ts", late: str = "10 days"
 
     Works alike on a stream and on a table.
     """
-    rows = stream.withWatermark(time, late) if stream.isStreaming else stream
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if stream.isStreaming else rows
     return rows.groupBy("code", "track", F.window(time, width)).agg(F.avg("displacement").alias("displacement"), F.count("*").alias("n")).select("code", "track", F.col("window.start").alias("start"), "displacement", "n")
