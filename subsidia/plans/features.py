@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subsidia.functions.geo import along_cross, vertical_proxy
-from subsidia.operators import assign, groups, rollup, score, series
+from subsidia.operators import assign, groups, neighbours, rollup, score, series
 from subsidia.operators.cluster import cluster_points
 from subsidia.operators.coloring import color_buildings
 from subsidia.plans.catalog import query
@@ -259,6 +259,34 @@ def pair_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("building_id", "neighbour_id", "track", F.round(score.pair_consistency(F.col("motion"), F.col("their_motion"), F.col("reliability"), F.col("their_reliability")), 6).alias("score"))
 
 
+@query("neighbour_support", f"""
+WITH {_RANKS}, {_CLUSTERED},
+n AS (SELECT a.building_id, b.building_id AS neighbour_id FROM v_buildings a JOIN v_buildings b ON a.building_id <> b.building_id AND sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= 21),
+e AS (SELECT * FROM y WHERE reliable AND reliability IS NOT NULL),
+p AS (SELECT n.building_id, n.neighbour_id, a.track, b.cluster_id, CASE WHEN sign(a.median_vertical) <> sign(b.median_vertical) THEN 0 ELSE
+  greatest(0, least(1, exp(-abs(a.median_vertical - b.median_vertical) / greatest(1.5, 0.2 * greatest(abs(a.median_vertical), abs(b.median_vertical), 1))) * sqrt(a.reliability * b.reliability))) END AS score
+  FROM n JOIN y a ON n.building_id = a.building_id AND a.is_main JOIN e b ON n.neighbour_id = b.building_id AND a.track = b.track),
+k AS (SELECT *, row_number() OVER (PARTITION BY building_id, neighbour_id ORDER BY round(score, 9) DESC, cluster_id, track) AS k FROM p WHERE score >= 0.6),
+s AS (SELECT building_id, count(*) AS supporters, count(DISTINCT track) AS tracks, avg(score) AS mean FROM k WHERE k = 1 GROUP BY building_id),
+c AS (SELECT DISTINCT n.building_id FROM n JOIN y o ON n.building_id = o.building_id JOIN e ON n.neighbour_id = e.building_id AND o.track = e.track),
+b AS (SELECT building_id, count(*) AS candidates FROM n GROUP BY building_id)
+SELECT b.building_id, b.candidates, c.building_id IS NOT NULL AS context, coalesce(supporters, 0) AS supporters, coalesce(tracks, 0) AS support_tracks,
+  round(CASE WHEN c.building_id IS NOT NULL THEN coalesce(mean, 0) END, 6) AS consistency, round(CASE WHEN c.building_id IS NOT NULL THEN coalesce(mean, 0) * least(coalesce(supporters, 0) / 2, 1) END, 6) AS event_score
+FROM b LEFT JOIN c ON b.building_id = c.building_id LEFT JOIN s ON b.building_id = s.building_id""")
+def neighbour_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = rollup.cluster_rollup(_clustered(spark, sf_dir))
+    return _rounded(neighbours.neighbour_support(clusters, assign.neighbour_candidates(adapters.buildings(spark, sf_dir), 21.0)))
+
+
+@query("neighbour_events")
+def neighbour_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings that move with their neighbours, and how many of their points fit a neighbour better."""
+    points = materialize(_placed(_clustered(spark, sf_dir), adapters.buildings(spark, sf_dir)), "clustered")
+    clusters = materialize(rollup.cluster_rollup(points), "clusters")
+    near = materialize(assign.neighbour_candidates(adapters.buildings(spark, sf_dir), 21.0), "near")
+    return neighbours.neighbour_events(neighbours.neighbour_support(clusters, near), neighbours.neighbour_fit(points, clusters, near))
+
+
 def anomaly_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The whole run over the adapters: scored points and building roll-ups.
 
