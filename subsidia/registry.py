@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subsidia.plans import features, ingest, service
+from subsidia.plans import features, ingest, report, service
 from subsidia.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "features", "ingest", "service"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "features", "ingest", "report", "service"]
 
 FLAGSHIP = features.anomaly_buildings
