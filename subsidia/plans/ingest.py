@@ -149,3 +149,22 @@ def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cluster_hulls")
 def cluster_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.cluster_hulls(adapters.points(spark, sf_dir), ["building_id", "track"]).withColumn("hull", F.to_json("hull"))
+
+
+@query("raster_bilinear", f"""
+WITH g AS ({_GRID}),
+p AS (SELECT code, floor((x_m - 350000) / 20 - 0.5) AS c, floor((5290200 - y_m) / 20 - 0.5) AS r, (x_m - 350000) / 20 - 0.5 - floor((x_m - 350000) / 20 - 0.5) AS a, (5290200 - y_m) / 20 - 0.5 - floor((5290200 - y_m) / 20 - 0.5) AS b FROM v_points)
+SELECT p.code, round(g0.e * (1 - a) * (1 - b) + g1.e * a * (1 - b) + g2.e * (1 - a) * b + g3.e * a * b, 9) AS value
+FROM p LEFT JOIN g g0 ON g0.c = p.c AND g0.r = p.r LEFT JOIN g g1 ON g1.c = p.c + 1 AND g1.r = p.r LEFT JOIN g g2 ON g2.c = p.c AND g2.r = p.r + 1 LEFT JOIN g g3 ON g3.c = p.c + 1 AND g3.r = p.r + 1""")
+def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = adapters.table(spark, sf_dir, "customer").selectExpr("CAST((c_custkey - c_custkey % 40) / 40 AS INT) AS row", "CAST(c_custkey % 40 AS INT) AS col", "CAST(c_nationkey * 3 + c_custkey % 7 AS DOUBLE) AS elevation")
+    return ingest.sample_bilinear(adapters.points(spark, sf_dir), grid, "code", 350000, 5290200, 20.0).select("code", F.round("value", 9).alias("value"))
+
+
+@query("zone_cells", """
+WITH z AS (SELECT CAST(building_id AS BIGINT) AS zone, unnest(range(CAST(floor((cx - hw) / 10) AS BIGINT), CAST(floor((cx + hw) / 10) AS BIGINT) + 1)) AS cell_x, cy, hh FROM v_buildings),
+y AS (SELECT zone, cell_x, unnest(range(CAST(floor((cy - hh) / 10) AS BIGINT), CAST(floor((cy + hh) / 10) AS BIGINT) + 1)) AS cell_y FROM z)
+SELECT cell_x, cell_y, max(zone) AS zone FROM y GROUP BY cell_x, cell_y""")
+def zone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = adapters.buildings(spark, sf_dir).withColumn("zone", F.col("building_id").cast("long"))
+    return ingest.zone_cells(zones, 10.0)

@@ -160,3 +160,25 @@ def decode_hgt(data: bytes) -> list[tuple[int, int, float | None]]:
     values = np.frombuffer(data, ">i2")
     n = math.isqrt(len(values))
     return [(i // n, i % n, None if v == -32768 else float(v)) for i, v in enumerate(values.tolist())]
+
+
+def sample_bilinear(points: DataFrame, grid: DataFrame, key: str, x0: float, y0: float, cell: float) -> DataFrame:
+    """(key, value) at points by bilinear interpolation between the four nearest cell centres; null if one of them is missing.
+
+    Each point asks for its four cells, so the raster is joined by cell.
+    """
+    u, v = (F.col("x_m") - x0) / cell - 0.5, (y0 - F.col("y_m")) / cell - 0.5
+    rows = points.select(key, F.floor(u).cast("int").alias("c"), F.floor(v).cast("int").alias("r"), (u - F.floor(u)).alias("a"), (v - F.floor(v)).alias("b"))
+    corner = lambda dr, dc, w: F.struct((F.col("r") + dr).alias("row"), (F.col("c") + dc).alias("col"), w.alias("w"))
+    a, b = F.col("a"), F.col("b")
+    asked = rows.select(key, F.explode(F.array(corner(0, 0, (1 - a) * (1 - b)), corner(0, 1, a * (1 - b)), corner(1, 0, (1 - a) * b), corner(1, 1, a * b))).alias("q")).select(key, "q.*")
+    met = asked.join(grid.select("row", "col", "elevation"), ["row", "col"], "left")
+    return met.groupBy(key).agg(F.when(F.count("elevation") == 4, F.sum(F.col("w") * F.col("elevation"))).alias("value"))
+
+
+def zone_cells(zones: DataFrame, cell: float) -> DataFrame:
+    """(cell_x, cell_y, zone) of all cells that a zone's box touches; of several zones the last one by ``zone``."""
+    from subsidia.operators.assign import with_cells
+
+    touched = with_cells(zones, F.col("cx") - F.col("hw"), F.col("cy") - F.col("hh"), F.col("cx") + F.col("hw"), F.col("cy") + F.col("hh"), cell)
+    return touched.groupBy("cell_x", "cell_y").agg(F.max("zone").alias("zone"))
