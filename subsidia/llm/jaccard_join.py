@@ -42,8 +42,10 @@ MAX_LONG, MAX_BROADCAST = 1_000_000, 500_000
 #: Sets of a long list that one task orders at a time.
 PER_SALT = 50_000
 #: Lists of this many sets are contracted further before all pairs are compared, in rounds with so many leaders each.
-LARGE, CENTRAL_LEADERS, LEADERS = 64, (4, 4), (16, 16, 16, 16)
-CACHED_WORDS = 400_000
+LARGE, CENTRAL_LEADERS, LEADERS = 64, (4, 4), (16,)
+CACHED_WORDS = 150_000
+#: Documents whose whole sets a task holds at a time.
+SETS_AT_ONCE = 256
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -168,9 +170,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            found = [shingles(text, hashes) for text in batch["text"]]
-            same = [bool(len(s)) and node_of(s) == node for s, node in zip(found, batch["node"])]
-            yield pd.DataFrame({"node": [n for n, ok in zip(batch["node"], same) if ok], "found": [s.tobytes() for s, ok in zip(found, same) if ok]})
+            for at in range(0, len(batch), SETS_AT_ONCE):
+                some = batch.iloc[at : at + SETS_AT_ONCE]
+                sets = ((node, shingles(text, hashes)) for node, text in zip(some["node"], some["text"]))
+                kept = [(node, found.tobytes()) for node, found in sets if len(found) and node_of(found) == node]
+                yield pd.DataFrame(kept, columns=["node", "found"])
 
     sets = docs.join(side, "doc_id").select("node", "text").mapInPandas(made, "node long, found binary").dropDuplicates(["node"])
     sets = materialize(sets, "sets")
@@ -236,7 +240,9 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     smallest id that links reach.  Texts of fewer than five words have one
     shingle, the whole sequence.  Null texts and texts without words have an
     empty set and are linked with nothing, their component is their own id.
-    Repeated rows have equal sets and one component; other columns are ignored.
+    Repeated rows have equal sets and one component.  Rows with a null id have
+    the component of rows with the same set; where there are none, they are
+    linked with nothing and it is null.  Other columns are ignored.
     """
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
