@@ -8,8 +8,8 @@ occur on T - L of those at least.  Partners that do are looked up in the long
 lists by binary search, which gives the exact overlap.
 
 The merge of lists is Spark's sort by shingle, the heap of the search spread
-over the cluster.  Which lists are long is estimated on a sample of the sets
-and puts shingles in order; any order gives the same result.
+over the cluster.  Which lists are long comes from counts over all sets (lossy
+counting) and puts shingles in order; any order gives the same result.
 
 Sets that are equal are one node from the start.  Links within a group of
 copies are not all expanded: first each node is compared with the first node
@@ -35,8 +35,8 @@ from subsidia.llm.graph import components
 from subsidia.session import materialize
 
 WORDS = 5
-#: One set in this many is in the sample that tells long lists; lists with this many sampled sets are long.
-SAMPLED, LONG = 16, 4
+#: Lists with this many sets are long; shingles are counted in windows of so many.
+LONG, WINDOW = 64, 2_000_000
 #: The long lists that are told apart, longest first; and the most documents whose ids are broadcast.
 MAX_LONG, MAX_BROADCAST = 1_000_000, 500_000
 #: Sets of a long list that one task orders at a time.
@@ -89,21 +89,39 @@ def short_lists(n: int) -> int:
 
 
 def _sets(rows: DataFrame, id_type: str) -> DataFrame:
-    """doc_id, node, n, and the set itself for one node in ``SAMPLED``."""
+    """Rows (doc_id, node, n) for the documents, and rows (shingle, times) that count the sets of each shingle.
+
+    A task counts all its sets in windows and forgets a window's shingles that
+    stand in one set only, so a count falls short by one a window at most.
+    """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
+        hashes, seen, window, held = _WordHashes(), set(), [], 0
         for batch in batches:
-            nodes, sizes, sample = [], [], []
+            nodes, sizes = [], []
             for text in batch["text"]:
                 found = shingles(text, hashes)
                 node = node_of(found) if len(found) else 0
                 nodes.append(node)
                 sizes.append(len(found))
-                sample.append(found.view(np.int64) if len(found) and node % SAMPLED == 0 else None)
-            yield pd.DataFrame({"doc_id": batch["id"], "node": nodes, "n": sizes, "sample": sample})
+                if len(found) and node not in seen:
+                    seen.add(node)
+                    window.append(found)
+                    held += len(found)
+                if held >= WINDOW:
+                    yield _counted(window)
+                    window, held = [], 0
+            yield pd.DataFrame({"doc_id": batch["id"], "node": nodes, "n": sizes, "shingle": None, "times": None})
+        if window:
+            yield _counted(window)
+
+    return rows.mapInPandas(made, f"doc_id {id_type}, node long, n long, shingle long, times long")
+
 
-    return rows.mapInPandas(made, f"doc_id {id_type}, node long, n long, sample array<long>")
+def _counted(window: list[np.ndarray]) -> pd.DataFrame:
+    found, times = np.unique(np.concatenate(window), return_counts=True)
+    kept = times > 1
+    return pd.DataFrame({"doc_id": None, "node": None, "n": None, "shingle": found[kept].view(np.int64), "times": times[kept]})
 
 
 def _short_lists(rows: DataFrame, long_lists: np.ndarray, salts: int) -> DataFrame:
@@ -247,13 +265,13 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named = rows.withColumnRenamed("id", "doc_id")
-    known = materialize(_sets(rows, id_type), "sets-by-document")
+    sets = materialize(_sets(rows, id_type), "sets-by-document")
+    known = sets.where("node IS NOT NULL").select("doc_id", "node", "n")
     filled = known.where("n > 0")
     nodes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
 
-    sampled = filled.where("sample IS NOT NULL").groupBy("node").agg(F.first("sample").alias("sample"))
-    frequent = sampled.select(F.explode("sample").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= LONG)
-    frequent = frequent.orderBy(F.desc("count"), "shingle").limit(MAX_LONG).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    frequent = sets.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= LONG)
+    frequent = frequent.orderBy(F.desc("times"), "shingle").limit(MAX_LONG).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     salts = max(1, math.ceil(nodes.count() / PER_SALT))
     entries = _short_lists(rows, np.sort(frequent.view(np.uint64)), salts).withColumn("size_class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
 
@@ -289,7 +307,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     placed = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     placed = placed.join(smallest, "component").select("node", "component_id")
-    out = known.drop("sample").join(placed, "node", "left")
+    out = known.join(placed, "node", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

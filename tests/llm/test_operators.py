@@ -268,7 +268,7 @@ def test_near_copies(spark):
 
 def test_near_copies_in_large_lists(spark, monkeypatch):
     """All lists count as long and large, so that every path runs."""
-    monkeypatch.setattr(jaccard_join, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard_join, "WINDOW", 5000)
     monkeypatch.setattr(jaccard_join, "LONG", 2)
     monkeypatch.setattr(jaccard_join, "LARGE", 2)
     monkeypatch.setattr(jaccard_join, "PER_SALT", 20)
