@@ -29,7 +29,7 @@ from subsidia.session import materialize
 SIZE = 1024
 #: Pieces of one length that a task numbers at a time, about.
 PER_BUCKET = 100_000
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 150_000
 
 
 class _ChunkIds(dict):
@@ -46,31 +46,42 @@ class _ChunkIds(dict):
         return found
 
 
+def _load(tokenizer_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path)
+
+
+def special_tokens(tokenizer_path: str) -> list[str]:
+    return [t.content for t in _load(tokenizer_path).get_added_tokens_decoder().values()]
+
+
 class ByteLevelTokenizer:
     """Ids of a byte-level BPE vocabulary.
 
     A blank between two other characters that are no white space always begins
     a pre-token, so a text without other blanks is divided at its blanks, and
     the ids of each chunk are remembered.  Other texts are encoded whole, those
-    that contain a special token by the ``tokenizers`` file, which knows it.
+    that contain a special token by the ``tokenizers`` file, which knows it and
+    is loaded when the first such text is met.
     """
 
     _UNSAFE = re.compile(r" \s|\s |^ | $")
 
-    def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
+    def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str, special: list[str] | None = None):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer_path, self.tokenizer = tokenizer_path, None
+        self.special = special_tokens(tokenizer_path) if special is None else special
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks = _ChunkIds(self.encode)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self.special):
+            self.tokenizer = self.tokenizer or _load(self.tokenizer_path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self._UNSAFE.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
@@ -139,10 +150,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
     is the end id alone.  Repeated rows are packed each; an empty table gives
     no pieces; other columns are ignored.
     """
-    id_type = dict(docs.dtypes)[id_col]
+    id_type, special = dict(docs.dtypes)[id_col], special_tokens(tokenizer_path)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, end = ByteLevelTokenizer(tokenizer_path, ranks_path, pattern), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = ByteLevelTokenizer(tokenizer_path, ranks_path, pattern, special), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for ident, text in zip(batch["id"], batch["text"]):
