@@ -3,7 +3,8 @@
 Base kinds are strong by themselves.  A bare 40-character key or an endpoint
 is weak: it is reported only where its complements stand in the same scope, a
 block of lines that no empty line divides.  Access identifiers, keys and
-endpoints are joined scope by scope, so the work is linear in the text.
+endpoints are paired by position scope by scope: ranks among the spans in
+text order give the nearest ones, so no pairs of all with all are made.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE = 12
-#: A bare key: 40 characters of which some are upper case, some lower case and some digits.
-BARE_KEY = r"(?<![A-Za-z0-9/+=])(?=[A-Za-z/+]{0,39}[0-9])(?=[A-Z0-9/+]{0,39}[a-z])(?=[a-z0-9/+]{0,39}[A-Z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
+#: A bare key: 40 characters of which some are upper case, some lower case and some digits; it may follow the '=' of an assignment.
+BARE_KEY = r"(?<![A-Za-z0-9/+])(?=[A-Za-z/+]{0,39}[0-9])(?=[A-Z0-9/+]{0,39}[a-z])(?=[a-z0-9/+]{0,39}[A-Z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"(?i)\b(?:https?://[^\s\"'<>]+|[a-z0-9.-]+\.amazonaws\.com)"
 _SCOPE = "\n\n"
 
@@ -35,21 +36,54 @@ def _where(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(F.array().cast(_NONE))
 
 
-def _linked(text: Column) -> Column:
-    """Weak candidates in scopes that hold an access identifier and a bare key."""
+_LINKS = "array<struct<access:struct<start:bigint,end:bigint>,key:struct<start:bigint,end:bigint>,endpoint:struct<start:bigint,end:bigint>>>"
+_PARTS = (("access", 1), ("key", 3), ("endpoint", 4))
+
+
+def _scoped(text: Column) -> Column:
+    """Spans (access, key, endpoint) of each scope that holds an access identifier and a bare key."""
 
     def by_scope(scopes: Column) -> Column:
         starts = prefix_sums(F.transform(scopes, lambda s: F.length(s).cast("bigint") + len(_SCOPE)))
-        return let(starts, lambda at: F.flatten(F.transform(scopes, lambda s, i: _where(s.rlike(ACCESS) & s.rlike(BARE_KEY), F.concat(
-            _named(match_spans(s, F.lit(BARE_KEY), 0, F.get(at, i)), "key", 3), _named(match_spans(s, F.lit(ENDPOINT), 0, F.get(at, i)), "endpoint", 4))))))
+        found = lambda s, at: F.struct(*[_named(match_spans(s, F.lit(p), 0, at), kind, order).alias(kind) for p, (kind, order) in zip((ACCESS, BARE_KEY, ENDPOINT), _PARTS)])
+        return let(starts, lambda at: F.array_compact(F.transform(scopes, lambda s, i: F.when(s.rlike(ACCESS) & s.rlike(BARE_KEY), found(s, F.get(at, i))))))
 
     return let(F.split(text, _SCOPE, -1), by_scope)
 
 
+def _nearest(spans: Column, s: Column, before: Column) -> Column:
+    """The span with the smallest gap to ``s``, the earlier one if two are as near; ``before`` of the spans start before ``s``."""
+    last, following = F.get(spans, before - 1), F.get(spans, before)
+    return F.when(following.isNull() | (s["start"] - last["end"] <= following["start"] - s["end"]), last).otherwise(following)
+
+
+def _links_of(x: Column) -> Column:
+    """Each key with its nearest identifier, and each further identifier with its nearest key; the endpoint is the key's nearest or null."""
+    near = lambda kind, s: _nearest(x[kind], s, s[f"n_{kind}"])
+    place = lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    link = lambda a, k: F.struct(place(a).alias("access"), place(k).alias("key"), place(near("endpoint", k)).alias("endpoint"))
+    further = F.filter(x["access"], lambda a: near("access", near("key", a))["start"] != a["start"])
+    return F.array_sort(F.concat(F.transform(x["key"], lambda k: link(near("access", k), k)), F.transform(further, lambda a: link(a, near("key", a)))))
+
+
+def _with_links(rows: DataFrame) -> DataFrame:
+    """``scoped`` and the ``links`` of its spans; each step is a column, as deeply nested lambdas can't be resolved."""
+    rows = rows.withColumn("merged", F.transform("scoped", lambda x: F.array_sort(F.concat(*[x[kind] for kind, _ in _PARTS]))))
+    for kind, order in _PARTS:
+        rows = rows.withColumn(f"n_{kind}", F.transform("merged", lambda m: prefix_sums(F.transform(m, lambda s: F.when(s["order"] == order, 1).otherwise(0).cast("bigint")))))  # noqa: B023
+    counts = lambda i, j: [F.get(F.get(F.col(f"n_{kind}"), i), j).cast("int").alias(f"n_{kind}") for kind, _ in _PARTS]
+    rows = rows.withColumn("ranked", F.transform("merged", lambda m, i: F.transform(m, lambda s, j: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"), *counts(i, j)))))
+    rows = rows.withColumn("parts", F.transform("ranked", lambda m: F.struct(*[F.filter(m, lambda s: s["order"] == order).alias(kind) for kind, order in _PARTS])))
+    return rows.withColumn("links", F.coalesce(F.flatten(F.transform("parts", _links_of)), F.array().cast(_LINKS)))
+
+
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Secrets of each text, as id, text and ``found``: an array of (start, order, end, kind) in text order.
+    """Secrets of each text, as id, text, ``found``, an array of (start, order, end, kind) in text order, and ``links``.
 
     Kinds in order: assign, access, hex (base), key and endpoint (linked).
+    ``links`` are the (access, key, endpoint) spans that belong together; the
+    endpoint is null where the scope has none.  An identifier and an endpoint
+    without a key are no link.
     Offsets are code points, the end exclusive.  A null text counts as empty and
     has no finds; repeated rows are scanned each; other columns are ignored.
     """
@@ -60,17 +94,23 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         _where(text.rlike(ASSIGN), _named(assign, "assign", 0)),
         _where(text.contains("AKIA"), _named(match_spans(text, F.lit(ACCESS)), "access", 1)),
         _where(text.rlike(HEX), _named(match_spans(text, F.lit(HEX)), "hex", 2)),
-        _where(text.contains("AKIA") & text.rlike(ACCESS) & text.rlike(BARE_KEY), _linked(text)),
+        F.coalesce(F.flatten(F.transform("scoped", lambda x: F.concat(x["key"], x["endpoint"]))), F.array().cast(_NONE)),
     )
-    return rows.select(F.col(id_col), text, F.array_sort(found).alias("found"))
+    rows = _with_links(rows.withColumn("scoped", F.when(text.contains("AKIA") & text.rlike(ACCESS) & text.rlike(BARE_KEY), _scoped(text))))
+    return rows.select(F.col(id_col), text, F.array_sort(found).alias("found"), "links")
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def joined_links(links: Column) -> Column:
+    at = lambda s: F.concat_ws(":", s["start"], s["end"])
+    return F.array_join(F.transform(links, lambda x: F.concat_ws("-", at(x["access"]), at(x["key"]), F.when(x["endpoint"].isNotNull(), at(x["endpoint"])))), ",")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "found")
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "found", "links")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
     base = joined(F.filter("found", lambda s: s["order"] < 3))
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), joined_links(F.col("links")).alias("links"))

@@ -183,6 +183,19 @@ def test_secrets_linked(spark):
     assert got == {1: [("access", ident), ("key", key), ("endpoint", "https://x.example/a")], 2: [], 3: [("access", ident)], 4: [("access", ident)]}
 
 
+def test_secrets_linked_after_equals(spark):
+    """Keys right after '=' count, and identifiers, keys and endpoints are paired by position."""
+    keys, idents = [f"abcdEFGH1234abcdEFGH1234abcdEFGH1234abc{i}" for i in range(3)], [f"AKIAABCDEFGHIJKLMNO{c}" for c in "PQR"]
+    one = f"é\n\nexport AWS_ACCESS_KEY_ID={idents[0]}\nAWS_SECRET_ACCESS_KEY={keys[0]}\nURL=https://x.example/a"
+    many = f"{keys[0]} {idents[0]} a.amazonaws.com\nid={idents[1]}&key={keys[1]} b.amazonaws.com\n{idents[2]}\n\n{idents[2]} c.amazonaws.com\n\n{keys[2]}\n\n{idents[2]} {keys[2]}"
+    rows = [(1, one), (2, many), (3, f"{idents[0]} https://x.example/a"), (4, f"{idents[0]} key=={keys[0]}="), (5, None)]
+    got = {r.doc_id: ([r.text[s.start : s.end] for s in r.found if s.order > 2], [tuple(s and r.text[s.start : s.end] for s in x) for x in r.links]) for r in secret_scans.scan_secrets(odd(spark, rows)).collect()}
+    assert got[1] == ([keys[0], "https://x.example/a"], [(idents[0], keys[0], "https://x.example/a")])
+    a, b, c = (f"{x}.amazonaws.com" for x in "abc")
+    assert got[2] == ([keys[0], a, keys[1], b, keys[2]], [(idents[0], keys[0], a), (idents[1], keys[1], b), (idents[2], keys[1], b), (idents[2], keys[2], None)])
+    assert got[3] == got[4] == got[5] == ([], [])
+
+
 def test_secrets_digest(spark):
     rows = {r.doc_id: r for r in [*secret_scans.scan_secrets(odd(spark, [(1, "x")])).select("doc_id", F.sha2(secret_scans.joined(F.col("found")), 256).alias("h")).collect()]}
     assert rows[1].h == hashlib.sha256(b"").hexdigest()
