@@ -39,26 +39,27 @@ _PASSAGES = [
     ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     ("agpl-3.0", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("mpl-2.0", "license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("epl-2.0", "licensed", "this program and the accompanying materials are made available under the terms of the eclipse public license [12] 0"),
+    ("epl-1.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 1 0"),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     ("unlicense", "domain", "this is free and unencumbered software released into the public domain"),
     ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("bsl-1.0", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("wtfpl", "license", "do what the fuck you want to public license"),
     ("cc0-1.0", "domain", "the person who associated a work with this deed has dedicated the work to the public domain"),
-    ("cc-by", "license", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by", "redistribute", "you are free to share copy and redistribute the material in any medium or format"),
     ("proprietary", "permission", "no part of this (?:publication|work|document) may be reproduced (?:[^ ]+ ){0,30}without (?:the )?(?:prior )?(?:written )?permission"),
     ("proprietary", "reserved", "all rights reserved"),
     ("public-domain", "domain", "(?:dedicated to|released into|placed in|in) the public domain"),
     ("ofl-1.1", "license", "this font software is licensed under the sil open font license version 1 1"),
     ("artistic-2.0", "license", "everyone is permitted to copy and distribute verbatim copies of this license document"),
     ("odbl-1.0", "license", "made available under the open database license"),
-    ("openssl", "acknowledgment", "this product includes software developed by the openssl project"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
     ("python-2.0", "license", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
 ]
 
-#: Licenses by name: label, SPDX id in normalised words, keyword of the titles, titles with version, bare names.
+#: Licenses by name: label, SPDX id in normalised words, keyword of the titles, titles with version, bare names; a title without that keyword brings its own.
 _NAMED = [
-    ("mit", "mit", "license", ["the mit license mit", "opensource org licenses? mit"], ["mit license", "expat license", "x11 license", "mit x11 license"]),
+    ("mit", "mit", "license", ["the mit license mit", ("opensource", "opensource org licenses? mit")], ["mit license", "expat license", "x11 license", "mit x11 license"]),
     ("apache-1.1", "apache 1 1", "license", ["apache (?:software )?license version 1 1", "apache license 1 1"], []),
     ("apache-2.0", "apache 2 0", "license", ["apache (?:software )?license version 2 0", "apache license v?2 0", "apache 2 0 license", "asl 2 0 license"], []),
     ("apache", "apache", "license", [], ["apache license", "apache software license"]),
@@ -129,7 +130,7 @@ def license_rules() -> list[Rule]:
     rules = [Rule(label, 4, keyword, pattern, 0.98) for label, keyword, pattern in _PASSAGES]
     for label, spdx, keyword, titles, names in _NAMED:
         rules.append(Rule(label, 3, "spdx", f"spdx license identifier {spdx}(?: only| or later)?", 0.95))
-        rules += [Rule(label, 2, keyword, pattern, 0.85) for pattern in titles]
+        rules += [Rule(label, 2, *((keyword, title) if isinstance(title, str) else title), 0.85) for title in titles]
         rules += [Rule(label, 1, keyword, pattern, 0.6) for pattern in names]
     for part, words, name in _COMMONS:
         for version in _VERSIONS:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re._parser as sre
 import sys
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from subsidia.llm import exact_dedup, jaccard_join, language_id, license_scans, mixing, packing, registry, secret_scans, token_counts, topk_search, url_filters
+from subsidia.llm import exact_dedup, jaccard_join, language_id, license_rules, license_scans, mixing, packing, registry, secret_scans, token_counts, topk_search, url_filters
 
 #: Nulls, empty and blank texts, repeats, ties, and columns whose names the operators use themselves.
 ODD = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (2, None), (3, ""), (4, " \t\n "), (None, "the cat sat on the mat"), (5, "é" * 3000 + " x"), (6, "word " * 4000)]
@@ -128,6 +129,38 @@ def test_license_suppression(spark):
     assert (got[5].labels, got[5].score) == ("", 0.0)
 
 
+def variants(tree):
+    """Texts that a rule's pattern matches: each alternative, and optional parts left out and put in."""
+    out = [""]
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            part = [chr(arg)]
+        elif op is sre.IN:
+            part = ["x"] if arg[0][0] is sre.NEGATE else [chr(v) for _, v in arg]
+        elif op is sre.BRANCH:
+            part = [v for branch in arg[1] for v in variants(branch)]
+        elif op is sre.SUBPATTERN:
+            part = variants(arg[3])
+        elif op is sre.MAX_REPEAT:
+            part = [v * max(arg[0], 1) for v in variants(arg[2])] + [""] * (arg[0] == 0)
+        else:
+            part = ["x"]
+        out = [a + b for a in out for b in dict.fromkeys(part)]
+    return out
+
+
+def test_license_rules_fire_alone(spark):
+    """Every rule finds a text made from its own pattern, so its keyword hides no match."""
+    rules = license_rules.license_rules()
+    made = [(r, v) for r in rules for v in variants(sre.parse(r.pattern))]
+    assert [(r.label, v) for r, v in made if r.keyword not in v.split()] == []
+    got = {r.doc_id: r for r in license_scans.scan_licenses(odd(spark, [(i, v) for i, (_, v) in enumerate(made)])).collect()}
+    for i, (rule, text) in enumerate(made):
+        assert any(d.priority >= rule.priority and d.end - d.start == len(text) for d in got[i].detections), (rule, text)
+    rows = [(1, "https://opensource.org/licenses/MIT"), (2, "This product includes software developed by the OpenSSL Project."), (3, "You are free to share, copy and redistribute the material in any medium or format."), *[(3 + n, f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {n}.0") for n in (1, 2)]]
+    assert {r.doc_id: r.labels for r in license_scans.scan_licenses(odd(spark, rows)).collect()} == {1: "mit", 2: "openssl", 3: "cc-by", 4: "epl-1.0", 5: "epl-2.0"}
+
+
 # 5: languages
 
 
