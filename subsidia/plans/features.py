@@ -278,19 +278,10 @@ def neighbour_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(neighbours.neighbour_support(clusters, assign.neighbour_candidates(adapters.buildings(spark, sf_dir), 21.0)))
 
 
-@query("neighbour_events")
-def neighbour_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buildings that move with their neighbours, and how many of their points fit a neighbour better."""
-    points = materialize(_placed(_clustered(spark, sf_dir), adapters.buildings(spark, sf_dir)), "clustered")
-    clusters = materialize(rollup.cluster_rollup(points), "clusters")
-    near = materialize(assign.neighbour_candidates(adapters.buildings(spark, sf_dir), 21.0), "near")
-    return neighbours.neighbour_events(neighbours.neighbour_support(clusters, near), neighbours.neighbour_fit(points, clusters, near))
-
+def anomaly_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole run over the adapters: scored points, building roll-ups and the neighbourhood of the buildings that have points and neighbours.
 
-def anomaly_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The whole run over the adapters: scored points and building roll-ups.
-
-    The table's points have no long series, so their epochs are the adapters'.
+    Points and roll-ups have the neighbourhood's columns; it moves no point. The table's points have no long series, so their epochs are the adapters'.
     """
     buildings, points = adapters.buildings(spark, sf_dir), materialize(_assigned(spark, sf_dir), "assigned")
     tracks = track_geometry(spark).where("dataset_id = 'salzburg_snt'").select("track", "default_incidence_deg", "look_bearing_deg")
@@ -305,22 +296,44 @@ def anomaly_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     clusters = materialize(cluster_points(kept), "clusters")
     placed = gated.join(clusters.drop("building_id"), ["code", "track"], "left")
     placed = placed.withColumns({"role": F.coalesce("role", F.lit("excluded")), "outlier": F.coalesce("outlier", F.when(F.col("building_id").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))})
-    b = rollup.building_rollup(rollup.cluster_rollup(placed.where("NOT excluded")), buildings)
+    placed = materialize(placed, "placed")
+    rolled = materialize(rollup.cluster_rollup(placed.where("NOT excluded")), "cluster-rollup")
+    near = materialize(assign.neighbour_candidates(buildings.join(placed.select("building_id").distinct(), "building_id", "left_semi")), "near")
+    fits = materialize(neighbours.neighbour_fit(placed.where("NOT excluded"), rolled, near), "fits")
+    events = materialize(neighbours.neighbour_events(neighbours.neighbour_support(rolled, near), fits), "events")
+    placed = placed.join(fits.select("code", "track", "own_fit", "neighbour_id", "neighbour_cluster", "neighbour_fit", "misassigned"), ["code", "track"], "left").withColumn("misassigned", F.coalesce("misassigned", F.lit(False)))
+    b = rollup.building_rollup(rolled, buildings)
     before = placed.where("NOT excluded").groupBy("building_id").agg(F.abs(F.median(F.when(F.col("track") == 44, F.col("vertical"))) - F.median(F.when(F.col("track") == 95, F.col("vertical")))).alias("before_diff"))
-    b = b.join(before, "building_id", "left")
+    b = b.join(before, "building_id", "left").join(events, "building_id", "left")
+    b = b.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("candidates", "supporters", "support_tracks")} | {c: F.coalesce(c, F.lit(False)) for c in ("context", "event")})
     scored = score.score_points(placed.join(b.select("building_id", "agreement"), "building_id", "left"), stats)
-    return scored, b
+    return scored, b, events
+
+
+def anomaly_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scored points and building roll-ups of the whole run."""
+    return anomaly_run(spark, sf_dir)[:2]
+
+
+@query("neighbour_events")
+def neighbour_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings that move with their neighbours, and how many of their points fit a neighbour better."""
+    return anomaly_run(spark, sf_dir)[2]
+
+
+#: Columns of the neighbourhood in the building roll-ups.
+NEIGHBOURHOOD = ("candidates", "context", "supporters", "support_tracks", "consistency", "event_score", "misassigned_points", "misassigned_share", "event")
 
 
 @query("anomaly_buildings")
 def anomaly_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: buildings of a whole run with status, motion, agreement and reliability."""
-    return anomaly_points(spark, sf_dir)[1].select("building_id", "status", "kept_points", "noise_points", "main_tracks", "support", "motion", "agreement", "differential", "reliability", "band")
+    return anomaly_points(spark, sf_dir)[1].select("building_id", "status", "kept_points", "noise_points", "main_tracks", "support", "motion", "agreement", "differential", "reliability", "band", *NEIGHBOURHOOD)
 
 
 @query("anomaly_scores")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly_points(spark, sf_dir)[0].select("code", "track", "building_id", "method", "role", "cluster_id", "probability", "anomaly", "quality", "label", "degraded_reason", F.to_json("reasons_top").alias("explain"))
+    return anomaly_points(spark, sf_dir)[0].select("code", "track", "building_id", "method", "role", "cluster_id", "probability", "anomaly", "quality", "label", "degraded_reason", F.to_json("reasons_top").alias("explain"), "own_fit", "neighbour_id", "neighbour_cluster", "neighbour_fit", "misassigned")
 
 
 @query("anomaly_metrics")

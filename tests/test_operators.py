@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subsidia.functions import classify, geo
 from subsidia.operators import assign, cluster, coloring, groups, resample, rollup, score, series
+from subsidia.plans import features
 from subsidia.plans.service import upserted
 from subsidia.sources import ingest, sinks, tracks
 from subsidia.streaming.series import windowed_means
@@ -243,3 +244,17 @@ def test_assignment_priority(spark):
 
 def test_explain_severities(spark):
     assert math.isclose(one(spark, classify.ramp(F.lit(10.0), [(0, 0), (20, 1)]).alias("c")).c, 0.5)
+
+
+def test_whole_run_has_the_neighbourhood(spark, sf_dir):
+    """Supporters, event scores and misassigned points come from the run's own clusters."""
+    points, buildings, events = (x.toPandas() for x in features.anomaly_run(spark, sf_dir))
+    kept = points[~points.excluded]
+    b = buildings.set_index("building_id")
+    assert set(features.NEIGHBOURHOOD) <= set(b.columns) and len(b) == len(buildings) and (events.candidates > 0).all()
+    assert not points[["code", "track"]].duplicated().any() and not points[points.excluded].misassigned.any()
+    assert kept.neighbour_fit.notna().any() and (b.candidates > 0).any() and b.context.any()
+    wrong = kept.groupby("building_id").misassigned.sum()
+    seen = b[b.misassigned_points.notna()]
+    assert len(seen) and (seen.misassigned_points == wrong.reindex(seen.index)).all()
+    assert features.anomaly_buildings(spark, sf_dir).columns[-len(features.NEIGHBOURHOOD):] == list(features.NEIGHBOURHOOD)
