@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 #: Bounds of the model: languages, n-grams of each, slots and hashes of the filters.
-MAX_LANGUAGES, GRAMS, SLOT_BITS, HASHES = 256, 20_000, 20, 3
+GRAMS, SLOT_BITS, HASHES = 20_000, 20, 3
 #: Documents of each language that the filters are fitted on, on average.
 DOCS_PER_LANGUAGE = 1500
 SIZES = (3, 4)
@@ -158,13 +158,13 @@ def held_out(ident: Column) -> Column:
 def fit_filters(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = 3) -> LanguageFilters:
     """Filters from labelled documents.
 
-    Languages are counted over all rows (the ``MAX_LANGUAGES`` most frequent
-    are learned); the n-grams come from a sample by hash of about
-    ``docs_per_language`` whole documents each.  What reaches the driver is at
+    Languages are counted over all rows and every one is learned; the n-grams
+    come from a sample by hash of about ``docs_per_language`` whole documents
+    each.  What reaches the driver is at
     most ``GRAMS`` hashes for each language.
     """
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return build_filters([], [])

@@ -194,6 +194,12 @@ def test_language_without_labels(spark):
     assert {r.lang_pred for r in language_id.identify_languages(odd(spark), filters).collect()} == {"und"}
 
 
+def test_language_number_is_not_capped(spark):
+    """Every language is learned, beyond 256 too."""
+    rows = spark.createDataFrame([(i, "abc abc abc", f"l{i:03}") for i in range(260)], "doc_id long, text string, lang string")
+    assert language_id.fit_filters(rows).languages == [f"l{i:03}" for i in range(260)]
+
+
 # 6: secrets
 
 
