@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,6 +356,30 @@ def test_packing_round_trip(spark, sf_dir):
     check_sequences(got)
 
 
+def test_packing_ids_are_those_of_the_tokenizer(spark, sf_dir, monkeypatch):
+    """All documents, random Unicode, odd white space, long runs, and a cache that overflows in every slice."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path)
+    random.seed(8)
+    parts = ["a", "The", "é", " ", " ", "\n", "\n", "\t", "\r", "\xa0", "\u3000", "\x85", "\x1c", "\x00", ",", "'s", "12", "日本", "<|endoftext|>", "\u200b", "😀"]
+    texts = [r.text for r in documents(spark, sf_dir).collect()] + [None, "", " " * 1_000_000 + "x", "^" * 300_000, "a b " * 100_000]
+    texts += ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(5000)]
+    texts += ["".join(chr(random.choice([random.randint(0, 127), random.randint(0, 0xD7FF), random.randint(0xE000, 0x10FFFF)])) for _ in range(random.randint(0, 20))) for _ in range(3000)]
+    for most in (packing.CACHE_BYTES, 0):
+        monkeypatch.setattr(packing, "CACHE_BYTES", most)
+        tokenizer = packing.ByteLevelTokenizer(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        for at in range(0, len(texts), 1000):
+            some, begin = texts[at : at + 1000], 0
+            flat, sizes = tokenizer.ids(pa.array(some, pa.string()), 0)
+            for text, n in zip(some, sizes.tolist()):
+                assert flat[begin : begin + n].tolist() == [*(want.encode(text, add_special_tokens=False).ids if text else []), 0], text[:80]
+                begin += n
+            assert begin == len(flat)
+
+
 def check_sequences(pieces, size=1024):
     for own in brute.grouped(pieces, lambda r: r.sequence_id).values():
         at = 0
