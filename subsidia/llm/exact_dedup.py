@@ -38,7 +38,7 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _from_files(docs: DataFrame) -> DataFrame:
+def from_files(docs: DataFrame) -> DataFrame:
     """``docs`` as it is if each row's file and place in it are known, else written to the shared folder and read again."""
     if "_metadata" not in docs.columns:
         try:
@@ -54,11 +54,17 @@ def _other_name(column: str) -> str:
     return "metadata of the input" if column == "_metadata" else column
 
 
-def _located(docs: DataFrame, columns: list[Column]) -> DataFrame:
+def located(docs: DataFrame, columns: list[Column]) -> DataFrame:
     """The columns with each row's place: its file and row there."""
     return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents from files without the rows at the places (file, row) in ``dropped``; columns may have any names."""
+    records = located(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")])
+    return records.join(dropped, ["file", "row"], "left_anti").select("record.*")
+
+
 def keep_state(spark: SparkSession, slim: str, state: str, out: str, schema, files_per_batch: int | None = None, shards: int = STATE_SHARDS) -> list[int]:
     """Streams the slim rows that are new in folder ``slim`` into the state and writes each batch's changed groups to ``out``.
 
@@ -91,10 +97,10 @@ def group_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     null ids as smaller than all others.  An empty table gives an empty result;
     other columns are ignored.
     """
-    spark, docs = docs.sparkSession, _from_files(docs)
+    spark, docs = docs.sparkSession, from_files(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim_path, out = shared_path(spark, "dedup-slim"), shared_path(spark, "dedup-groups")
-    slim = _located(docs, [F.col(id_col).alias("id"), digest(text).alias("digest")])
+    slim = located(docs, [F.col(id_col).alias("id"), digest(text).alias("digest")])
     slim.write.parquet(slim_path)
     slim = spark.read.schema(slim.schema).parquet(slim_path)
     batches = keep_state(spark, slim_path, shared_path(spark, "dedup-state"), out, slim.schema, files_per_batch)
@@ -112,7 +118,7 @@ def group_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     clashing = materialize(bytes_read.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-clashing")
     rows = slim.join(groups, "digest")
     if not clashing.isEmpty():
-        again = _located(docs, [F.col(id_col).alias("id"), digest(text).alias("digest"), text.alias("text")]).join(clashing, "digest", "left_semi")
+        again = located(docs, [F.col(id_col).alias("id"), digest(text).alias("digest"), text.alias("text")]).join(clashing, "digest", "left_semi")
         by_text = again.groupBy("digest", "text").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count("*").alias("group_size"))
         parted = again.join(by_text, ["digest", "text"]).drop("text")
         rows = rows.join(clashing, "digest", "left_anti").unionByName(parted)
@@ -130,10 +136,9 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows are found again by their place, so rows that come from no file are
     written to the shared folder first.
     """
-    columns, docs = docs.columns, _from_files(docs)
-    dropped = materialize(group_exact(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row")), "dedup-dropped")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return placed.join(dropped, ["_file", "_row"], "left_anti").select(*[F.col(f"`{_other_name(c)}`").alias(c) for c in columns])
+    found = from_files(docs)
+    copies = group_exact(found, id_col=id_col, text_col=text_col).where(~F.col("kept"))
+    return without_rows(found, materialize(copies.select("file", "row"), "dedup-dropped")).toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 Two sets of sizes a and b are similar enough only if they share T = ceil(4 (a
 + b) / 9) shingles (at a similarity of 0.8).  Every shingle has an inverted
-list of the sets that hold it.  As DivideSkip does, a set's longest lists are
-left aside, L of them, and only the short ones are merged: a partner must
-occur on T - L of those at least.  Partners that do are looked up in the long
-lists by binary search, which gives the exact overlap.
-
-The merge of lists is Spark's sort by shingle, the heap of the search spread
-over the cluster.  Which lists are long is estimated on a sample of the sets
-and puts shingles in order; any order gives the same result.
+list of the sets that hold it.  As DivideSkip does, the longest lists of a set
+are left aside, L of them, and only the short ones are merged: a partner must
+occur on T - L of those at least.  What is missing to T is then looked up in
+the long lists by binary search, list by list, until a partner has T or can't
+have it any more.
+
+The merge of the short lists is a sort by shingle and a count by pair, spread
+over the cluster; it takes the place of the heap.  Which lists are long is
+estimated on a sample of the sets and puts shingles in order; any order gives
+the same result.  Long lists are stored for blocks of nodes: a block holds, as
+sorted arrays, the lists of all its nodes, and meets the sets that ask for
+these nodes.
 
 Sets that are equal are one node from the start.  Links within a group of
 copies are not all expanded: first each node is compared with the first node
@@ -25,179 +29,269 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subsidia.llm.exact_dedup import from_files, located, without_rows
 from subsidia.llm.graph import components
+from subsidia.llm.words import set_hashes, shingle_sets, text_slices
 from subsidia.session import materialize
 
 WORDS = 5
 #: One set in this many is in the sample that tells long lists; lists with this many sampled sets are long.
 SAMPLED, LONG = 16, 4
-#: The long lists that are told apart, longest first; and the most documents whose ids are broadcast.
+#: The long lists that are told apart, longest first; and the most documents whose places are broadcast.
 MAX_LONG, MAX_BROADCAST = 1_000_000, 500_000
 #: Sets of a long list that one task orders at a time.
 PER_SALT = 50_000
 #: Lists of this many sets are contracted further before all pairs are compared, in rounds with so many leaders each.
 LARGE, CENTRAL_LEADERS, LEADERS = 64, (4, 4), (16,)
-CACHED_WORDS = 150_000
-#: Documents whose whole sets a task holds at a time.
-SETS_AT_ONCE = 256
-_MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of sets in a block of stored lists, about, and lists probed before partners are looked through.
+BLOCK_BYTES, PROBED = 2 << 20, 64
+#: Sets whose nodes a task remembers as done.
+REMEMBERED = 1_000_000
+#: Entries of one list and size class that are paired in one go; longer ones are split on both sides.
+PER_SPLIT = 2_000
+#: Ratio of neighbouring size classes of the last pass.
+CLASS = 1.05
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def short_lists(n: np.ndarray | int) -> np.ndarray | int:
+    """How many lists of a set of n are merged; the others are fewer than it shares with any partner."""
+    return n - (4 * n + 4) // 5 + 1
 
 
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * _ODD
-    return x ^ (x >> np.uint64(32))
+def _rest(n: str) -> Column:
+    """How many lists of a set of n are left aside."""
+    return F.floor((F.col(n) * 4 + 4) / 5).cast("int") - 1
 
 
-def shingles(text: str | None, hashes: _WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; A-Z lower-cased, words divided by ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(WORDS, len(each))
-    out = np.full(len(each) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = (out ^ each[k : k + len(out)]) * _MIX
-        out ^= out >> np.uint64(31)
-    return np.unique(_scrambled(out))
+def _needed(a: str, b: str) -> Column:
+    """T - L: on how many short lists two sets of these sizes must meet."""
+    return F.floor(((F.col(a) + F.col(b)) * 4 + 8) / F.lit(9)) - F.greatest(_rest(a), _rest(b))
 
 
-def node_of(found: np.ndarray) -> int:
-    """64-bit identity of a set."""
-    total = np.add.reduce(_scrambled(found + _ODD), keepdims=True) ^ np.bitwise_xor.reduce(_scrambled(found ^ _MIX), keepdims=True)
-    return int(_scrambled(total + np.full(1, len(found), np.uint64) * _ODD).view(np.int64)[0])
+def _close(a: str, b: str) -> Column:
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
-def short_lists(n: int) -> int:
-    """How many lists of a set of n are merged; the others are fewer than it shares with any partner."""
-    return n - (4 * n + 4) // 5 + 1
+def _sets(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """doc_id, file, row, node, check, n, and the set itself for one node in ``SAMPLED``."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in text_slices(batch["text"]):
+                found, starts = shingle_sets(batch["text"].slice(at, to - at), WORDS)
+                node, check = set_hashes(found, starts)
+                n = np.diff(starts)
+                chosen = (n > 0) & (node % SAMPLED == 0)
+                sizes = np.where(chosen, n, 0)
+                sample = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found[np.repeat(chosen, n)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, to - at) for c in kinds), pa.array(node), pa.array(check), pa.array(n), sample], [*kinds, "node", "check", "n", "sample"])
 
-def _sets(rows: DataFrame, id_type: str) -> DataFrame:
-    """doc_id, node, n, and the set itself for one node in ``SAMPLED``."""
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return rows.select(*kinds, "text").mapInArrow(made, f"{schema}, node long, check long, n long, sample array<long>")
+
+
+def _nodes_of(found: np.ndarray, starts: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """The first hash of each set, the second one where unlike sets have the same first one."""
+    node, check = set_hashes(found, starts)
+    return np.where(np.isin(node, clashing), check, node) if len(clashing) else node
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for batch in batches:
-            nodes, sizes, sample = [], [], []
-            for text in batch["text"]:
-                found = shingles(text, hashes)
-                node = node_of(found) if len(found) else 0
-                nodes.append(node)
-                sizes.append(len(found))
-                sample.append(found.view(np.int64) if len(found) and node % SAMPLED == 0 else None)
-            yield pd.DataFrame({"doc_id": batch["id"], "node": nodes, "n": sizes, "sample": sample})
 
-    return rows.mapInPandas(made, f"doc_id {id_type}, node long, n long, sample array<long>")
+def _in_order(found: np.ndarray, starts: np.ndarray, long_lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each set in the order of lists, those with long lists last, and which are such."""
+    at = np.minimum(np.searchsorted(long_lists, found), max(0, len(long_lists) - 1))
+    is_long = long_lists[at] == found if len(long_lists) else np.zeros(len(found), bool)
+    order = np.argsort(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * 2 + is_long, kind="stable")
+    return found[order], is_long[order]
 
 
-def _short_lists(rows: DataFrame, long_lists: np.ndarray, salts: int) -> DataFrame:
-    """Entries (shingle, salt, node, n, rest) of the short lists of every set; ``rest`` is how many lists are left aside.
+def _short_lists(rows: DataFrame, long_lists, salts: int, clashing: np.ndarray) -> DataFrame:
+    """Entries (shingle, salt, node, n) of the short lists of every set.
 
     Shingles stand in hash order, those with long lists last.  A task emits a
-    set once, however many copies of it the task reads.
+    set once, however many copies of it the task reads, as far as it remembers.
     """
-    lists = rows.sparkSession.sparkContext.broadcast(long_lists)
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen = _WordHashes(), set()
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            out, held = [], 0
-            for text in batch["text"]:
-                found = shingles(text, hashes)
-                if not len(found) or (node := node_of(found)) in seen:
-                    continue
-                seen.add(node)
-                n = len(found)
-                at = np.searchsorted(lists.value, found)
-                is_long = lists.value[np.minimum(at, len(lists.value) - 1)] == found if len(lists.value) else np.zeros(n, bool)
-                short, take = n - int(is_long.sum()), short_lists(n)
-                kept = found[~is_long][:take]
-                salt = np.full(take, -1, np.int32)
-                if take > short:
-                    kept = np.concatenate([kept, found[is_long][: take - short]])
-                    salt[short:] = node % salts
-                out.append((kept.view(np.int64), salt, node, n, n - take))
-                held += take
-                if held > 200_000:
-                    yield _entries(out)
-                    out, held = [], 0
-            if out:
-                yield _entries(out)
-
-    return rows.mapInPandas(made, "shingle long, salt int, node long, n int, rest int")
-
-
-def _entries(parts: list) -> pd.DataFrame:
-    counts = [len(p[0]) for p in parts]
-    repeated = {name: np.repeat(np.array([p[i] for p in parts], kind), counts) for i, name, kind in ((2, "node", np.int64), (3, "n", np.int32), (4, "rest", np.int32))}
-    return pd.DataFrame({"shingle": np.concatenate([p[0] for p in parts]), "salt": np.concatenate([p[1] for p in parts])} | repeated)
-
+            for at, to in text_slices(batch["text"]):
+                found, starts = shingle_sets(batch["text"].slice(at, to - at), WORDS)
+                node, n = _nodes_of(found, starts, clashing), np.diff(starts)
+                new = np.zeros(len(n), bool)
+                new[np.unique(node, return_index=True)[1]] = True
+                new &= (n > 0) & [x not in seen for x in node.tolist()]
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.update(node[new].tolist())
+                found, is_long = _in_order(found, starts, long_lists.value)
+                place = np.arange(len(found)) - np.repeat(starts[:-1], n)
+                kept = np.repeat(new, n) & (place < np.repeat(short_lists(n), n))
+                nodes, sizes = np.repeat(node, n)[kept], np.repeat(n, n)[kept].astype(np.int32)
+                salt = np.where(is_long[kept], nodes % salts, -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(salt), pa.array(nodes), pa.array(sizes)], ["shingle", "salt", "node", "n"])
+
+    return rows.select("text").mapInArrow(made, "shingle long, salt int, node long, n int")
+
+
+class _Sets:
+    """The sets of the nodes that were asked for so far, each written once: node, n, n_short and found.
+
+    ``found`` are the shingles in the order of lists; the first ``n_short`` of
+    them have no long list.  Each is made from one document of its node, which
+    is found by its place.  Places are broadcast where they are few, counted
+    first; else both sides are shuffled.
+    """
 
-def _occurring(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that occur on T - L lists at least; from (a, an, arest, b, bn, brest), one row for each list."""
-    both = F.col("an") + F.col("bn")
-    needed = F.floor((both * 4 + 8) / F.lit(9)) - F.greatest("arest", "brest")
-    sized = pairs.where(F.least("an", "bn") * 5 >= F.greatest("an", "bn") * 4)
-    return sized.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(needed).alias("needed")).where("c >= needed").select("a", "b")
+    def __init__(self, rows: DataFrame, nodes: DataFrame, long_lists):
+        self.rows, self.nodes, self.long_lists = rows, nodes, long_lists
+        self.known: DataFrame | None = None
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """All sets known, those of the nodes asked for among them."""
+        new = asked if self.known is None else asked.join(self.known.select("node"), "node", "left_anti")
+        wanted = materialize(self.nodes.join(new, "node").select("node", "place.file", "place.row"), "wanted")
+        count = wanted.count()
+        if count or self.known is None:
+            made = self._made(F.broadcast(wanted) if count <= MAX_BROADCAST else wanted)
+            self.known = made if self.known is None else self.known.union(made)
+        return self.known
+
+    def _made(self, wanted: DataFrame) -> DataFrame:
+        long_lists = self.long_lists
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, to in text_slices(batch["text"]):
+                    found, starts = shingle_sets(batch["text"].slice(at, to - at), WORDS)
+                    found, is_long = _in_order(found, starts, long_lists.value)
+                    n = np.diff(starts)
+                    owner = np.repeat(np.arange(len(n)), n)
+                    short = n - np.bincount(owner[is_long], minlength=len(n))
+                    data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(found)])
+                    yield pa.RecordBatch.from_arrays([batch["node"].slice(at, to - at), pa.array(n, pa.int32()), pa.array(short, pa.int32()), data], ["node", "n", "n_short", "found"])
+
+        read = self.rows.join(wanted, ["file", "row"]).select("node", "text")
+        return materialize(read.mapInArrow(made, "node long, n int, n_short int, found binary"), "sets")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity is 0.8 or more.
+def _occurring(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, c) that occur on T - L lists at least; from (a, an, b, bn), one row for each list.
 
-    The sets are made again from one document of each node.  Their ids are
-    broadcast where they are few, counted first; else both sides are shuffled.
+    Of the two, b is the one that is asked for by more others.
     """
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = materialize(nodes.join(asked, "node").select("node", F.col("first").alias("doc_id")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch), SETS_AT_ONCE):
-                some = batch.iloc[at : at + SETS_AT_ONCE]
-                sets = ((node, shingles(text, hashes)) for node, text in zip(some["node"], some["text"]))
-                kept = [(node, found.tobytes()) for node, found in sets if len(found) and node_of(found) == node]
-                yield pd.DataFrame(kept, columns=["node", "found"])
-
-    sets = docs.join(side, "doc_id").select("node", "text").mapInPandas(made, "node long, found binary").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
-
-    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counted = pairs.where(_close("an", "bn")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("c"), F.min("b").alias("hub"), F.min(_needed("an", "bn")).alias("needed"))
+    return counted.where("c >= needed").select(F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), F.col("hub").alias("b"), F.col("c").cast("int").alias("c"))
+
+
+class _Block:
+    """The stored lists of a block of nodes: by shingle, the sorted places of the nodes that have it."""
+
+    def __init__(self, nodes: list, sizes: list, shorts: list, sets: list):
+        order = np.argsort(np.array(nodes, np.int64))
+        self.nodes = np.array(nodes, np.int64)[order]
+        self.n, n_short, sets = np.array(sizes, np.int64)[order], np.array(shorts, np.int64)[order], [sets[i] for i in order.tolist()]
+        owner, every = np.repeat(np.arange(len(sets)), self.n), np.concatenate(sets)
+        order = np.lexsort((owner, every))
+        self.owner, every = owner[order].astype(np.int64), every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.shingles, self.bounds = every[first], np.append(first, len(every))
+        # Where each node's merged lists end in the order of lists: is it among the long ones, and its shingle.
+        take = short_lists(self.n)
+        self.last_is_long = take > n_short
+        self.last = np.array([s[t - 1] for s, t in zip(sets, take.tolist())], np.uint64)
+        self.keys = np.repeat(np.arange(len(self.shingles)), np.diff(self.bounds)) * len(self.nodes) + self.owner
+
+    def partners(self, n: int, n_short: int, found: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Those of ``nodes`` with which the set shares T shingles.
+
+        ``counts`` says on how many short lists both occur, or -1 where the
+        short lists were not all merged; then all lists are probed.
+        """
+        at = np.searchsorted(self.nodes, nodes)
+        needed = (4 * (n + self.n[at]) + 8) // 9
+        # A pair's short lists end at the earlier of both ends; the lists up to there are counted already.
+        place = np.where(self.last_is_long[at], n_short + np.searchsorted(found[n_short:], self.last[at], "right"), np.searchsorted(found[:n_short], self.last[at], "right"))
+        begin = np.where(counts < 0, 0, np.minimum(place, short_lists(n)))
+        have = np.maximum(counts, 0)
+        which = np.minimum(np.searchsorted(self.shingles, found), len(self.shingles) - 1)
+        held = self.shingles[which] == found
+        size = np.where(held, self.bounds[which + 1] - self.bounds[which], 0)
+        lists = np.flatnonzero(held)
+        lists = lists[np.argsort(size[lists], kind="stable")]
+        left = held[::-1].cumsum()[::-1]
+        left = np.append(left, 0)[begin]
+        good = have >= needed
+        alive = np.flatnonzero(~good & (have + left >= needed))
+        for k in range(0, len(lists), PROBED):
+            if not len(alive):
+                break
+            some = lists[k : k + PROBED]
+            keys = which[some][None, :] * len(self.nodes) + at[alive][:, None]
+            spot = np.minimum(np.searchsorted(self.keys, keys.ravel()), len(self.keys) - 1).reshape(keys.shape)
+            asked = some[None, :] >= begin[alive][:, None]
+            have[alive] += ((self.keys[spot] == keys) & asked).sum(1)
+            left[alive] -= asked.sum(1)
+            good[alive] = have[alive] >= needed[alive]
+            alive = alive[~good[alive] & (have[alive] + left[alive] >= needed[alive])]
+        return nodes[good]
+
+
+def _probed(pairs: DataFrame, sets: _Sets) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is 0.8 or more; from (a, b, c), where a null c stands for lists not merged.
+
+    The a side is stored, in blocks by hash of the node, each node once; the
+    set of b goes to every block in which it has partners.
+    """
+    known = sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    stored = known.join(pairs.select(F.col("a").alias("node")).distinct(), "node")
+    size = stored.agg(F.sum(F.col("n").cast("long") * 8)).first()[0] or 0
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, size // BLOCK_BYTES)))
+    none = F.lit(None).cast("array<struct<node:bigint,c:int>>")
+    stored = stored.select(block("node").alias("block"), F.lit(0).alias("kind"), "node", "n", "n_short", "found", none.alias("partners"))
+    asking = pairs.withColumn("block", block("a")).groupBy("block", F.col("b").alias("node")).agg(F.collect_list(F.struct(F.col("a").alias("node"), F.coalesce("c", F.lit(-1)).alias("c"))).alias("partners"))
+    asking = asking.join(known, "node").select("block", F.lit(1).alias("kind"), "node", "n", "n_short", "found", "partners")
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, lists = None, ([], [], [], []), None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["afound"], batch["bfound"]):
-                few, many = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                shared = int((many[at] == few).sum())
-                keep.append(100 * shared >= 80 * (len(few) + len(many) - shared))
-            yield batch.loc[keep, ["a", "b"]]
+            a, b = [], []
+            where, kinds, nodes, sizes, shorts = (batch[c].to_numpy().tolist() for c in ("block", "kind", "node", "n", "n_short"))
+            partners = batch["partners"]
+            for i in range(len(where)):
+                if where[i] != key:
+                    key, parts, lists = where[i], ([], [], [], []), None
+                found = np.frombuffer(batch["found"][i].as_buffer(), np.uint64)
+                if kinds[i] == 0:
+                    for held, value in zip(parts, (nodes[i], sizes[i], shorts[i], found.copy())):
+                        held.append(value)
+                    continue
+                lists = lists or _Block(*parts)
+                asked = partners[i].values
+                good = lists.partners(sizes[i], shorts[i], found, asked.field("node").to_numpy(), asked.field("c").to_numpy().astype(np.int64))
+                a.append(good)
+                b.append(np.full(len(good), nodes[i], np.int64))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("afound")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("bfound")), "b")
-    return with_sets.mapInPandas(probed, "a long, b long")
+    columns = ["block", "kind", "node", "n", "n_short", "found", "partners"]
+    dealt = stored.unionByName(asking).select(*columns).repartition("block").sortWithinPartitions("block", "kind")
+    return dealt.mapInArrow(probed, "a long, b long")
 
 
 def _placed(lists: DataFrame, joined: DataFrame) -> DataFrame:
     return lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _contracted(lists: DataFrame, joined: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _closed(links: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    return materialize(components(links.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), name)
+
+
+def _contracted(lists: DataFrame, joined: DataFrame, sets: _Sets) -> DataFrame:
     """Components after further stars in the large lists that still hold several of them.
 
     Each round compares leaders of a list with its nodes of other components.
@@ -207,90 +301,140 @@ def _contracted(lists: DataFrame, joined: DataFrame, nodes: DataFrame, docs: Dat
     found here or not; the pass over all pairs that follows finds the others.
     """
     long = lists.groupBy("shingle").count().where(F.col("count") >= LARGE).select("shingle")
-    lists = lists.join(materialize(long, "large"), "shingle", "left_semi").select("shingle", "node", "n", "rest")
-    share = F.count("*").over(Window.partitionBy("node")) / (F.col("n") - F.col("rest"))
+    lists = lists.join(materialize(long, "large"), "shingle", "left_semi").select("shingle", "node", "n")
+    share = F.count("*").over(Window.partitionBy("node")) / (F.col("n") - _rest("n"))
     lists = materialize(lists.withColumn("outer", F.floor((1 - share) * 20).cast("int")), "large-lists")
     tried = 0
     for central, number in [*((True, n) for n in CENTRAL_LEADERS), *((False, n) for n in LEADERS)]:
         placed = _placed(lists, joined)
-        one = F.struct("node", "n", "rest", "component")
+        one = F.struct("node", "n", "component")
         seeds = [F.xxhash64("node", F.lit(tried + k)) for k in range(number)]
         leaders = F.array(*[F.min_by(one, F.struct("outer", seed) if central else seed) for seed in seeds])
         tried += number
         mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array_distinct(leaders).alias("leaders")).where("low <> high")
         other = F.filter("leaders", lambda x: (x["component"] != F.col("component")) & (F.least(x["n"], F.col("n")) * 5 >= F.greatest(x["n"], F.col("n")) * 4))
         met = placed.join(mixed.select("shingle", "leaders"), "shingle").withColumn("leader", F.explode(other))
-        met = met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("leader.node").alias("b"), F.col("leader.n").alias("bn"), F.col("leader.rest").alias("brest"))
-        pairs = materialize(_occurring(met), "round-pairs")
+        met = met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("leader.node").alias("b"), F.col("leader.n").alias("bn"))
+        pairs = materialize(_occurring(met).withColumn("c", F.lit(None).cast("int")), "round-pairs")
         if pairs.isEmpty():
             break
-        links = materialize(_verified(pairs, nodes, docs), "round-links")
+        links = materialize(_probed(pairs, sets), "round-links")
         if links.isEmpty():
             if central:
                 continue
             break
-        joined = materialize(components(links.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "round-components")
+        joined = _closed(links, joined, "round-components")
     return joined
 
 
-def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of the links between documents with a shingle similarity of 0.8 or more.
+def _met(lists: DataFrame) -> DataFrame:
+    """(a, an, b, bn) for each list on which two nodes of different components and of near sizes occur.
 
-    Returns one row per input row: doc_id, n_shingles and component_id, the
-    smallest id that links reach.  Texts of fewer than five words have one
-    shingle, the whole sequence.  Null texts and texts without words have an
-    empty set and are linked with nothing, their component is their own id.
-    Repeated rows have equal sets and one component.  Rows with a null id have
-    the component of rows with the same set; where there are none, they are
-    linked with nothing and it is null.  Other columns are ignored.
+    From (shingle, node, n, component).  A node with e entries can reach T - L
+    only with partners of some sizes, so it looks for smaller ones just in the
+    size classes that its e allows.  Classes with many entries in a list are
+    split on both sides, each part of one meeting each part of the other.
     """
+    log = lambda c: F.floor(F.log(c) / math.log(CLASS)).cast("int")
+    entries = F.count("*").over(Window.partitionBy("node"))
+    sized = materialize(lists.withColumns({"e": entries.cast("int"), "class": log(F.col("n"))}), "sized-lists")
+    # For b <= n: T - L = ceil(4 (n + b) / 9) - rest(n) <= e bounds b.
+    most = F.least(F.col("n"), F.floor((F.col("e") + _rest("n")) * 9 / 4) - F.col("n"))
+    least = F.floor((F.col("n") * 4 + 4) / 5)
+    wide = sized.where(most >= least).withColumn("class", F.explode(F.sequence(log(least), log(most))))
+    parts = sized.groupBy("shingle", "class").count().where(F.col("count") > PER_SPLIT).select("shingle", "class", F.ceil(F.col("count") / PER_SPLIT).cast("int").alias("parts_b"))
+    wider = wide.groupBy("shingle", "class").count().where(F.col("count") > PER_SPLIT).select("shingle", "class", F.ceil(F.col("count") / PER_SPLIT).cast("int").alias("parts_a"))
+    split = materialize(parts.join(wider, ["shingle", "class"], "full").select("shingle", "class", F.coalesce("parts_a", F.lit(1)).alias("parts_a"), F.coalesce("parts_b", F.lit(1)).alias("parts_b")), "split-lists")
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(split, ["shingle", "class"], "left").withColumns({own: F.pmod(F.xxhash64("node"), F.coalesce(own, F.lit(1))).cast("int"), other: F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)})
+        return rows.withColumn(other, F.explode(other))
+
+    large = side(wide, "parts_a", "parts_b").select("shingle", "class", "parts_a", "parts_b", F.col("node").alias("a"), F.col("n").alias("an"), F.col("e").alias("ae"), F.col("component").alias("ac"))
+    small = side(sized, "parts_b", "parts_a").select("shingle", "class", "parts_a", "parts_b", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("e").alias("be"), F.col("component").alias("bc"))
+    ordered = (F.col("an") > F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
+    return large.join(small, ["shingle", "class", "parts_a", "parts_b"]).where(ordered & (F.col("ac") != F.col("bc")) & _close("an", "bn") & (F.least("ae", "be") >= _needed("an", "bn"))).select("a", "an", "b", "bn")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, file, row, n, component_id and ``keep``, the (no id, doc_id, file, row) of the first row of the component."""
     id_type = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = rows.withColumnRenamed("id", "doc_id")
-    known = materialize(_sets(rows, id_type), "sets-by-document")
+    spark, docs = docs.sparkSession, from_files(docs)
+    rows = located(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")])
+    known = materialize(_sets(rows, {"doc_id": id_type, "file": "string", "row": "long"}), "sets-by-document")
     filled = known.where("n > 0")
-    nodes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    clashing = filled.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").toPandas()["node"].to_numpy(np.int64)
+    if len(clashing):
+        known = known.withColumn("node", F.when(F.col("node").isin(clashing.tolist()), F.col("check")).otherwise(F.col("node")))
+        filled = known.where("n > 0")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+    nodes = materialize(filled.groupBy("node").agg(F.min(first).alias("keep"), F.min(F.struct("file", "row")).alias("place")), "nodes")
 
     sampled = filled.where("sample IS NOT NULL").groupBy("node").agg(F.first("sample").alias("sample"))
     frequent = sampled.select(F.explode("sample").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= LONG)
     frequent = frequent.orderBy(F.desc("count"), "shingle").limit(MAX_LONG).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    long_lists = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+    sets = _Sets(rows, nodes, long_lists)
     salts = max(1, math.ceil(nodes.count() / PER_SALT))
-    entries = _short_lists(rows, np.sort(frequent.view(np.uint64)), salts).withColumn("size_class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
+    entries = _short_lists(rows, long_lists, salts, clashing).withColumn("size_class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
 
     listed = Window.partitionBy("shingle", "salt").orderBy("size_class", "node")
     whole = listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lists = entries.repartition("shingle", "salt").withColumns({"before": F.lag("node").over(listed), "head": F.first("node").over(whole), "tail": F.last("node").over(whole)})
     lists = lists.where("(before IS NULL OR before <> node) AND (head <> tail OR salt >= 0)").drop("before", "head", "tail")
     by_class = Window.partitionBy("shingle", "salt", "size_class").orderBy("node")
-    lists = lists.withColumn("lead", F.first(F.struct("node", "n", "rest")).over(by_class))
-    lists = materialize(lists, "lists")
+    lists = materialize(lists.withColumn("lead", F.first(F.struct("node", "n")).over(by_class)), "lists")
 
-    star = lists.where("node <> lead.node").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("lead.node").alias("b"), F.col("lead.n").alias("bn"), F.col("lead.rest").alias("brest"))
+    star = lists.where("node <> lead.node").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("lead.node").alias("b"), F.col("lead.n").alias("bn"))
     next_class = Window.partitionBy("shingle").orderBy("size_class", "salt", "node")
-    leads = lists.where("node = lead.node").withColumn("last", F.lag(F.struct("node", "n", "rest")).over(next_class)).where("last IS NOT NULL")
-    chain = leads.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("last.node").alias("b"), F.col("last.n").alias("bn"), F.col("last.rest").alias("brest"))
-    first_pairs = materialize(_occurring(star.union(chain)), "star-pairs")
-    links = materialize(_verified(first_pairs, nodes, named), "star-links")
+    leads = lists.where("node = lead.node").withColumn("last", F.lag(F.struct("node", "n")).over(next_class)).where("last IS NOT NULL")
+    chain = leads.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("last.node").alias("b"), F.col("last.n").alias("bn"))
+    first_pairs = materialize(_occurring(star.union(chain)).withColumn("c", F.lit(None).cast("int")), "star-pairs")
+    links = materialize(_probed(first_pairs, sets), "star-links")
     joined = materialize(components(links, "a", "b"), "star-components")
 
     lists = lists.drop("lead", "size_class", "salt")
-    joined = _contracted(lists, joined, nodes, named)
+    joined = _contracted(lists, joined, sets)
     placed = _placed(lists, joined)
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    placed = materialize(placed.join(mixed, "shingle", "left_semi"), "mixed-lists")
-    a = placed.select("shingle", F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("component").alias("ac"))
-    b = placed.select("shingle", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("rest").alias("brest"), F.col("component").alias("bc"))
-    close = F.least("an", "bn") * 5 >= F.greatest("an", "bn") * 4
-    more = materialize(_occurring(a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & close)), "more-pairs")
+    # Any two nodes of different components meet in mixed lists only, so this pass counts all their common short lists.
+    more = materialize(_occurring(_met(placed.join(mixed, "shingle", "left_semi"))), "more-pairs")
     if not more.isEmpty():
-        more_links = _verified(more, nodes, named)
-        joined = materialize(components(more_links.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "components")
-
-    placed = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    placed = placed.join(smallest, "component").select("node", "component_id")
-    out = known.drop("sample").join(placed, "node", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        joined = _closed(_probed(more, sets), joined, "components")
+
+    placed = nodes.join(joined, "node", "left").select("node", "keep", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("keep").alias("keep"))
+    placed = placed.drop("keep").join(smallest, "component").select("node", "keep")
+    out = known.drop("sample", "check").join(placed, "node", "left")
+    return out.select("doc_id", "file", "row", "n", F.when(F.col("n") > 0, F.col("keep.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("keep")).alias("keep"))
+
+
+def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of the links between documents with a shingle similarity of 0.8 or more.
+
+    Returns one row per input row: doc_id, n_shingles and component_id, the
+    smallest id that links reach.  Texts of fewer than five words have one
+    shingle, the whole sequence.  Null texts and texts without words have an
+    empty set and are linked with nothing, their component is their own id.
+    Repeated rows have equal sets and one component.  Rows with a null id are
+    linked like others; a component without any id has a null one.  Very long
+    texts are read whole, an empty table gives an empty result, and other
+    columns are ignored.
+    """
+    found = _groups(docs, id_col, text_col)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``join_similar``, all columns kept.
+
+    That row has the smallest id, null ids last; of rows with that id it is the
+    first by place.  Rows without words all stay.  Rows are told apart by
+    their place, not by their id, so repeated and null ids do no harm.
+    """
+    found = from_files(docs)
+    groups = _groups(found, id_col, text_col).where(F.col("keep").isNotNull() & (F.struct("file", "row") != F.struct("keep.file", "keep.row")))
+    return without_rows(found, materialize(groups.select("file", "row"), "near-copies")).toDF(*docs.columns)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
