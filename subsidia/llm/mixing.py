@@ -41,8 +41,9 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> Dat
     Sources in code point order, null last, get the weights in turn.  A source
     is held at ``cap`` times its size when its share would exceed that; the
     excess goes to the others by weight.  In order of size over weight the held
-    sources come first, so one running sum settles all rounds.  This window
-    reads one row per source.
+    sources come first, so one running sum settles all rounds.  These windows
+    are one task's work over one row per source: some millions of sources are
+    fine, each document being a source of its own is not.
     """
     common = math.lcm(*weights)
     everything = Window.partitionBy()
@@ -70,16 +71,12 @@ def _copies(targets: DataFrame) -> DataFrame:
     return targets.withColumn("copies", copies).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How many words the mix takes of each document.
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("hash", _hash(F.col("id"))), "mix-sizes")
 
-    Returns one row per input row: id, source, size, source_size, target, copies and
-    taken.  ``copies`` is how often the document is in the mix and ``taken`` is
-    that times its size.  A null source is a source of its own; null and empty
-    texts have size 0; rows with equal ids share a hash and are taken or left
-    together; an empty table gives an empty result; other columns are ignored.
-    """
-    base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("hash", _hash(F.col("id"))), "mix-sizes")
+
+def _plan(base: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """One row for each source: source, source_size, target, copies, and ``limit``, below which a hash gives one copy more."""
     shift = HASH_BITS - LEVEL_BITS[0]
     first = materialize(base.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")), "mix-histogram")
     totals = first.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -95,12 +92,39 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: i
     nearer = F.col("after") - F.col("budget") < F.col("budget") - F.col("before")
     limit = edge.select("source", (F.col("bucket") + nearer.cast("bigint")).alias("limit"))
     plan = plan.alias("p").join(limit.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
-    plan = materialize(plan.select("p.source", "source_size", "target", "copies", F.coalesce("limit", F.lit(1 << HASH_BITS)).alias("limit")), "mix-plan")
-    out = base.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    return materialize(plan.select("p.source", "source_size", "target", "copies", F.coalesce("limit", F.lit(1 << HASH_BITS)).alias("limit")), "mix-plan")
+
+
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How many words the mix takes of each document.
+
+    Returns one row per input row: id, source, size, source_size, target, copies and
+    taken.  ``copies`` is how often the document is in the mix and ``taken`` is
+    that times its size.  A null source is a source of its own; null and empty
+    texts have size 0, very long ones are counted whole; rows with equal ids
+    share a hash and are taken or left together; an empty table gives an empty
+    result; other columns are ignored.
+    """
+    base = _sizes(docs, id_col, text_col, source_col)
+    out = base.alias("d").join(_plan(base, weights, cap).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = F.col("copies") + (F.col("hash") < F.col("limit")).cast("bigint")
     return out.select(F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def draw_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as ``mix_sources`` takes them, all columns kept; rows without a word go.
+
+    Only the plan, one row for each source, is joined to the documents, so
+    their texts stay where they are while the plan is small enough to be
+    broadcast by Spark's own threshold.  Columns may have any names.
+    """
+    plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, cap).select(F.struct("source", "copies", "limit").alias("plan"))
+    records = docs.where(F.col(text_col).rlike(_WORD)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), _hash(F.col(id_col)).alias("hash"))
+    taken = records.join(plan, F.col(f"record.`{source_col}`").eqNullSafe(F.col("plan.source")))
+    copies = (F.col("plan.copies") + (F.col("hash") < F.col("plan.limit")).cast("bigint")).cast("int")
+    return taken.where(copies > 0).select("record", F.explode(F.sequence(F.lit(1), copies))).select("record.*")
+
+
 def _boundary(histogram: DataFrame, budgets: DataFrame) -> DataFrame:
     """By source, the first bucket whose running sum exceeds the budget, with the sums before and after it."""
     by_bucket = Window.partitionBy("source").orderBy("bucket")
