@@ -8,7 +8,7 @@ corrected for the filter's false positives, and the largest one decides.
 
 The filters are fitted on a bounded sample: about ``docs_per_language``
 documents of each language, chosen by a hash of their id.  Prediction reads
-every text whole, in pieces of bounded size.
+every text whole; pieces of very long ones count each n-gram once.
 """
 
 from __future__ import annotations
@@ -43,43 +43,57 @@ def _letters() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
-def _codes(text: str) -> np.ndarray:
+def _codes(lowered: str) -> np.ndarray:
     """Code points of the text with everything but letters as 0."""
     if not _LETTERS:
         _LETTERS.append(_letters())
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(_LETTERS[0][points], points, 0).astype(np.uint32)
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of texts of about ``PIECE`` characters: codes, where each text begins in them, and which text it is.
+class _Run(NamedTuple):
+    """Codes, each text between zeros; where each text begins in them, which text it is, and how many positions count."""
 
-    A longer text comes in several pieces that overlap by less than an n-gram.
-    """
-    codes, starts, which, size = [], [], [], 0
-    zero = np.zeros(1, np.uint32)
+    codes: np.ndarray
+    starts: np.ndarray
+    which: np.ndarray
+    counted: int
 
-    def out():
-        return np.concatenate([*codes, zero]), np.array(starts, np.int64), np.array(which, np.int64)
 
+def _pieces(texts: list[str | None]) -> Iterator[_Run]:
+    """Runs of texts of about ``PIECE`` characters.
+
+    A longer text is a row of runs of its own, which together count every
+    n-gram once, by its first character: each but the last is followed by the
+    characters that its last n-grams need, and those begin no n-gram there.
+    """
+    zero, ahead = np.zeros(1, np.uint32), max(SIZES) - 1
+    codes, starts, which, size = [], [], [], 0
     for k, text in enumerate(texts):
         if not text:
             continue
-        for at in range(0, len(text), PIECE):
-            part = _codes(text[at : at + PIECE + max(SIZES) - 1])
-            starts.append(size)
-            which.append(k)
-            codes += [zero, part]
-            size += len(part) + 1
-            if size >= PIECE:
-                yield out()
-                codes, starts, which, size = [], [], [], 0
+        lowered = text.lower()
+        if len(lowered) > PIECE:
+            # Positions are those of the text with a zero before and after it.
+            for at in range(0, len(lowered) + 2, PIECE):
+                part = _codes(lowered[max(0, at - 1) : at + PIECE + ahead - 1])
+                part = np.concatenate([*([zero] if at == 0 else []), part, *([zero] if at + PIECE + ahead >= len(lowered) + 2 else [])])
+                yield _Run(part, np.zeros(1, np.int64), np.array([k]), min(PIECE, len(part)))
+            continue
+        starts.append(size)
+        which.append(k)
+        codes += [zero, _codes(lowered)]
+        size += len(lowered) + 1
+        if size >= PIECE:
+            yield _Run(np.concatenate([*codes, zero]), np.array(starts, np.int64), np.array(which, np.int64), size + 1)
+            codes, starts, which, size = [], [], [], 0
     if codes:
-        yield out()
+        yield _Run(np.concatenate([*codes, zero]), np.array(starts, np.int64), np.array(which, np.int64), size + 1)
 
 
-def _grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(codes: np.ndarray, n: int, counted: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the n-grams whose inner characters are all letters; the ends may be word ends."""
+    codes = codes if counted is None else codes[: counted + n - 1]
     if len(codes) < n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     inner = codes[1 : len(codes) - n + 2] != 0
@@ -128,10 +142,10 @@ def predict(filters: LanguageFilters, texts: list[str | None]) -> tuple[list[str
     if not n:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
     hits, total, letters = np.zeros((len(texts), n), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-    for codes, starts, which in _pieces(texts):
+    for codes, starts, which, counted in _pieces(texts):
         np.logical_or.at(letters, which, np.add.reduceat(codes != 0, starts) > 0)
         for size in SIZES:
-            at, hashed = _grams(codes, size)
+            at, hashed = _grams(codes, size, counted)
             if not len(at):
                 continue
             a, b, c = _slots_of(hashed)
@@ -175,8 +189,8 @@ def fit_filters(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                for codes, _, _ in _pieces(list(texts)):
-                    keys, n = np.unique(np.concatenate([_grams(codes, size)[1] for size in SIZES]), return_counts=True)
+                for codes, _, _, counted in _pieces(list(texts)):
+                    keys, n = np.unique(np.concatenate([_grams(codes, size, counted)[1] for size in SIZES]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
 
     grams = sample.select("lang", "text").mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
@@ -187,18 +201,37 @@ def fit_filters(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return build_filters(languages, [top.loc[top["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64) for lang in languages])
 
 
+def language_column(spark: SparkSession, text: Column, filters: LanguageFilters) -> Column:
+    """``predict`` as a column, a struct of lang_pred and score; only the text goes to Python."""
+    model = spark.sparkContext.broadcast(filters)
+
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        lang, score = predict(model.value, list(texts))
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return F.pandas_udf(judged, "lang_pred string, score double")(text)
+
+
 def identify_languages(docs: DataFrame, filters: LanguageFilters, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, lang_pred and score of each row; repeated rows are judged each, other columns are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast(filters)
-    id_type = dict(docs.dtypes)[id_col]
+    """id, held_out, lang_pred and score of each row.
 
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lang, score = predict(model.value, list(batch["text"]))
-            yield pd.DataFrame({id_col: batch["id"], "held_out": batch["held"], "lang_pred": lang, "score": score})
+    A null or empty text, or one without a letter, is ``und``; ties go to the
+    language with more training documents; very long texts are judged whole.
+    Repeated rows are judged each; an empty table gives an empty result; other
+    columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), language_column(docs.sparkSession, F.col(text_col), filters).alias("judged"))
+    return rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "judged.lang_pred", "judged.score")
 
-    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(judged, f"`{id_col}` {id_type}, held_out boolean, lang_pred string, score double")
+
+def keep_known_languages(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text has no letter, or none of whose n-grams belongs to any language.
+
+    Each row is judged by its own text, where it is: nothing is joined back,
+    so null and repeated ids do no harm; columns may have any names.
+    """
+    records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), language_column(docs.sparkSession, F.col(text_col), filters).alias("judged"))
+    return records.where((F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") > 0)).select("record.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
