@@ -6,42 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsidia.llm.exact_dedup import drop_copies
-from subsidia.llm.jaccard_join import join_similar
-from subsidia.llm.language_id import UNKNOWN, fit_filters, held_out, identify_languages
-from subsidia.llm.mixing import mix_sources, word_count
+from subsidia.llm.jaccard_join import drop_similar
+from subsidia.llm.language_id import fit_filters, held_out, keep_known_languages
+from subsidia.llm.mixing import draw_mix
 from subsidia.llm.packing import pack_public
-from subsidia.session import materialize, shared_path
+from subsidia.session import shared_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter, or of which no language has an n-gram, go."""
-    judged = identify_languages(docs, fit_filters(docs.where(~held_out(F.col("doc_id")))))
-    rejected = judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") == 0)).select("doc_id").distinct()
-    return docs.join(materialize(rejected, "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose language is known; those without a letter, or of which no language has an n-gram, go.
+
+    Rows are judged one by one, by their text alone: null and empty texts go,
+    repeated rows and null ids are nothing special, very long texts are judged
+    whole, an empty table stays empty and further columns stay as they are.
+    """
+    return keep_known_languages(docs, fit_filters(docs.where(~held_out(F.col("doc_id")))))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that with the largest id."""
+    """One document of each text, that with the largest id; null ids are the smallest, and of equal ids the last row stays.
+
+    Null counts as the empty text.  Rows are told apart by their place, so a
+    repeated id takes no other text along.  An empty table stays empty and
+    further columns stay as they are.
+    """
     return drop_copies(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    groups = join_similar(docs)
-    dropped = materialize(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, that with the smallest id; null ids are the largest, and of equal ids the first row stays.
+
+    Texts without a word all stay.  Rows are told apart by their place.  An
+    empty table stays empty and further columns stay as they are.
+    """
+    return drop_similar(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those without a word go."""
-    mix = materialize(mix_sources(docs).where("copies > 0").select("doc_id", "source", "copies").distinct(), "mix")
-    same = docs["doc_id"].eqNullSafe(mix["doc_id"]) & docs["source"].eqNullSafe(mix["source"])
-    taken = docs.where(word_count(docs["text"]) > 0).join(mix, same).select(*[docs[c] for c in docs.columns], "copies")
-    return taken.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them; those without a word go.
+
+    A null source is a source of its own; rows with equal ids are taken or left
+    together if they are of one source, null ids being one id.  An empty table
+    stays empty and further columns stay as they are.
+    """
+    return draw_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; see ``pack_documents`` for nulls, repeated rows and empty tables."""
     return pack_public(docs)
 
 
