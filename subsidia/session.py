@@ -54,14 +54,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str = "table", arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs at most the tasks it was
     running, and later scans see real file sizes, so the planner's own
     threshold decides which sides are small enough to broadcast.
+    ``arrow_rows`` bounds the rows of one Arrow batch while it is written, for
+    rows of long texts; the session's setting is left as it was.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(_BATCH)
+    if arrow_rows is not None:
+        spark.conf.set(_BATCH, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
