@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from subsidia.llm.exact_dedup import from_files, located, without_rows
 from subsidia.llm.graph import components
-from subsidia.llm.words import set_hashes, shingle_sets, text_slices
+from subsidia.llm.words import BATCH_ROWS, set_hashes, shingle_sets, text_slices
 from subsidia.session import materialize
 
 WORDS = 5
@@ -176,7 +176,7 @@ class _Sets:
                     yield pa.RecordBatch.from_arrays([batch["node"].slice(at, to - at), pa.array(n, pa.int32()), pa.array(short, pa.int32()), data], ["node", "n", "n_short", "found"])
 
         read = self.rows.join(wanted, ["file", "row"]).select("node", "text")
-        return materialize(read.mapInArrow(made, "node long, n int, n_short int, found binary"), "sets")
+        return materialize(read.mapInArrow(made, "node long, n int, n_short int, found binary"), "sets", arrow_rows=BATCH_ROWS)
 
 
 def _occurring(pairs: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def _contracted(lists: DataFrame, joined: DataFrame, sets: _Sets) -> DataFrame:
         pairs = materialize(_occurring(met).withColumn("c", F.lit(None).cast("int")), "round-pairs")
         if pairs.isEmpty():
             break
-        links = materialize(_probed(pairs, sets), "round-links")
+        links = materialize(_probed(pairs, sets), "round-links", arrow_rows=BATCH_ROWS)
         if links.isEmpty():
             if central:
                 continue
@@ -361,7 +361,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = dict(docs.dtypes)[id_col]
     spark, docs = docs.sparkSession, from_files(docs)
     rows = located(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")])
-    known = materialize(_sets(rows, {"doc_id": id_type, "file": "string", "row": "long"}), "sets-by-document")
+    known = materialize(_sets(rows, {"doc_id": id_type, "file": "string", "row": "long"}), "sets-by-document", arrow_rows=BATCH_ROWS)
     filled = known.where("n > 0")
     clashing = filled.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").toPandas()["node"].to_numpy(np.int64)
     if len(clashing):
@@ -383,14 +383,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lists = entries.repartition("shingle", "salt").withColumns({"before": F.lag("node").over(listed), "head": F.first("node").over(whole), "tail": F.last("node").over(whole)})
     lists = lists.where("(before IS NULL OR before <> node) AND (head <> tail OR salt >= 0)").drop("before", "head", "tail")
     by_class = Window.partitionBy("shingle", "salt", "size_class").orderBy("node")
-    lists = materialize(lists.withColumn("lead", F.first(F.struct("node", "n")).over(by_class)), "lists")
+    lists = materialize(lists.withColumn("lead", F.first(F.struct("node", "n")).over(by_class)), "lists", arrow_rows=BATCH_ROWS)
 
     star = lists.where("node <> lead.node").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("lead.node").alias("b"), F.col("lead.n").alias("bn"))
     next_class = Window.partitionBy("shingle").orderBy("size_class", "salt", "node")
     leads = lists.where("node = lead.node").withColumn("last", F.lag(F.struct("node", "n")).over(next_class)).where("last IS NOT NULL")
     chain = leads.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("last.node").alias("b"), F.col("last.n").alias("bn"))
     first_pairs = materialize(_occurring(star.union(chain)).withColumn("c", F.lit(None).cast("int")), "star-pairs")
-    links = materialize(_probed(first_pairs, sets), "star-links")
+    links = materialize(_probed(first_pairs, sets), "star-links", arrow_rows=BATCH_ROWS)
     joined = materialize(components(links, "a", "b"), "star-components")
 
     lists = lists.drop("lead", "size_class", "salt")
@@ -400,7 +400,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Any two nodes of different components meet in mixed lists only, so this pass counts all their common short lists.
     more = materialize(_occurring(_met(placed.join(mixed, "shingle", "left_semi"))), "more-pairs")
     if not more.isEmpty():
-        joined = _closed(_probed(more, sets), joined, "components")
+        joined = _closed(materialize(_probed(more, sets), "more-links", arrow_rows=BATCH_ROWS), joined, "components")
 
     placed = nodes.join(joined, "node", "left").select("node", "keep", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("keep").alias("keep"))

@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subsidia.llm.exact_dedup import from_files, located, without_rows
+from subsidia.llm.words import BATCH_ROWS
+from subsidia.session import materialize
+
 UNKNOWN = "und"
 #: Bounds of the model: languages, n-grams of each, slots and hashes of the filters.
 GRAMS, SLOT_BITS, HASHES = 20_000, 20, 3
@@ -31,7 +35,7 @@ SIZES = (3, 4)
 #: A language has an n-gram if it is at least this many times as frequent there as where it is most frequent.
 DISTINCT = 0.2
 #: Characters worked on at once.
-PIECE = 1 << 19
+PIECE = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,11 +231,13 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, *, id_col: str
 def keep_known_languages(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text has no letter, or none of whose n-grams belongs to any language.
 
-    Each row is judged by its own text, where it is: nothing is joined back,
-    so null and repeated ids do no harm; columns may have any names.
+    Each row is judged by its own text and told apart by its place, so null
+    and repeated ids do no harm; columns may have any names.
     """
-    records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), language_column(docs.sparkSession, F.col(text_col), filters).alias("judged"))
-    return records.where((F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") > 0)).select("record.*")
+    found = from_files(docs)
+    judged = located(found, [language_column(docs.sparkSession, F.col(text_col), filters).alias("judged")])
+    rejected = judged.where((F.col("judged.lang_pred") == UNKNOWN) | (F.col("judged.score") == 0)).select("file", "row")
+    return without_rows(found, materialize(rejected, "rejected", arrow_rows=BATCH_ROWS)).toDF(*docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,9 @@ SIZE = 1024
 #: Pieces of one length that a task numbers at a time, about.
 PER_BUCKET = 100_000
 #: Bytes that a worker's remembered chunks may take, and the longest chunk that is remembered.
-CACHE_BYTES, CACHED_LENGTH = 100_000_000, 64
-#: Bytes of text tokenised at once.
-SLICE = 4 << 20
+CACHE_BYTES, CACHED_LENGTH = 80_000_000, 64
+#: Bytes of text tokenised at once, and documents in one Arrow batch.
+SLICE, BATCH_ROWS = 4 << 20, 2000
 #: All that a tokenizer may take for white space, and a few more; for the patterns of Arrow.
 _SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NEWLINE = 198
@@ -271,7 +271,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
                 yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(which + at)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(own[which])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = materialize(rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = materialize(rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"), "pieces", arrow_rows=BATCH_ROWS)
     buckets = max(64, pieces.count() // PER_BUCKET)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     histogram = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("pieces")), "histogram")

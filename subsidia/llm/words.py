@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 22
+SLICE = 1 << 20
+#: Documents in one Arrow batch.
+BATCH_ROWS = 1000
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
