@@ -28,8 +28,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
-#: Shards of the state, each a RocksDB instance of its own with some MB of files; fixed for the life of a state.
-STATE_SHARDS = 24
+#: Digests in one shard of the state, about, and the fewest shards; each is a RocksDB instance of its own with some MB of files.
+PER_SHARD, FEWEST_SHARDS = 5_000_000, 24
 #: Digests of repeated texts that are broadcast at most, counted first.
 MAX_BROADCAST = 500_000
 
@@ -65,12 +65,24 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return records.join(dropped, ["file", "row"], "left_anti").select("record.*")
 
 
-def keep_state(spark: SparkSession, slim: str, state: str, out: str, schema, files_per_batch: int | None = None, shards: int = STATE_SHARDS) -> list[int]:
+def _shards(spark: SparkSession, slim: DataFrame, state: str) -> int:
+    """The number of shards that was fixed when the state began, beside the state, or one by the rows counted now."""
+    fixed = f"{state}-shards"
+    try:
+        return spark.read.schema("shards int").parquet(fixed).first()[0]
+    except AnalysisException:
+        shards = max(FEWEST_SHARDS, -(-slim.count() // PER_SHARD))
+        spark.range(1).select(F.lit(shards).alias("shards")).write.parquet(fixed)
+        return shards
+
+
+def keep_state(spark: SparkSession, slim: str, state: str, out: str, schema, files_per_batch: int | None = None) -> list[int]:
     """Streams the slim rows that are new in folder ``slim`` into the state and writes each batch's changed groups to ``out``.
 
     Returns the numbers of the batches.  A second call with the same ``state``
     continues where the first one ended.
     """
+    shards = _shards(spark, spark.read.schema(schema).parquet(slim), state)
     session, batches = spark.newSession(), []
     for key, value in (_STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(shards)}).items():
         session.conf.set(key, value)
