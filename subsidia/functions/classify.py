@@ -10,6 +10,14 @@ VELOCITY_STEPS = (-5, -2, -1, 1, 2, 5, 10)
 # Slope ramp breakpoints in degrees.
 SLOPE_STEPS = (0, 5, 15, 25, 35, 90)
 BANDS = ("low", "medium", "high")
+# Published velocity thresholds in mm per year.
+VELOCITY_THRESHOLDS = {"strong_subsidence": -5.0, "moderate_subsidence": -2.0, "stable_min": -1.0, "stable_max": 1.0, "moderate_uplift": 2.0, "strong_uplift": 5.0}
+# Colour ramps of the result maps; a missing agreement is grey.
+QUALITY_RAMP = ((0, "#8e0f2f"), (0.4, "#d97b29"), (0.7, "#f2c14e"), (1, "#1b9e77"))
+ANOMALY_RAMP = ((0, "#1b9e77"), (0.4, "#f2c14e"), (0.7, "#d97b29"), (1, "#8e0f2f"))
+AGREEMENT_RAMP, NO_AGREEMENT = ((0, "#8e0f2f"), (0.5, "#f2c14e"), (1, "#1b9e77")), "#9aa0a6"
+# Range and default of the height sensitivity in metres.
+SENSITIVITY = (1.0, 100.0, 10.0)
 
 
 def step_class(value: Column, steps: tuple[float, ...]) -> Column:
@@ -50,6 +58,56 @@ def slope_ramp(slope: Column) -> Column:
     return ramp(slope, [(s, i / (len(SLOPE_STEPS) - 1)) for i, s in enumerate(SLOPE_STEPS)])
 
 
+def color_ramp(value: Column, stops: tuple[tuple[float, str], ...]) -> Column:
+    """Hex colour between the stops, each channel on its own."""
+    channel = lambda i: F.round(ramp(value, [(x, int(c[i : i + 2], 16)) for x, c in stops])).cast("int")
+    return F.format_string("#%02x%02x%02x", *[channel(i) for i in (1, 3, 5)])
+
+
+def quality_color(quality: Column) -> Column:
+    return color_ramp(F.coalesce(quality, F.lit(0.0)), QUALITY_RAMP)
+
+
+def anomaly_color(anomaly: Column) -> Column:
+    return color_ramp(F.coalesce(anomaly, F.lit(0.0)), ANOMALY_RAMP)
+
+
+def agreement_color(agreement: Column) -> Column:
+    return F.when(agreement.isNull(), NO_AGREEMENT).otherwise(color_ramp(agreement, AGREEMENT_RAMP))
+
+
+def thresholds() -> Column:
+    """The velocity thresholds as a struct."""
+    return F.struct(*[F.lit(v).alias(k) for k, v in VELOCITY_THRESHOLDS.items()])
+
+
+def height_sensitivity(value: Column) -> Column:
+    """Held to its range, to a tenth below ten and whole above; a missing value is the default."""
+    low, high, default = SENSITIVITY
+    held = F.least(F.lit(high), F.greatest(F.lit(low), value))
+    rounded = F.when(held < 10, F.floor(held * 10 + 0.5) / 10).otherwise(F.floor(held + 0.5).cast("double"))
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit(default)).otherwise(rounded)
+
+
+def sensitivity_slider(value: Column) -> Column:
+    """Place on a logarithmic slider from 0 to 2."""
+    return F.log10(height_sensitivity(value))
+
+
+def slider_sensitivity(place: Column) -> Column:
+    return F.when(place.isNull() | F.isnan(place), F.lit(SENSITIVITY[2])).otherwise(height_sensitivity(F.pow(F.lit(10.0), F.least(F.lit(2.0), F.greatest(F.lit(0.0), place)))))
+
+
+def dataset_sensor(dataset_id: Column) -> Column:
+    """The sensor of a dataset, null if it is unknown; a missing dataset is the first one."""
+    from subsidia.sources.tracks import DATASETS
+
+    name, out = F.coalesce(dataset_id, F.lit(DATASETS[0][0])), F.lit(None).cast("string")
+    for dataset, _, _, sensor, _ in DATASETS:
+        out = F.when(name == dataset, sensor).otherwise(out)
+    return out
+
+
 def quality_label(quality: Column, normal: float = 0.70, outlier: float = 0.40) -> Column:
     return F.when(quality >= normal, "normal").when(quality < outlier, "outlier").otherwise("suspect")
 

@@ -120,6 +120,39 @@ def rings_distance(x: Column, y: Column, rings: Column) -> Column:
     return F.when(rings_cover(x, y, rings), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, lambda r: ring_distance(x, y, r))))
 
 
+def rings_box(rings: Column) -> Column:
+    """Box (x0, y0, x1, y1) around a polygon."""
+    of = lambda c: F.transform(F.flatten(rings), lambda p: p[c])
+    return F.struct(F.array_min(of("x")).alias("x0"), F.array_min(of("y")).alias("y0"), F.array_max(of("x")).alias("x1"), F.array_max(of("y")).alias("y1"))
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of a polygon's first ring less that of the others, whichever way they run."""
+
+    def doubled(ring: Column) -> Column:
+        return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+
+    every = F.transform(rings, doubled)
+    return (2 * F.get(every, F.lit(0)) - F.aggregate(every, F.lit(0.0), lambda s, a: s + a)) / 2
+
+
+def inner_point(rings: Column, centroid: Column) -> Column:
+    """A point (x, y) of a polygon: the centroid if the polygon covers it, else the middle of the widest span of the centroid's row.
+
+    The row is that of the centroid's y; its crossings with all edges, in
+    order, bound by turns what is inside and what is not.
+    """
+
+    def crossings(y: Column) -> Column:
+        every = F.flatten(F.transform(rings, _edges))
+        cut = F.filter(every, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        return F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"])))
+
+    xs = crossings(centroid["y"])
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) / 2 - 1, F.lit(0)).cast("int")), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("width"), ((F.get(xs, 2 * k + 1) + F.get(xs, 2 * k)) / 2).alias("x")))
+    return F.when(rings_cover(centroid["x"], centroid["y"], rings), centroid).otherwise(F.struct(F.array_max(spans)["x"].alias("x"), centroid["y"].alias("y")))
+
+
 def rings_centroid(rings: Column) -> tuple[Column, Column]:
     """Area centroid by signed areas; holes must run the other way round."""
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "x", "y")])

@@ -48,5 +48,11 @@ def float_map(values: Column) -> Column:
     return F.transform_values(values, lambda _, v: v.try_cast("double"))
 
 
+def text_map(values: Column) -> Column:
+    """Any map's keys and values as text, null values kept; an empty map for null."""
+    texts = F.transform_keys(F.transform_values(values, lambda _, v: v.cast("string")), lambda k, _: k.cast("string"))
+    return F.coalesce(texts, F.create_map().cast("map<string,string>"))
+
+
 def has_key(document: Column, *keys: str) -> Column:
     return F.try_variant_get(document, _path(keys), "variant").isNotNull()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subsidia.functions.geo import box_distance, range_offset
+from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_distance
 
 CELL = 50.0
 
@@ -27,6 +27,23 @@ def with_cells(rows: DataFrame, low_x: Column, low_y: Column, high_x: Column, hi
     return out.withColumn("cell_y", F.explode(F.sequence(_cell(low_y, cell), _cell(high_y, cell))))
 
 
+def near_buildings(buildings: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """Buildings whose box lies within ``reach`` of the box of all points; one row of bounds reaches the driver."""
+    box = points.agg(*[f(c) for c in ("x_m", "y_m") for f in (F.min, F.max)]).first()
+    if box[0] is None:
+        return buildings.limit(0)
+    apart = lambda c, h, low, high: (F.col(c) + F.col(h) < low - reach) | (F.col(c) - F.col(h) > high + reach)
+    return buildings.where(~(apart("cx", "hw", box[0], box[1]) | apart("cy", "hh", box[2], box[3])))
+
+
+def with_boxes(buildings: DataFrame) -> DataFrame:
+    """Buildings given by ``rings`` with the box (cx, cy, hw, hh) around them; those without a ring are dropped."""
+    box = buildings.where(F.size("rings") > 0).withColumn("box", rings_box(F.col("rings")))
+    half = lambda a, b: (F.col(f"box.{b}") - F.col(f"box.{a}")) / 2
+    middle = lambda a, b: (F.col(f"box.{b}") + F.col(f"box.{a}")) / 2
+    return box.withColumns({"cx": middle("x0", "x1"), "cy": middle("y0", "y1"), "hw": half("x0", "x1"), "hh": half("y0", "y1")}).drop("box")
+
+
 def assign_buildings(points: DataFrame, buildings: DataFrame, tracks: DataFrame, *, max_distance: float = 15.0, slack: float = 2.0, low: float = 3.0, high: float = 30.0, multiplier: float = 1.0) -> DataFrame:
     """At most one building for each point.
 
@@ -34,12 +51,15 @@ def assign_buildings(points: DataFrame, buildings: DataFrame, tracks: DataFrame,
     ``slack`` of it or of the point shifted back by the roof's range offset
     (1); those within ``max_distance`` (2).  Then the nearest, then the smaller
     building id.  Points come with code, track, x_m, y_m and incidence_angle;
-    buildings with a box (cx, cy, hw, hh) and height; tracks with the range
-    vector and default incidence.  Points without a candidate have nulls.
+    buildings with a box (cx, cy, hw, hh) and height, and, where they are
+    polygons, with ``rings`` inside the box; tracks with the range vector and
+    default incidence.  Points without a candidate have nulls.  Cells are found
+    by the box; the rings are measured only for pairs that the box allows.
     """
     reach = F.lit(max(high + slack, max_distance))
     cells = with_cells(buildings, F.col("cx") - F.col("hw") - reach, F.col("cy") - F.col("hh") - reach, F.col("cx") + F.col("hw") + reach, F.col("cy") + F.col("hh") + reach)
-    cells = cells.select("cell_x", "cell_y", F.col("building_id").alias("candidate"), "cx", "cy", "hw", "hh", F.col("height").alias("building_height"))
+    rings = ["rings"] if "rings" in buildings.columns else []
+    cells = cells.select("cell_x", "cell_y", F.col("building_id").alias("candidate"), "cx", "cy", "hw", "hh", F.col("height").alias("building_height"), *rings)
     rows = points.drop("building_id").join(F.broadcast(tracks.select("track", "default_incidence_deg", "range_dx", "range_dy")), "track")
     placed = rows.withColumns({"cell_x": _cell(F.col("x_m"), CELL), "cell_y": _cell(F.col("y_m"), CELL)})
     offset = range_offset(F.col("building_height"), F.coalesce("incidence_angle", "default_incidence_deg"), multiplier=multiplier, low=low, high=high)
@@ -47,6 +67,10 @@ def assign_buildings(points: DataFrame, buildings: DataFrame, tracks: DataFrame,
     distance = box_distance(F.col("x_m"), F.col("y_m"), F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh"))
     shifted = box_distance(F.col("x_m") - F.col("range_dx") * F.col("range_offset_m"), F.col("y_m") - F.col("range_dy") * F.col("range_offset_m"), F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh"))
     pairs = pairs.withColumns({"distance_m": distance, "shifted_m": shifted})
+    if rings:
+        # A polygon is never nearer than its box.
+        pairs = pairs.where((F.col("distance_m") <= max_distance) | (F.col("shifted_m") <= slack))
+        pairs = pairs.withColumns({"distance_m": rings_distance(F.col("x_m"), F.col("y_m"), F.col("rings")), "shifted_m": F.when(F.col("shifted_m") <= slack, rings_distance(F.col("x_m") - F.col("range_dx") * F.col("range_offset_m"), F.col("y_m") - F.col("range_dy") * F.col("range_offset_m"), F.col("rings")))})
     priority = F.when(F.col("distance_m") == 0, 0).when((F.col("distance_m") <= slack) | (F.col("shifted_m") <= slack), 1).when(F.col("distance_m") <= max_distance, 2)
     pairs = pairs.withColumn("priority", priority).where("priority IS NOT NULL")
     best = pairs.groupBy("code", "track").agg(F.min(F.struct("priority", "distance_m", "candidate", "range_offset_m", "building_height", "cx", "cy")).alias("b"))

@@ -1,8 +1,9 @@
 """Density clusters of the points of one building and track.
 
-The groups are small, a few hundred points of one roof, and are handed to
-Arrow by Spark's grouping; within a group the mutual-reachability tree is cut
-by excess of mass (Campello et al. 2013, 2015).
+A group is the points of one roof, a few hundred at most in published data, and
+is handed to Arrow by Spark's grouping; within it the mutual-reachability tree
+is cut by excess of mass (Campello et al. 2013, 2015).  Memory grows with the
+points of a group, time with their square: ten thousand take some seconds.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ def scaled_matrix(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _reachability_edges(x: np.ndarray, neighbours: int) -> np.ndarray:
-    """Minimum spanning tree of mutual reachability as rows (a, b, distance), by distance."""
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    core = np.sort(d, axis=1)[:, min(neighbours, len(x) - 1)]
-    d = np.maximum(d, np.maximum(core[:, None], core[None]))
+    """Minimum spanning tree of mutual reachability as rows (a, b, distance), by distance.
+
+    Distances are made row by row when they are needed, so memory grows with the number of points only.
+    """
+    away = lambda i: np.sqrt(((x - x[i]) ** 2).sum(-1))
+    kth = min(neighbours, len(x) - 1)
+    core = np.array([np.partition(away(i), kth)[kth] for i in range(len(x))])
     inside, best, link, edges = np.zeros(len(x), bool), np.full(len(x), np.inf), np.zeros(len(x), int), []
     at = 0
     for _ in range(len(x) - 1):
         inside[at] = True
-        closer = ~inside & (d[at] < best)
-        best[closer], link[closer] = d[at][closer], at
+        d = np.maximum(away(at), np.maximum(core, core[at]))
+        closer = ~inside & (d < best)
+        best[closer], link[closer] = d[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((link[at], at, best[at]))
     return np.array(sorted(edges, key=lambda e: e[2]))
@@ -60,9 +65,19 @@ def density_clusters(x: np.ndarray, smallest: int, neighbours: int) -> tuple[np.
         root.append(node)
         for c in children[node]:
             root[c] = node
-    members: dict[int, list[int]] = {}
-    for node in range(len(root)):
-        members[node] = [node] if node < n else members[children[node][0]] + members[children[node][1]]
+    size = [1] * n
+    for node in range(n, len(root)):
+        size.append(size[children[node][0]] + size[children[node][1]])
+
+    def members(node: int) -> list[int]:
+        out, open_ = [], [node]
+        while open_:
+            at = open_.pop()
+            if at < n:
+                out.append(at)
+            else:
+                open_ += children[at][::-1]
+        return out
 
     density = lambda d: 1.0 / d if d > 0 else np.inf
     born, fell, parent, leaves = [0.0], [{}], [-1], [[]]  # condensed clusters
@@ -73,7 +88,7 @@ def density_clusters(x: np.ndarray, smallest: int, neighbours: int) -> tuple[np.
             fell[cluster][node] = np.inf
             continue
         at = density(height[node])
-        large = [c for c in children[node] if len(members[c]) >= smallest]
+        large = [c for c in children[node] if size[c] >= smallest]
         if len(large) == 2:
             for c in large:
                 born.append(at)
@@ -87,7 +102,7 @@ def density_clusters(x: np.ndarray, smallest: int, neighbours: int) -> tuple[np.
             if c in large:
                 stack.append((c, cluster))
             else:
-                fell[cluster] |= dict.fromkeys(members[c], at)
+                fell[cluster] |= dict.fromkeys(members(c), at)
 
     count = [0] * len(born)
     ends = [max([v for v in f.values() if np.isfinite(v)], default=0.0) for f in fell]

@@ -3,7 +3,7 @@
 Greedy order is by (number of neighbours, key), both descending.  A building's
 colour depends only on neighbours that come before it, so in each round all
 buildings whose earlier neighbours are coloured take theirs at once; the result
-is that of going through them one by one.
+is that of going through them one by one.  Each round's rows are written once.
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ def color_buildings(keys: DataFrame, edges: DataFrame, palette: int = PALETTE) -
     earlier = materialize(links.where("rb > ra").select(F.col("a").alias("key"), F.col("b").alias("before")), "earlier")
     start = palette_index(F.col("key"), palette)
     waiting = nodes.join(earlier.select("key").distinct(), "key", "left_semi").select("key")
-    done = materialize(nodes.join(earlier.select("key").distinct(), "key", "left_anti").select("key", start.alias("color")), "colors")
+    done = materialize(nodes.join(earlier.select("key").distinct(), "key", "left_anti").select("key", start.alias("color")), "colored")
     waiting = materialize(waiting, "waiting")
     while not waiting.isEmpty():
         seen = waiting.join(earlier, "key").join(done.withColumnRenamed("key", "before"), "before", "left")
         ready = seen.groupBy("key").agg(F.collect_set("color").alias("used"), F.max(F.col("color").isNull()).alias("open")).where("NOT open")
         turns = F.transform(F.sequence(F.lit(0), F.lit(palette - 1)), lambda i: (start + i) % palette)
         colored = materialize(ready.select("key", F.coalesce(F.get(F.filter(turns, lambda c: ~F.array_contains("used", c)), F.lit(0)), start).alias("color")), "colored")
-        done = materialize(done.unionByName(colored), "colors")
+        done = done.unionByName(colored)
         waiting = materialize(waiting.join(colored, "key", "left_anti"), "waiting")
     return done

@@ -78,12 +78,17 @@ def gate_reasons(*, min_epochs: int = 24, min_ratio: float = 0.50, coherence_flo
 
 
 def apply_gates(points: DataFrame, stats: DataFrame, **limits) -> DataFrame:
-    """Points with their reasons, the first one, and the share of their group that is kept."""
+    """Points with their reasons, the first one, and the share of their group that is kept.
+
+    Points without a building have no group: nothing of it is kept, and they are in no window.
+    """
     rows = points.join(stats.select("track", "coherence_p05"), "track").withColumn("reasons", gate_reasons(**limits))
     rows = rows.withColumns({"excluded": F.size("reasons") > 0, "degraded_reason": F.get("reasons", F.lit(0))})
-    group = Window.partitionBy(*GROUP)
+    rows, group = rows.drop("coherence_p05"), Window.partitionBy(*GROUP)
     kept = F.sum((~F.col("excluded")).cast("int")).over(group)
-    return rows.withColumns({"kept_points": kept, "kept_ratio": F.when(F.col("building_id").isNotNull(), kept / F.count("*").over(group)).otherwise(F.lit(0.0))}).drop("coherence_p05")
+    grouped = rows.where("building_id IS NOT NULL").withColumns({"kept_points": kept, "kept_ratio": kept / F.count("*").over(group)})
+    alone = rows.where("building_id IS NULL").withColumns({"kept_points": F.lit(0).cast("bigint"), "kept_ratio": F.lit(0.0)})
+    return grouped.unionByName(alone)
 
 
 def small_group_roles(points: DataFrame, threshold: float = 0.80) -> DataFrame:

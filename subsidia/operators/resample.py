@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subsidia.functions.classify import building_stability_band, stability_band
+
 #: Draws and seed; a group's seed adds the code points of its key.
 DRAWS, SEED = 500, 17
+#: Points of a group that one task takes at a time.
+PER_PART = 100_000
 
 
 def key_seed(key: str, base: int = SEED) -> int:
@@ -39,6 +43,89 @@ def bootstrap_summary(rows: DataFrame, key: str, value: str, order: str, draws:
     return chosen.groupBy("k").applyInPandas(summary, "key string, n long, mean double, median double, std double, p05 double, p95 double, ci_width double")
 
 
+def _at(ordered: Column, q: float) -> Column:
+    """Percentile of a sorted array by linear interpolation."""
+    place = q * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+    return low + (high - low) * (place - F.floor(place))
+
+
+def distribution(values: Column) -> Column:
+    """mean, median, p05, p95 and ci_width of an array; null if it is empty."""
+    ordered = F.array_sort(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+    return F.when(F.size(values) > 0, F.struct(mean.alias("mean"), _at(ordered, 0.5).alias("median"), _at(ordered, 0.05).alias("p05"), _at(ordered, 0.95).alias("p95"), (_at(ordered, 0.95) - _at(ordered, 0.05)).alias("ci_width")))
+
+
+def building_distributions(draws: DataFrame, key: str, allowed: Column) -> DataFrame:
+    """Motion and agreement of buildings from the bootstrap draws of their tracks, taken draw by draw.
+
+    ``draws`` has one row for each key and track with an array of draws, all
+    equally long.  A building's motion in a draw is the mean of its tracks';
+    its agreement falls with their range over ``allowed`` (a quarter at least)
+    and is there only for two tracks and more.
+    """
+    return _distributions(draws.groupBy(key).agg(F.collect_list("draws").alias("of_tracks"), F.count("*").alias("tracks")), key, allowed)
+
+
+def _distributions(several: DataFrame, key: str, allowed: Column) -> DataFrame:
+    each = F.transform(F.sequence(F.lit(0), F.size(F.get("of_tracks", F.lit(0))) - 1), lambda i: F.transform("of_tracks", lambda d: F.get(d, i)))
+    rows = several.withColumn("by_draw", each)
+    mean = F.transform("by_draw", lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
+    agreement = F.transform("by_draw", lambda v: F.exp(-(F.array_max(v) - F.array_min(v)) / F.greatest(allowed, F.lit(0.25))))
+    none = F.array().cast("array<double>")
+    return rows.select(key, "tracks", distribution(mean).alias("motion"), distribution(F.when(F.col("tracks") >= 2, agreement).otherwise(none)).alias("agreement"))
+
+
+def bootstrap_draws(rows: DataFrame, keys: list[str], value: str, order: str, draws: int = DRAWS) -> DataFrame:
+    """The draws themselves, one array for each group of ``keys``; the groups are the points of one main cluster."""
+    types = dict(rows.dtypes)
+
+    def drawn(group: pd.DataFrame) -> pd.DataFrame:
+        values = group.sort_values("o")["v"].to_numpy(float)
+        name = ":".join(str(group[k].iloc[0]) for k in keys)
+        return group[keys].iloc[:1].assign(points=len(values), draws=[bootstrap_medians(values, draws, key_seed(name)).tolist()])
+
+    chosen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
+    return chosen.groupBy(*keys).applyInPandas(drawn, ", ".join(f"{k} {types[k]}" for k in keys) + ", points long, draws array<double>")
+
+
+def building_stability(points: DataFrame, buildings: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """Stability of buildings under resampling of their main clusters' points.
+
+    ``points`` are those of main clusters with building_id, track, code,
+    vertical and ``support``, their share of the track's kept points;
+    ``buildings`` has status, motion, agreement, reliability, differential,
+    reliable clusters and the allowed difference.  Notes name what does not fit
+    together.
+    """
+    keys = ["building_id", "track"]
+    drawn = bootstrap_draws(points, keys, "vertical", "code", draws)
+    support = points.groupBy(*keys).agg(F.max("support").alias("support"))
+    tracks = drawn.join(support, keys).withColumn("width", distribution(F.col("draws"))["ci_width"])
+    tracks = tracks.withColumn("band", stability_band(F.col("points"), F.col("support"), F.col("width")))
+    bands = tracks.groupBy("building_id").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    rows = drawn.join(buildings.select("building_id", "allowed"), "building_id").select("building_id", "draws", "allowed")
+    out = _with_allowed(rows).join(bands, "building_id").join(buildings, "building_id")
+    width, high = F.col("motion_draws.ci_width"), F.col("reliability") >= 0.75
+    error = F.abs(F.col("motion_draws.median") - F.col("motion"))
+    notes = F.array_compact(F.array(
+        F.when(error > 0.35, F.format_string("Bootstrap median is %.2f mm a year from the stored motion.", error)),
+        F.when(high & (width > 1.0), "High reliability with a wide bootstrap interval."),
+        F.when(high & F.array_contains("bands", "unstable"), "High reliability with an unstable track."),
+        F.when((F.col("agreement") < 0.25) & (F.col("status") == "ok"), "Status ok at very low agreement of tracks."),
+        F.when(F.col("status").isin("small_n", "insufficient_support"), "Small sample: bootstrap values are diagnostic only."),
+        F.when(F.col("differential") & (F.col("reliable_clusters") < 3), "Differential motion from few reliable clusters."),
+    ))
+    return out.select("building_id", "tracks", "bands", "motion_draws", "agreement_draws", building_stability_band(F.col("bands"), width, F.col("agreement_draws.ci_width")).alias("band"), notes.alias("notes"))
+
+
+def _with_allowed(rows: DataFrame) -> DataFrame:
+    """The distributions with each building's own allowed difference."""
+    several = rows.groupBy("building_id").agg(F.collect_list("draws").alias("of_tracks"), F.count("*").alias("tracks"), F.max("allowed").alias("allowed"))
+    return _distributions(several, "building_id", F.col("allowed")).withColumnsRenamed({"motion": "motion_draws", "agreement": "agreement_draws"})
+
+
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Hull from the lowest left point, counter-clockwise."""
     points = sorted(set(points))
@@ -57,12 +144,23 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def cluster_hulls(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of points and hull vertices of each group."""
+    """Number of points and hull vertices of each group.
+
+    The hull of a large group is that of the hulls of its parts, each of about
+    ``PER_PART`` points, so no task holds such a group whole.
+    """
 
     def hull(group: pd.DataFrame) -> pd.DataFrame:
         found = convex_hull(list(zip(group["x_m"], group["y_m"])))
-        return group[keys].iloc[:1].assign(points=len(group), hull=[[{"x": x, "y": y} for x, y in found]])
+        return group[keys].iloc[:1].assign(hull=[[{"x": x, "y": y} for x, y in found]])
 
     types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", points long, hull array<struct<x:double,y:double>>"
-    return points.select(*keys, "x_m", "y_m").groupBy(*keys).applyInPandas(hull, schema)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hull array<struct<x:double,y:double>>"
+    counts = points.groupBy(*keys).agg(F.count("*").alias("points"))
+    large = counts.where(F.col("points") > PER_PART).select(*[F.col(k).alias(f"large_{k}") for k in keys], F.ceil(F.col("points") / PER_PART).alias("parts"))
+    same = [F.col(k).eqNullSafe(F.col(f"large_{k}")) for k in keys]
+    rows = points.select(*keys, "x_m", "y_m").join(large, same, "left").withColumn("part", F.pmod(F.xxhash64("x_m", "y_m"), F.coalesce("parts", F.lit(1))))
+    parts = rows.select(*keys, "x_m", "y_m", "part").groupBy(*keys, "part").applyInPandas(hull, schema)
+    corners = parts.select(*keys, F.explode("hull").alias("h")).select(*keys, F.col("h.x").alias("x_m"), F.col("h.y").alias("y_m"))
+    whole = corners.groupBy(*keys).applyInPandas(hull, schema)
+    return counts.join(whole, keys).select(*keys, "points", "hull")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subsidia.session import materialize
+
+#: Parts into which the values of a key are divided to find a percentile.
+PARTS = 256
+
 
 def displacement_features(series: DataFrame, keys: list[str], value: str = "displacement") -> DataFrame:
     """Trend, roughness and the largest step of each series.
@@ -42,11 +47,37 @@ def missing_rate(features: DataFrame, series: DataFrame, track: str = "track") -
     return features.join(dates, track).withColumn("missing_rate", F.greatest(F.lit(0.0), 1 - F.col("n_dates") / F.greatest("total_dates", F.lit(1))))
 
 
+def exact_percentiles(rows: DataFrame, key: str, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Exact percentiles, with linear interpolation, of columns by a key that may hold any share of the rows.
+
+    ``wanted`` gives (values, q) by name.  Equal values are counted before the
+    shuffle.  Approximate quantiles then divide the distinct values of a key
+    into parts; exact counts by part tell in which one a rank lies, and only
+    that part is sorted.  A key without values has null.
+    """
+    long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q"), c.cast("double").alias("v")) for n, (c, q) in wanted.items()])).alias("x")).select(key, "x.*")
+    counts = materialize(long.where("v IS NOT NULL").groupBy(key, "name", "q", "v").agg(F.count("*").alias("n")), "value-counts")
+    cuts = [k / PARTS for k in range(1, PARTS)]
+    splits = counts.groupBy(key, "name").agg(F.percentile_approx("v", cuts, 10_000).alias("cuts"), F.sum("n").alias("total"))
+    at = F.col("q") * (F.col("total") - 1)
+    parted = counts.join(splits, [key, "name"]).withColumns({"part": F.size(F.filter("cuts", lambda c: c < F.col("v"))), "low": F.floor(at), "high": F.ceil(at), "share": at - F.floor(at)}).drop("cuts", "total", "q")
+    sums = parted.groupBy(key, "name", "part", "low", "high").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.partitionBy(key, "name").orderBy("part")) - F.col("m")
+    chosen = sums.withColumn("before", before).where("before <= high AND before + m > low").select(key, "name", "part", "before")
+    inside = parted.join(chosen, [key, "name", "part"])
+    last = F.col("before") + F.sum("n").over(Window.partitionBy(key, "name", "part").orderBy("v"))
+    found = inside.withColumn("last", last)
+    ranked = lambda rank: F.min(F.when(F.col("last") > F.col(rank), F.col("v")))
+    ends = found.groupBy(key, "name", "share").agg(ranked("low").alias("a"), ranked("high").alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("share")) * F.col("a") + F.col("share") * F.col("b"))
+    return rows.select(key).distinct().join(ends.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted]), key, "left")
+
+
 def track_stats(points: DataFrame) -> DataFrame:
     """Percentiles by track: coherence over the values there are, deviation and amplitude ratio with missing as 0."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return points.groupBy("track").agg(F.coalesce(p("coherence", 0.05), F.lit(0.45)).alias("coherence_p05"), p(zero("velocity_std"), 0.95).alias("velocity_std_p95"), p(zero("amp_cv"), 0.95).alias("amp_cv_p95"), p("step_abs", 0.90).alias("step_p90"), p("step_abs", 0.95).alias("step_p95"))
+    wanted = {"coherence_p05": (F.col("coherence"), 0.05), "velocity_std_p95": (zero("velocity_std"), 0.95), "amp_cv_p95": (zero("amp_cv"), 0.95), "step_p90": (F.col("step_abs"), 0.90), "step_p95": (F.col("step_abs"), 0.95)}
+    return exact_percentiles(points, "track", wanted).withColumn("coherence_p05", F.coalesce("coherence_p05", F.lit(0.45)))
 
 
 def melt_dates(wide: DataFrame, keys: list[str], prefix: str, value: str, *, ignore_case: bool = True) -> DataFrame:

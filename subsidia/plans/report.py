@@ -32,13 +32,12 @@ def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("metadata_merge", """
-WITH d AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), t AS (SELECT o_custkey AS k, min(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
+WITH d AS (SELECT c_custkey AS k, max(c_acctbal) AS v FROM customer GROUP BY c_custkey), t AS (SELECT o_custkey AS k, min(o_totalprice) AS v FROM orders GROUP BY o_custkey)
 SELECT coalesce(d.k, t.k) AS k, CAST(coalesce(t.v, d.v) AS DOUBLE) AS v FROM d FULL OUTER JOIN t ON d.k = t.k""")
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources merged by key; the second one's values win and its new keys are added."""
-    o = adapters.table(spark, sf_dir, "orders")
-    d = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("left_v"))
-    t = o.where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_totalprice").alias("right_v"))
+    d = adapters.table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("k")).agg(F.max("c_acctbal").alias("left_v"))
+    t = adapters.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_totalprice").alias("right_v"))
     return d.join(t, "k", "full").select("k", F.coalesce("right_v", "left_v").cast("double").alias("v"))
 
 
@@ -72,12 +71,20 @@ def tracks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("track", F.row_number().over(Window.orderBy(F.col("track").try_cast("int").asc_nulls_last(), "track")).cast("long").alias("position"))
 
 
-def markdown_summary(summary: DataFrame) -> str:
-    """A run summary, one row per area, as a Markdown table."""
+def markdown_lines(summary: DataFrame) -> DataFrame:
+    """A summary as the lines (at, value) of a Markdown table, in order of its first column; one task only numbers the rows."""
+    from pyspark.sql.window import Window
+
     columns = summary.columns
-    lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in summary.orderBy(columns[0]).limit(1000).collect()]
-    return "\n".join(lines)
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    lines = summary.select((F.row_number().over(Window.orderBy(columns[0])) + 1).alias("at"), row.alias("value"))
+    head = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(x).alias("value")) for i, x in enumerate(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)])])
+    return summary.sparkSession.range(1).select(F.inline(head)).unionByName(lines)
+
+
+def markdown_summary(summary: DataFrame) -> str:
+    """The whole run summary, one row per area, as a Markdown table; areas are a fixed dimension."""
+    return "\n".join(r["value"] for r in markdown_lines(summary).orderBy("at").toLocalIterator())
 
 
 #: Pipelines by name: default parameters and the function of (spark, sf_dir) that gives the result.

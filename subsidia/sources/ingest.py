@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -57,6 +57,70 @@ def bbox_tiles(df: DataFrame, step: float = 0.2) -> DataFrame:
     return tiles.select(*[c for c in df.columns if c not in ("min_lon", "min_lat", "max_lon", "max_lat")], "i", "j", edge("min_lon", "max_lon", "i", 0).alias("min_lon"), edge("min_lat", "max_lat", "j", 0).alias("min_lat"), edge("min_lon", "max_lon", "i", 1).alias("max_lon"), edge("min_lat", "max_lat", "j", 1).alias("max_lat"))
 
 
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a stated order, by a mergeable minimum."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first")).select(*keys, "first.*")
+
+
+def parse_bbox(text: Column) -> Column:
+    """(min_lon, min_lat, max_lon, max_lat) of ``a,b,c,d``; null unless it is four numbers."""
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("double"))
+    good = (F.size(parts) == 4) & F.forall(parts, lambda p: p.isNotNull())
+    return F.when(good, F.struct(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(("min_lon", "min_lat", "max_lon", "max_lat"))]))
+
+
+def bbox(text: str) -> tuple[float, float, float, float]:
+    """The same for a parameter, on the driver; a ValueError otherwise."""
+    try:
+        a, b, c, d = map(float, text.split(","))
+    except ValueError:
+        raise ValueError(f"a box is min_lon,min_lat,max_lon,max_lat and not {text!r}") from None
+    return a, b, c, d
+
+
+def discover(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """(area_id, dataset_id, path) of the tables ``<area_id>/<dataset_id>/<prefix>_t*.parquet`` under a folder of any file system."""
+    return _matching(spark, root, f"*/*/{prefix}_t*.parquet").select(*[F.element_at(F.split("path", "/"), -k).alias(c) for k, c in ((3, "area_id"), (2, "dataset_id"))], "path").orderBy("path")
+
+
+def discover_combined(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The table of all areas under a folder, or else those of the single areas in order."""
+    combined = _matching(spark, root, name)
+    return [r["path"] for r in (_matching(spark, root, f"*/{name}") if combined.isEmpty() else combined).orderBy("path").collect()]
+
+
+def _matching(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Paths of files and folders that fit a pattern; names only are read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.createDataFrame([(f.getPath().toString(),) for f in found], "path string")
+
+
+def geojson_features(text: DataFrame, column: str = "value") -> DataFrame:
+    """Rows with a GeoJSON feature as text, with ``properties`` (a variant) and ``polygons``, an array of polygons of rings.
+
+    A Polygon is an array of one; features whose geometry is missing, empty or
+    of another kind are dropped.
+    """
+    ring = "array<array<array<double>>>"
+    doc = F.try_parse_json(F.col(column))
+    kind = F.try_variant_get(doc, "$.geometry.type", "string")
+    one, many = (F.try_variant_get(doc, "$.geometry.coordinates", k) for k in (ring, f"array<{ring}>"))
+    polygons = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
+    at = lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    solid = F.filter(polygons, lambda rings: rings.isNotNull() & (F.size(rings) > 0) & (F.size(F.get(rings, F.lit(0))) > 0))
+    rows = text.withColumns({"properties": F.try_variant_get(doc, "$.properties", "variant"), "polygons": F.transform(solid, at)})
+    return rows.where(F.size("polygons") > 0)
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Features of GeoJSON collections, one document a file: properties and polygons as in ``geojson_features``."""
+    whole = spark.read.text(path, wholetext=True)
+    features = F.explode(F.try_variant_get(F.try_parse_json("value"), "$.features", "array<variant>")).alias("f")
+    return geojson_features(whole.select(features).select(F.to_json("f").alias("value"))).drop("value")
+
+
 def way_rings(elements: DataFrame) -> DataFrame:
     """(way_id, ring) of OpenStreetMap ways; a way that refers to an unknown node, or to fewer than four, is dropped.
 
@@ -100,6 +164,19 @@ def slope_aspect(grid: DataFrame, cell: float) -> DataFrame:
     return rows.select("row", "col", "elevation", F.degrees(F.atan(F.hypot("dx", "dy"))).alias("slope_deg"), F.pmod(F.degrees(F.atan2(-F.col("dx"), F.col("dy"))) + 360, F.lit(360.0)).alias("aspect_deg"))
 
 
+def hillshade(slope_deg: Column, aspect_deg: Column, zenith_deg: float = 45.0, azimuth_deg: float = 315.0) -> Column:
+    """Light on a slope from a direction, 0 to 255, whole numbers; nothing known is dark."""
+    zenith, slope = math.radians(zenith_deg), F.radians(slope_deg)
+    light = 255 * (math.cos(zenith) * F.cos(slope) + math.sin(zenith) * F.sin(slope) * F.cos(math.radians(azimuth_deg) - F.radians(aspect_deg)))
+    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.coalesce(light, F.lit(0.0))))).cast("int")
+
+
+def zones_with_fallback(zones: DataFrame, stats: DataFrame, zone: str, fallback: Column) -> DataFrame:
+    """Zones with the mean, min and max of their cells; a zone without cells takes ``fallback`` for each, and a range of 0."""
+    met = zones.join(stats, zone, "left")
+    return met.withColumns({c: F.coalesce(c, fallback) for c in ("mean", "min", "max")} | {"range": F.coalesce("range", F.lit(0.0))})
+
+
 def sample_raster(points: DataFrame, grid: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
     """Points (x_m, y_m) with the values of the raster cell they lie in; null outside it."""
     placed = points.withColumns({"col": F.floor((F.col("x_m") - x0) / cell).cast("int"), "row": F.floor((y0 - F.col("y_m")) / cell).cast("int")})

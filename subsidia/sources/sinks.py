@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT_TABLES = ("points", "metrics", "colors", "runs")
+#: Points of a map tile that are encoded at a time.
+PER_PART = 50_000
 
 
 def write_run(df: DataFrame, root: str, table: str, run_id: str) -> None:
@@ -63,16 +65,29 @@ def _field(number: int, payload: bytes) -> bytes:
 
 def encode_point_tile(points: list[tuple[int, int, int]], layer: str = "points", extent: int = 4096) -> bytes:
     """A vector tile with one layer of point features (id, x, y) in tile units."""
-    zigzag = lambda v: v << 1 if v >= 0 else (-v << 1) - 1
-    features = b"".join(_field(2, _varint(1 << 3) + _varint(i) + _varint(3 << 3) + _varint(1) + _field(4, _varint(9) + _varint(zigzag(x)) + _varint(zigzag(y)))) for i, x, y in points)
-    body = _varint(15 << 3) + _varint(2) + _field(1, layer.encode()) + features + _varint(5 << 3) + _varint(extent)
-    return _field(3, body)
+    return _tile(b"".join(_point(i, x, y) for i, x, y in points), layer, extent)
+
+
+def _zigzag(v: int) -> int:
+    return v << 1 if v >= 0 else (-v << 1) - 1
+
+
+def _point(ident: int, x: int, y: int, tags: bytes = b"") -> bytes:
+    """One point feature of a layer; ``tags`` are its packed attribute numbers."""
+    geometry = _field(4, _varint(9) + _varint(_zigzag(x)) + _varint(_zigzag(y)))
+    return _field(2, _varint(1 << 3) + _varint(ident) + (_field(2, tags) if tags else b"") + _varint(3 << 3) + _varint(1) + geometry)
+
+
+def _tile(features: bytes, layer: str, extent: int, attributes: bytes = b"") -> bytes:
+    return _field(3, _varint(15 << 3) + _varint(2) + _field(1, layer.encode()) + features + attributes + _varint(5 << 3) + _varint(extent))
 
 
 def point_tiles(points: DataFrame, most: int | None = None) -> DataFrame:
     """(tile_x, tile_y, features, tile) from rows with tile_x, tile_y, id, px and py: one vector tile for each map tile.
 
-    ``most`` thins a tile to so many points, those with the smallest hash.
+    ``most`` thins a tile to so many points, those with the smallest hash.  A
+    tile of many points is encoded in parts of ids, which are put one after the
+    other: the bytes of a layer's features add up.
     """
     rows = points.select("tile_x", "tile_y", F.struct(F.xxhash64("id").alias("h"), F.col("id").cast("long").alias("id"), F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).alias("p"))
     if most is not None:
@@ -84,7 +99,17 @@ def point_tiles(points: DataFrame, most: int | None = None) -> DataFrame:
         import pandas as pd
 
         group = group.sort_values("id")
-        tile = encode_point_tile(list(zip(group["id"].tolist(), group["px"].tolist(), group["py"].tolist())))
-        return pd.DataFrame({"tile_x": group["tile_x"].iloc[:1], "tile_y": group["tile_y"].iloc[:1], "features": [len(group)], "tile": [tile]})
-
-    return rows.select("tile_x", "tile_y", "p.id", "p.px", "p.py").groupBy("tile_x", "tile_y").applyInPandas(encoded, "tile_x int, tile_y int, features long, tile binary")
+        part = b"".join(_point(i, x, y) for i, x, y in zip(group["id"].tolist(), group["px"].tolist(), group["py"].tolist()))
+        return pd.DataFrame({"tile_x": group["tile_x"].iloc[:1], "tile_y": group["tile_y"].iloc[:1], "part": group["part"].iloc[:1], "features": [len(group)], "bytes": [part]})
+
+    def closed(batches):
+        for batch in batches:
+            yield batch.assign(tile=[_tile(b"".join(parts), "points", 4096) for parts in batch["parts"]]).drop(columns="parts")
+
+    rows = rows.select("tile_x", "tile_y", "p.id", "p.px", "p.py")
+    counts = rows.groupBy("tile_x", "tile_y").agg(F.ceil(F.count("*") / PER_PART).alias("parts"), F.min("id").alias("low"), F.max("id").alias("high"))
+    place = F.least(F.col("parts") - 1, F.floor((F.col("id") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("parts")))
+    parted = rows.join(counts, ["tile_x", "tile_y"]).withColumn("part", place.cast("int"))
+    parts = parted.select("tile_x", "tile_y", "id", "px", "py", "part").groupBy("tile_x", "tile_y", "part").applyInPandas(encoded, "tile_x int, tile_y int, part int, features long, bytes binary")
+    whole = parts.groupBy("tile_x", "tile_y").agg(F.sum("features").alias("features"), F.transform(F.sort_array(F.collect_list(F.struct("part", "bytes"))), lambda p: p["bytes"]).alias("parts"))
+    return whole.mapInPandas(closed, "tile_x int, tile_y int, features long, tile binary")
