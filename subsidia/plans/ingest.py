@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsidia.functions import classify, geo
 from subsidia.operators import resample, series
 from subsidia.plans.catalog import query
+from subsidia.session import materialize
 from subsidia.sources import adapters, ingest, sinks
 
+#: Days that are columns of one wide table.
+DAYS_PER_BLOCK = 500
+
 
 @query("melt_series", """
-SELECT code, track, date, round(displacement, 6) AS displacement FROM v_series WHERE date >= DATE '2024-01-01' AND date < DATE '2024-01-06'""")
+SELECT code, track, date, round(displacement, 6) AS displacement FROM v_series""")
 def melt_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five days of series as wide ``dYYYYMMDD`` columns and back to rows."""
-    days = [f"2024010{i}" for i in range(1, 6)]
-    wide = adapters.series(spark, sf_dir).withColumn("day", F.date_format("date", "yyyyMMdd")).groupBy("code", "track").pivot("day", days).agg(F.first("displacement"))
-    wide = wide.withColumnsRenamed({d: f"D{d}" for d in days})
-    return series.melt_dates(wide, ["code", "track"], "d", "displacement").select("code", "track", "date", F.round("displacement", 6).alias("displacement"))
+    """All days of all series as wide ``dYYYYMMDD`` columns and back to rows, in blocks of days as wide as a layer's file."""
+    rows = materialize(adapters.series(spark, sf_dir).withColumn("day", F.date_format("date", "yyyyMMdd")), "series")
+    days = [r["day"] for r in rows.select("day").distinct().orderBy("day").collect()]
+    blocks = []
+    for at in range(0, len(days), DAYS_PER_BLOCK):
+        some = days[at : at + DAYS_PER_BLOCK]
+        wide = rows.where(F.col("day").between(some[0], some[-1])).groupBy("code", "track").pivot("day", some).agg(F.first("displacement"))
+        blocks.append(series.melt_dates(wide.withColumnsRenamed({d: f"D{d}" for d in some}), ["code", "track"], "d", "displacement"))
+    return functools.reduce(DataFrame.unionByName, blocks).select("code", "track", "date", F.round("displacement", 6).alias("displacement"))
 
 
 @query("standardised_points", """
@@ -50,13 +60,13 @@ def bbox_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("way_resolution", """
-WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 10 <> 7), r AS (SELECT l_orderkey AS way, l_linenumber AS at, l_partkey AS node FROM lineitem),
+WITH n AS (SELECT p_partkey AS node FROM part), r AS (SELECT l_orderkey AS way, l_linenumber AS at, l_partkey AS node FROM lineitem),
 w AS (SELECT way, count(*) AS refs, bool_and(n.node IS NOT NULL) AS whole FROM r LEFT JOIN n ON r.node = n.node GROUP BY way)
 SELECT way AS way_id, refs AS vertices FROM w WHERE whole AND refs >= 4""")
 def way_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways whose nodes are all known; orders stand for ways and parts for nodes."""
     kind = "array<bigint>"
-    nodes = adapters.table(spark, sf_dir, "part").where("p_partkey % 10 <> 7").select(F.lit("node").alias("type"), F.col("p_partkey").cast("long").alias("id"), F.col("p_partkey").cast("double").alias("lon"), F.col("p_partkey").cast("double").alias("lat"), F.lit(None).cast(kind).alias("nodes"))
+    nodes = adapters.table(spark, sf_dir, "part").select(F.lit("node").alias("type"), F.col("p_partkey").cast("long").alias("id"), F.col("p_partkey").cast("double").alias("lon"), F.col("p_partkey").cast("double").alias("lat"), F.lit(None).cast(kind).alias("nodes"))
     ways = adapters.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("long")).alias("nodes"))
     ways = ways.select(F.lit("way").alias("type"), "id", F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), "nodes")
     return ingest.way_rings(nodes.unionByName(ways)).select("way_id", F.size("ring").cast("long").alias("vertices"))

@@ -139,13 +139,15 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @query("metrics_upsert", """
-WITH o AS (SELECT run_id, 'value' AS metric, value FROM v_runs WHERE CAST(run_id AS BIGINT) % 3 <> 0),
-n AS (SELECT run_id, 'value' AS metric, value + 1 AS value FROM v_runs WHERE CAST(run_id AS BIGINT) % 2 = 0)
+WITH o AS (SELECT run_id, 'value' AS metric, value FROM v_runs),
+n AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, 'value' AS metric, CAST(max(l_extendedprice) AS DOUBLE) AS value FROM lineitem GROUP BY l_orderkey UNION ALL SELECT run_id, 'lines', 1.0::DOUBLE FROM v_runs)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.run_id = o.run_id AND n.metric = o.metric)""")
 def metrics_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = adapters.runs(spark, sf_dir).select("run_id", F.lit("value").alias("metric"), "value")
-    number = F.col("run_id").cast("long")
-    return upserted(runs.where(number % 3 != 0), runs.where(number % 2 == 0).withColumn("value", F.col("value") + 1), ["run_id", "metric"])
+    """Metrics of all runs, in place of them those measured anew from their lines, and a further one for each."""
+    runs = adapters.runs(spark, sf_dir)
+    old = runs.select("run_id", F.lit("value").alias("metric"), "value")
+    measured = adapters.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("run_id")).agg(F.max("l_extendedprice").cast("double").alias("value")).select("run_id", F.lit("value").alias("metric"), "value")
+    return upserted(old, measured.unionByName(runs.select("run_id", F.lit("lines").alias("metric"), F.lit(1.0).alias("value"))), ["run_id", "metric"])
 
 
 @query("run_metrics_map", """
