@@ -20,18 +20,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _running(steps: Column, start: Column) -> Column:
-    """Sums of the steps before each step, plus ``start``; appending makes it quadratic, so ``steps`` must be short."""
+_Step = Callable[[Column, Column], Column]
+
+
+def _running(steps: Column, start: Column, step: _Step) -> Column:
+    """The fold of ``start`` and the steps before each step; appending makes it quadratic, so ``steps`` must be short."""
     first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(steps, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    return F.aggregate(steps, first, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
 
-def prefix_sums(steps: Column) -> Column:
-    """Exclusive prefix sums of an array of longs.
+def _prefixes(steps: Column, zero: int, step: _Step) -> Column:
+    """For each element of an array of longs the fold of those before it.
 
-    Sums run inside blocks of about the square root of the length and over the
+    Folds run inside blocks of about the square root of the length and over the
     block totals, so n steps cost n**1.5 and not n**2 element copies.
     """
+    start = F.lit(zero).cast("bigint")
 
     def blocked(xs: Column) -> Column:
         width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
@@ -40,8 +44,8 @@ def prefix_sums(steps: Column) -> Column:
             blocks = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, b), lambda at: F.slice(xs, at + 1, b))
 
             def with_blocks(parts: Column) -> Column:
-                totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x))
-                return let(_running(totals, F.lit(0).cast("bigint")), lambda starts: F.flatten(F.transform(parts, lambda p, i: _running(p, F.get(starts, i)))))
+                totals = F.transform(parts, lambda p: F.aggregate(p, start, step))
+                return let(_running(totals, start, step), lambda starts: F.flatten(F.transform(parts, lambda p, i: _running(p, F.get(starts, i), step))))
 
             return let(blocks, with_blocks)
 
@@ -50,6 +54,16 @@ def prefix_sums(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, let(steps, blocked)).otherwise(F.array().cast("array<bigint>"))
 
 
+def prefix_sums(steps: Column) -> Column:
+    """Exclusive prefix sums of an array of longs."""
+    return _prefixes(steps, 0, lambda a, x: a + x)
+
+
+def prefix_maxima(steps: Column) -> Column:
+    """For each element of an array of longs the largest one before it, -1 for the first."""
+    return _prefixes(steps, -1, lambda a, x: F.greatest(a, x))
+
+
 def match_spans(text: Column, pattern: Column, group: int = 0, shift: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as an array of (start, end, found), in code points.
 
