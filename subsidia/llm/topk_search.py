@@ -9,12 +9,17 @@ The survivors are moved together before the next group.  Each query starts
 with the k-th best score within one seed block, a lower bound for the result.
 
 All rows are candidates and a stated set are queries, so the work is queries
-times rows; it is spread by joining query blocks with groups of candidate
-blocks.
+times rows; it is spread over the cells of a grid, each of which joins some
+query blocks with some candidate blocks.  The grid's sides are chosen so that
+both kinds of blocks are copied about as much.
+
+Sums are exact in double precision while they stay below 2^53.  Vectors that
+are too long for that are compared by whole numbers of any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,9 @@ BLOCK, QUERIES, STEP = 2048, 16, 16
 #: Query vectors packed into one block at most.
 QUERY_BLOCK = 1024
 _EXACT = float(2**53)
+#: Pairs of blocks in a cell of the grid, at most about.
+PER_CELL = 1 << 16
+_LEAST, _MOST = -(2**63), 2**63 - 1
 _PACKED = "dim int, block long, ids binary, data binary"
 
 
@@ -41,7 +49,7 @@ def _pack(batches: Iterator[pd.DataFrame], most: int, scale: float) -> Iterator[
     def block(dim: int) -> pd.DataFrame:
         ids, rows = held.pop(dim)
         ids = np.array(ids, np.int64)
-        data = np.floor(scale * np.stack(rows).astype(np.float64)) if dim else np.empty((len(ids), 0))
+        data = np.nan_to_num(np.floor(scale * np.stack(rows).astype(np.float64))) if dim else np.empty((len(ids), 0))
         number = int(np.bitwise_xor.reduce((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
         return pd.DataFrame({"dim": [dim], "block": [number], "ids": [ids.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()]})
 
@@ -66,22 +74,27 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.data, self.k = ids, data, k
-        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
-        self.found = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
+        self.floor = np.full(len(ids), _LEAST, np.int64) if floor is None else floor.copy()
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt((data**2).sum(0)).max(initial=0)
 
     def search(self, ids: np.ndarray, data: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.sqrt((data**2).sum(0)) * self.norm < _EXACT
+        if not exact.all():
+            self._search_long(ids[~exact], data[:, ~exact])
+            ids, data = ids[exact], data[:, exact]
         dim = len(data)
-        energy = (self.data**2).sum(1) * (data**2).sum(1)
+        energy = (self.data**2).sum(1) * (data**2).sum(1) if np.isfinite(self.norm) else np.zeros(dim)
         order = np.argsort(-energy, kind="stable")
         queries, rows = self.data[order], data[order]
-        if dim and np.sqrt((queries**2).sum(0).max(initial=0) * (rows**2).sum(0).max(initial=0)) >= _EXACT:
-            raise OverflowError("inner products of these vectors are not exact in double precision")
         cuts = list(range(0, dim, STEP))
         rest_q = [np.sqrt((queries[c + STEP :] ** 2).sum(0)) for c in cuts]
         rest_c = [np.sqrt((rows[c + STEP :] ** 2).sum(0)) for c in cuts]
-        for at in range(0, len(self.ids), QUERIES):
+        for at in range(0, len(self.ids) if len(ids) else 0, QUERIES):
             some = slice(at, at + QUERIES)
-            need, live = self.floor[some], np.arange(len(ids))
+            need, live = self._need(some), np.arange(len(ids))
             partial = np.zeros((len(self.ids[some]), len(ids)))
             for i, c in enumerate(cuts):
                 partial = partial + queries[c : c + STEP, some].T @ (rows[c : c + STEP] if len(live) == len(ids) else rows[c : c + STEP, live])
@@ -92,21 +105,38 @@ class _Best:
                 if not len(live):
                     break
             for j in range(len(partial)):
-                self._add(at + j, partial[j], ids[live])
+                self._add(at + j, partial[j].astype(np.int64), ids[live])
+
+    def _need(self, some: slice | int) -> np.ndarray:
+        """The floors in double precision, rounded down where they are not exact."""
+        floor = self.floor[some].astype(np.float64)
+        return floor - (np.abs(floor) >= _EXACT) * np.abs(floor) * 2.0**-50
+
+    def _search_long(self, ids: np.ndarray, data: np.ndarray) -> None:
+        """The same for vectors whose sums may pass 2^53: rounded sums with their error's bound, and whole numbers for those that may do."""
+        whole = [[int(x) for x in column] for column in data.T]
+        for q in range(len(self.ids)):
+            own = self.data[:, q]
+            with np.errstate(over="ignore", invalid="ignore"):
+                rounded, error = own @ data, (np.abs(own) @ np.abs(data)) * len(own) * 2.0**-50
+                near = np.flatnonzero(~(rounded + error < self._need(q)))
+            mine = [int(x) for x in own]
+            scores = [min(max(sum(x * y for x, y in zip(mine, whole[c])), _LEAST), _MOST) for c in near.tolist()]
+            self._add(q, np.array(scores, np.int64), ids[near])
 
     def _add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         good = (scores >= self.floor[q]) & (ids != self.ids[q])
         if not good.any():
             return
         scores, ids = np.concatenate([self.found[q][0], scores[good]]), np.concatenate([self.found[q][1], ids[good]])
-        best = np.lexsort((ids, -scores))[: self.k]
+        best = np.lexsort((ids, ~scores))[: self.k]
         self.found[q] = scores[best], ids[best]
         if len(best) == self.k:
             self.floor[q] = max(self.floor[q], scores[best[-1]])
 
     def rows(self) -> pd.DataFrame:
         counts = [len(s) for s, _ in self.found]
-        return pd.DataFrame({"query_id": np.repeat(self.ids, counts), "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found]).astype(np.int64)})
+        return pd.DataFrame({"query_id": np.repeat(self.ids, counts), "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
 
 
 def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -117,7 +147,8 @@ def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: flo
     or non-finite components take no part, nor do rows without id; vectors of
     another length than the query's are no candidates.  Each repeated row is a
     candidate; a query id on several rows is searched once, with the smallest
-    of its vectors.  Other columns are ignored.
+    of its vectors.  A score beyond the range of long is held at its end.  An
+    empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     finite = F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
@@ -138,20 +169,26 @@ def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: flo
             yield block.assign(floor=[best.floor.tobytes()])
 
     queries = materialize(asked.mapInPandas(packed, _PACKED + ", floor binary"), "queries")
-    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 8)
-    left = queries.select("dim", F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "floor", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    right = blocks.select("dim", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), "ids", "data")
+    asking, offered = max(1, queries.count()), max(1, blocks.count())
+    cells = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asking * offered // PER_CELL))
+    # A candidate block is about twice as large as a query block.
+    across = min(offered, math.ceil(math.sqrt(2 * offered * cells / asking)))
+    down = min(asking, -(-cells // across))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    left = queries.select("dim", cell(down).alias("x"), every(across).alias("y"), F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "floor")
+    right = blocks.select("dim", every(down).alias("x"), cell(across).alias("y"), "ids", "data")
     # A merge join keeps all candidate blocks of a query block together.
-    met = left.hint("merge").join(right, ["dim", "g"])
+    met = left.hint("merge").join(right, ["dim", "x", "y"])
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, best = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if key != (r.dim, r.g, r.q):
+                if key != (r.dim, r.x, r.y, r.q):
                     if best is not None:
                         yield best.rows()
-                    key, best = (r.dim, r.g, r.q), _Best(*_unpack(r.dim, r.qids, r.qdata), k, np.frombuffer(r.floor, np.float64))
+                    key, best = (r.dim, r.x, r.y, r.q), _Best(*_unpack(r.dim, r.qids, r.qdata), k, np.frombuffer(r.floor, np.int64))
                 best.search(*_unpack(r.dim, r.ids, r.data))
         if best is not None:
             yield best.rows()
