@@ -16,10 +16,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: A vocabulary above this many bytes is refused: the automaton goes to every task.
-MAX_VOCABULARY_BYTES = 64_000_000
-#: Words whose counts a task remembers before it starts anew.
-CACHED_WORDS = 400_000
+#: Words whose counts a task remembers before it starts anew, and the most bytes of such a word: some 80 MB in all.
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 
 
 class LongestMatchAutomaton:
@@ -84,9 +82,11 @@ class _Counts(dict):
         self.automaton, self.marker = automaton, marker
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        n = self[word] = self.automaton.count(self.marker + word)
+        n = self.automaton.count(self.marker + word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -105,12 +105,13 @@ def count_tokens(docs: DataFrame, initial: list[bytes], continuing: list[bytes],
     each.  A word that can't be spelled counts as one unknown token.
 
     Returns one row per input row: id, n_words, n_tokens, n_unknown.  Null and
-    empty texts have zeros; repeated rows are counted each; other columns are
-    ignored.
+    empty texts have zeros; very long texts and words are counted whole, in
+    time that grows with their length; repeated rows are counted each; an empty
+    table gives an empty result; other columns are ignored.
+
+    The vocabulary is a parameter that does not grow with the documents.  Each
+    worker holds an automaton of it, of some hundred bytes for each byte.
     """
-    size = sum(map(len, initial)) + sum(map(len, continuing))
-    if size > MAX_VOCABULARY_BYTES:
-        raise ValueError(f"a vocabulary of {size} bytes is too large for each task to hold")
     pieces = docs.sparkSession.sparkContext.broadcast((initial, continuing))
     id_type = dict(docs.dtypes)[id_col]
 
