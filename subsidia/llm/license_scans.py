@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsidia.llm.columns import ascii_lower, let, match_spans
+from subsidia.llm.columns import ascii_lower, let, match_spans, prefix_maxima
 from subsidia.llm.license_rules import Rule, license_rules
 
 #: Words are runs of letters, digits and all characters beyond ASCII.
@@ -22,6 +22,24 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of one group for all the words, as a tree by letter, so that most places fail at once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + pattern(below) for c, below in sorted(node.items()) if c]
+        if "" in node:
+            return f"(?:{'|'.join(ways)})?" if ways else ""
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return pattern(tree)
+
+
 def _words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^ ]+")).cast("bigint")
 
@@ -36,17 +54,13 @@ def _detections(norm: Column, keywords: Column, rules: list[Rule]) -> Column:
 
 
 def _surviving(detections: Column) -> Column:
-    """Detections that no other of the same or a higher priority contains: a running furthest end for each priority."""
-    kept = "array<struct<start:bigint,end:bigint,priority:int,label:string,weight:double>>"
-    first = F.struct(*[F.lit(-1).cast("bigint").alias(f"m{p}") for p in range(1, 5)], F.array().cast(kept).alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        reach = F.greatest(*[F.when(d["priority"] <= p, acc[f"m{p}"]).otherwise(F.lit(-1).cast("bigint")) for p in range(1, 5)])
-        one = F.array(F.struct(d["start"].alias("start"), d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
-        ends = [F.when(d["priority"] == p, F.greatest(acc[f"m{p}"], d["end"])).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in range(1, 5)]
-        return F.struct(*ends, F.when(reach >= d["end"], acc["kept"]).otherwise(F.concat(acc["kept"], one)).alias("kept"))
+    """Detections that no other of the same or a higher priority contains: none before them reaches as far.
 
-    return F.aggregate(detections, first, step)["kept"]
+    The furthest ends before each detection are prefix maxima, one array for each priority.
+    """
+    reach = F.array(*[prefix_maxima(F.transform(detections, lambda d: F.when(d["priority"] >= p, d["end"]).otherwise(F.lit(-1).cast("bigint")))) for p in range(1, 5)])  # noqa: B023
+    marked = let(reach, lambda ends: F.transform(detections, lambda d, i: F.struct((F.get(F.get(ends, d["priority"] - 1), i) < d["end"]).alias("stays"), d.alias("d"))))
+    return F.transform(F.filter(marked, lambda m: m["stays"]), lambda m: F.struct(*[m["d"][c].alias(c) for c in ("start", "end", "priority", "label", "weight")]))
 
 
 def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, phrases: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,12 +71,15 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, phrases: lis
     priority, label, weight) with offsets in the normalised text.  ``score`` is
     the greatest weight of a surviving detection or base phrase, 0 if there is
     none.  A null text counts as empty: no words, no labels, null positions.
-    Repeated rows are scanned each; other columns are ignored.
+    Very long texts are scanned whole, n detections in one costing n**1.5;
+    detections of equal span and priority stay once, that of the earlier rule.
+    Repeated rows are scanned each; an empty table gives an empty result; other
+    columns are ignored.
     """
     rules = license_rules() if rules is None else rules
     phrases = PHRASES if phrases is None else phrases
-    gate = "(?i)" + "|".join(sorted({r.keyword for r in rules} | {p.split()[-1] for p, _ in phrases}))
-    finder = "(?<= )(?:" + "|".join(sorted({r.keyword for r in rules})) + ")(?= )"
+    gate = "(?i)(?<![a-z0-9])" + any_of([r.keyword for r in rules] + [p.split()[0] for p, _ in phrases])
+    finder = f"(?<= ){any_of([r.keyword for r in rules])}(?= )"
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), _GAP, " ")), F.lit(" "))

@@ -91,3 +91,49 @@ def grouped(rows, key):
     return out
 
 
+
+
+def secret_links(text, window, access, bare_key, endpoint, scope):
+    """Pairs of parts by plain loops: (access, key, endpoint) spans in order."""
+    out, at = [], 0
+    for part in [*re.split(f"({scope})", text)]:
+        spans = {k: [(m.start() + at, m.end() + at) for m in re.finditer(p, part)] for k, p in (("a", access), ("k", bare_key), ("e", endpoint))}
+        at += len(part)
+
+        def near(kind, s):
+            gap = lambda t: max(s[0], t[0]) - min(s[1], t[1])
+            before, after = [t for t in spans[kind] if t[0] < s[0]], [t for t in spans[kind] if t[0] >= s[0]]  # noqa: B023
+            few = [*before[-1:], *after[:1]]
+            best = min(few, key=gap) if few else None
+            return best if best is not None and gap(best) <= window else None
+
+        if spans["a"] and spans["k"]:
+            links = [(near("a", k), k, near("e", k)) for k in spans["k"] if near("a", k)]
+            links += [(a, near("k", a), near("e", near("k", a))) for a in spans["a"] if near("k", a) and a not in [near("a", k) for k in spans["k"]]]
+            out += sorted(links, key=lambda x: (x[0], x[1]))
+    return out
+
+
+def language_scores(filters, module, text):
+    """Language and score of one text, n-gram by n-gram."""
+    points = [c if chr(c).isalpha() else 0 for c in map(ord, (text or "").lower())]
+    if not any(points):
+        return "und", 0.0
+    padded, mask = [0, *points, 0], (1 << 64) - 1
+    hits, total = [0] * len(filters.languages), 0
+    for n in module.SIZES:
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if not all(gram[1:-1]):
+                continue
+            h = n
+            for c in gram:
+                h = ((h ^ c) * int(module._MIX)) & mask
+                h ^= h >> 29
+            total += 1
+            slots = [(h >> (module.SLOT_BITS * j)) & ((1 << module.SLOT_BITS) - 1) for j in range(module.HASHES)]
+            for k in range(len(hits)):
+                hits[k] += all(int(filters.slots[k // 64, s]) >> (k % 64) & 1 for s in slots)
+    share = [min(1.0, max(0.0, (h / max(total, 1) - f) / (1 - f))) for h, f in zip(hits, filters.false_rate.tolist())]
+    best = max(range(len(share)), key=lambda k: (share[k], -k))
+    return filters.languages[best], share[best] / sum(share) if sum(share) > 0 else 0.0
