@@ -147,14 +147,14 @@ class _Sets:
     first; else both sides are shuffled.
     """
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, long_lists):
-        self.rows, self.nodes, self.long_lists = rows, nodes, long_lists
+    def __init__(self, rows: DataFrame, nodes: DataFrame, long_lists, clashing: np.ndarray):
+        self.rows, self.nodes, self.long_lists, self.clashing = rows, nodes, long_lists, clashing
         self.known: DataFrame | None = None
 
     def of(self, asked: DataFrame) -> DataFrame:
         """All sets known, those of the nodes asked for among them."""
         new = asked if self.known is None else asked.join(self.known.select("node"), "node", "left_anti")
-        wanted = materialize(self.nodes.join(new, "node").select("node", "place.file", "place.row"), "wanted")
+        wanted = materialize(self.nodes.join(new, "node").select("node", F.xxhash64("place.file").alias("file"), "place.row"), "wanted")
         count = wanted.count()
         if count or self.known is None:
             made = self._made(F.broadcast(wanted) if count <= MAX_BROADCAST else wanted)
@@ -162,30 +162,30 @@ class _Sets:
         return self.known
 
     def _made(self, wanted: DataFrame) -> DataFrame:
-        long_lists = self.long_lists
+        long_lists, clashing = self.long_lists, self.clashing
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, to in text_slices(batch["text"]):
                     found, starts = shingle_sets(batch["text"].slice(at, to - at), WORDS)
+                    node = batch["node"].slice(at, to - at)
+                    meant = _nodes_of(found, starts, clashing) == node.to_numpy()
                     found, is_long = _in_order(found, starts, long_lists.value)
                     n = np.diff(starts)
                     owner = np.repeat(np.arange(len(n)), n)
                     short = n - np.bincount(owner[is_long], minlength=len(n))
                     data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(found)])
-                    yield pa.RecordBatch.from_arrays([batch["node"].slice(at, to - at), pa.array(n, pa.int32()), pa.array(short, pa.int32()), data], ["node", "n", "n_short", "found"])
+                    # Places are hashed, so another document may come along; its set is another.
+                    yield pa.RecordBatch.from_arrays([node, pa.array(n, pa.int32()), pa.array(short, pa.int32()), data], ["node", "n", "n_short", "found"]).filter(pa.array(meant))
 
-        read = self.rows.join(wanted, ["file", "row"]).select("node", "text")
+        read = self.rows.withColumn("file", F.xxhash64("file")).join(wanted, ["file", "row"]).select("node", "text")
         return materialize(read.mapInArrow(made, "node long, n int, n_short int, found binary"), "sets", arrow_rows=BATCH_ROWS)
 
 
 def _occurring(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, c) that occur on T - L lists at least; from (a, an, b, bn), one row for each list.
-
-    Of the two, b is the one that is asked for by more others.
-    """
-    counted = pairs.where(_close("an", "bn")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("c"), F.min("b").alias("hub"), F.min(_needed("an", "bn")).alias("needed"))
-    return counted.where("c >= needed").select(F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), F.col("hub").alias("b"), F.col("c").cast("int").alias("c"))
+    """Pairs (a, b, c) that occur on T - L lists at least; from (a, an, b, bn), one row for each list, b being a leader in the rounds."""
+    counted = pairs.where(_close("an", "bn")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(_needed("an", "bn")).alias("needed"))
+    return counted.where("c >= needed").select("a", "b", F.col("c").cast("int").alias("c"))
 
 
 class _Block:
@@ -248,13 +248,15 @@ def _probed(pairs: DataFrame, sets: _Sets) -> DataFrame:
     set of b goes to every block in which it has partners.
     """
     known = sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    stored = known.join(pairs.select(F.col("a").alias("node")).distinct(), "node")
+    # Few pairs go to the sets, which then are shuffled once, to their blocks.
+    few = F.broadcast if pairs.count() <= MAX_BROADCAST else lambda side: side
+    stored = known.join(few(pairs.select(F.col("a").alias("node")).distinct()), "node")
     size = stored.agg(F.sum(F.col("n").cast("long") * 8)).first()[0] or 0
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, size // BLOCK_BYTES)))
     none = F.lit(None).cast("array<struct<node:bigint,c:int>>")
     stored = stored.select(block("node").alias("block"), F.lit(0).alias("kind"), "node", "n", "n_short", "found", none.alias("partners"))
     asking = pairs.withColumn("block", block("a")).groupBy("block", F.col("b").alias("node")).agg(F.collect_list(F.struct(F.col("a").alias("node"), F.coalesce("c", F.lit(-1)).alias("c"))).alias("partners"))
-    asking = asking.join(known, "node").select("block", F.lit(1).alias("kind"), "node", "n", "n_short", "found", "partners")
+    asking = known.join(few(asking), "node").select("block", F.lit(1).alias("kind"), "node", "n", "n_short", "found", "partners")
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, lists = None, ([], [], [], []), None
@@ -374,7 +376,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     frequent = sampled.select(F.explode("sample").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= LONG)
     frequent = frequent.orderBy(F.desc("count"), "shingle").limit(MAX_LONG).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     long_lists = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
-    sets = _Sets(rows, nodes, long_lists)
+    sets = _Sets(rows, nodes, long_lists, clashing)
     salts = max(1, math.ceil(nodes.count() / PER_SALT))
     entries = _short_lists(rows, long_lists, salts, clashing).withColumn("size_class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
 

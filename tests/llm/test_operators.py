@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from subsidia.llm import exact_dedup, jaccard_join, language_id, license_rules, license_scans, mixing, packing, registry, secret_scans, token_counts, topk_search, url_filters
+from subsidia.llm import exact_dedup, graph, jaccard_join, language_id, license_rules, license_scans, mixing, packing, registry, secret_scans, token_counts, topk_search, url_filters
 
 #: Nulls, empty and blank texts, repeats, ties, and columns whose names the operators use themselves.
 ODD = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (2, None), (3, ""), (4, " \t\n "), (None, "the cat sat on the mat"), (5, "é" * 3000 + " x"), (6, "word " * 4000)]
@@ -472,6 +472,26 @@ def test_near_copies_in_large_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(odd(spark, rows)).collect()} == brute.near_components(rows)
 
 
+def test_near_copies_split(spark, monkeypatch):
+    """Hubs, split lists and many small blocks; columns with clashing names; rows with equal and null ids are told apart."""
+    monkeypatch.setattr(graph, "FEW", 0)
+    monkeypatch.setattr(graph, "MAX_HUBS", 20)
+    for name, value in {"SAMPLED": 1, "LONG": 2, "LARGE": 2, "PER_SPLIT": 3, "BLOCK_BYTES": 500, "CENTRAL_LEADERS": (), "LEADERS": ()}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = near_rows()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(odd(spark, rows)).collect()} == brute.near_components(rows)
+
+
+def test_near_copies_dropped(spark):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, other), (2, one + " x"), (None, other + " y"), (None, "alone in the world of words"), (3, ""), (4, None), (5, one), (5, one)]
+    docs = odd(spark, rows).withColumns({"file": F.lit("f"), "row": F.lit(1), "record": F.lit(2), "keep": F.lit(3)})
+    got = jaccard_join.drop_similar(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, one), (1, other), (None, "alone in the world of words"), (3, ""), (4, None)], key=str)
+    assert jaccard_join.drop_similar(odd(spark, [])).count() == 0
+
+
 def test_near_copies_odd(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_similar(odd(spark)).collect()}
     assert {(1, 2, 1), (None, 2, 1), (2, 0, 2), (3, 0, 3), (6, 1, 6)} <= got
