@@ -242,4 +242,5 @@ def keep_known_languages(docs: DataFrame, filters: LanguageFilters, *, text_col:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify_languages(docs, fit_filters(docs.where(~held_out(F.col("doc_id")))))
+    # Written here with small batches of texts, whatever the session's setting.
+    return materialize(identify_languages(docs, fit_filters(docs.where(~held_out(F.col("doc_id"))))), "languages", arrow_rows=BATCH_ROWS)

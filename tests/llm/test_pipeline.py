@@ -40,6 +40,45 @@ def test_stages(spark, sf_dir, tmp_path):
                 assert set(new) == {i for i, (_, c) in near.items() if i == c}
 
 
+def test_mix_reaches_its_targets(spark, sf_dir):
+    """The drawn documents against targets filled up by rounds, and whole rows at most three times."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = lambda text: len(brute.re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    before, after = docs.collect(), corpus_pipeline.source_mix(spark, docs, sf_dir).collect()
+    sources = sorted({r.source for r in before}, key=lambda s: (s is None, s))
+    sums = [sum(size(r.text) for r in before if r.source == s) for s in sources]
+    for source, target in zip(sources, brute.water_filled(sums)):
+        own = [size(r.text) for r in after if r.source == source]
+        assert abs(sum(own) - target) <= max(own, default=0)
+    assert max(Counter(r.doc_id for r in after).values()) <= 3 and set(after) <= set(before)
+
+
+def test_stages_on_odd_tables(spark):
+    """Null and repeated ids, null, empty and wordless texts, columns with any names, and an empty table, stage by stage."""
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, "good words stay here"), (1, "12 34"), (2, None), (2, ""), (None, "good words stay here"), (None, "42"), (3, words), (4, words), (4, words), (5, words + " end")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, _file string, record int, file string"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, "f", 8, "g") for i, t in rows], schema)
+    want = {
+        "language_id": [(1, "good words stay here"), (None, "good words stay here"), (3, words), (4, words), (4, words), (5, words + " end")],
+        "exact_dedup": [(1, "12 34"), (1, "good words stay here"), (2, ""), (4, words), (5, words + " end"), (None, "42")],
+        "ngram_jaccard": [(1, "12 34"), (1, "good words stay here"), (2, None), (2, ""), (3, words), (None, "42")],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, ""), stage(spark, docs.where("doc_id > 99"), "")
+        assert none.count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns == none.columns
+        got = Counter(out.select("doc_id", "text").collect() if name != "packing" else [])
+        if name in want:
+            texts = lambda rs: Counter((i, t or "") for i, t in rs)
+            assert texts(got.elements()) == texts(want[name]), name
+        elif name == "source_mix":
+            assert set(got) <= {r for r in docs.select("doc_id", "text").collect() if (r.text or "").split()}
+        else:
+            assert out.where("start = 0").count() == len(rows)
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and np.array([r.length for r in rows]).max() <= 1024
