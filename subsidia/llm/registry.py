@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from subsidia.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from subsidia.llm.jaccard_join import op9_ngram_jaccard
 from subsidia.llm.language_id import op5_language_id
+from subsidia.llm.lexical_search import OP11_SQL, op11_lexical_search
 from subsidia.llm.license_scans import op4_license_scans
 from subsidia.llm.merkle import OP12_SQL, op12_merkle_manifest
 from subsidia.llm.mixing import OP3_SQL, op3_source_mix
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_packing": op10_packing,
+    "op11_lexical_search": op11_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_source_mix": OP3_SQL, "op7_topk_search": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_source_mix": OP3_SQL, "op7_topk_search": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -41,7 +41,7 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def byte_lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes of all texts in a row, with 8 more at the end, and each text's end in them; nulls are empty."""
     if texts.null_count:
         texts = texts.fill_null("")
@@ -57,7 +57,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Words are divided at blank, tab, LF, VT, FF and CR.  Eight bytes are mixed
     in at a time, those of all words together.
     """
-    data, ends = _bytes(texts)
+    data, ends = byte_lower(texts)
     size = len(data) - 8
     space = _SPACE[data[:size]]
     edge = np.ones(size, bool)
