@@ -41,14 +41,20 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
 
 
-def byte_lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes of all texts in a row, with 8 more at the end, and each text's end in them; nulls are empty."""
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts in a row and each text's end in them, after a leading 0; nulls are empty."""
     if texts.null_count:
         texts = texts.fill_null("")
     offsets = _offsets(texts).astype(np.int64)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    return np.concatenate([_LOWER[raw], np.zeros(8, np.uint8)]), offsets - offsets[0]
+    return raw, offsets - offsets[0]
+
+
+def byte_lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``raw_bytes``, lower-cased, with 8 more bytes at the end."""
+    raw, ends = raw_bytes(texts)
+    return np.concatenate([_LOWER[raw], np.zeros(8, np.uint8)]), ends
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
