@@ -84,7 +84,7 @@ def box_distance(x: Column, y: Column, cx: Column, cy: Column, half_width: Colum
     return F.sqrt(dx * dx + dy * dy)
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """Pairs of successive vertices; the ring is closed if it isn't."""
     return F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, F.when(i + 1 < F.size(ring), i + 1).otherwise(F.lit(0))).alias("b")))
 
@@ -98,7 +98,7 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
         t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy) / length))).otherwise(F.lit(0.0))
         return F.hypot(x - e["a"]["x"] - t * dx, y - e["a"]["y"] - t * dy)
 
-    return F.array_min(F.transform(_edges(ring), of))
+    return F.array_min(F.transform(ring_edges(ring), of))
 
 
 def rings_cover(x: Column, y: Column, rings: Column) -> Column:
@@ -109,7 +109,7 @@ def rings_cover(x: Column, y: Column, rings: Column) -> Column:
             a, b = e["a"], e["b"]
             return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
 
-        return F.size(F.filter(_edges(ring), crosses))
+        return F.size(F.filter(ring_edges(ring), crosses))
 
     odd = F.aggregate(rings, F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1
     return odd | F.exists(rings, lambda r: ring_distance(x, y, r) <= 1e-9)
@@ -130,7 +130,7 @@ def rings_area(rings: Column) -> Column:
     """Area of a polygon's first ring less that of the others, whichever way they run."""
 
     def doubled(ring: Column) -> Column:
-        return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+        return F.abs(F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
 
     every = F.transform(rings, doubled)
     return (2 * F.get(every, F.lit(0)) - F.aggregate(every, F.lit(0.0), lambda s, a: s + a)) / 2
@@ -144,7 +144,7 @@ def inner_point(rings: Column, centroid: Column) -> Column:
     """
 
     def crossings(y: Column) -> Column:
-        every = F.flatten(F.transform(rings, _edges))
+        every = F.flatten(F.transform(rings, ring_edges))
         cut = F.filter(every, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
         return F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"])))
 
@@ -161,7 +161,7 @@ def rings_centroid(rings: Column) -> tuple[Column, Column]:
         cross = e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
         return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (e["a"]["x"] + e["b"]["x"]) * cross).alias("x"), (acc["y"] + (e["a"]["y"] + e["b"]["y"]) * cross).alias("y"))
 
-    total = F.aggregate(F.flatten(F.transform(rings, _edges)), zero, add)
+    total = F.aggregate(F.flatten(F.transform(rings, ring_edges)), zero, add)
     return total["x"] / (3 * total["a"]), total["y"] / (3 * total["a"])
 
 

@@ -31,12 +31,12 @@ def _edge_rows() -> str:
     return ", ".join(f"({', '.join(f'{float(v)}::DOUBLE' for v in row)})" for row in outer + court)
 
 
-_EDGES = f"""f(ua, va, pa, qa, ub, vb, pb, qb) AS (VALUES {_edge_rows()}),
+EDGES = f"""f(ua, va, pa, qa, ub, vb, pb, qb) AS (VALUES {_edge_rows()}),
 e AS (SELECT building_id, cx + ua * hw + pa AS ax, cy + va * hh + qa AS ay, cx + ub * hw + pb AS zx, cy + vb * hh + qb AS zy FROM v_buildings, f)"""
 
 
 @query("polygon_assignment", f"""
-WITH g(track, inc0, dx, dy) AS (VALUES (44, 38.81, sin(radians(261.4)), cos(radians(261.4))), (95, 38.48, sin(radians(101.5)), cos(radians(101.5)))), {_EDGES},
+WITH g(track, inc0, dx, dy) AS (VALUES (44, 38.81, sin(radians(261.4)), cos(radians(261.4))), (95, 38.48, sin(radians(101.5)), cos(radians(101.5)))), {EDGES},
 c AS (SELECT p.code, b.building_id, p.x_m, p.y_m, greatest(3, least(30, coalesce(b.height, 12) * tan(radians(coalesce(p.incidence_angle, g.inc0))))) AS off, g.dx, g.dy
       FROM v_points p JOIN g ON p.track = g.track JOIN v_buildings b ON abs(p.x_m - b.cx) <= 50 AND abs(p.y_m - b.cy) <= 50),
 q AS (SELECT code, building_id, off, 0 AS shifted, x_m AS x, y_m AS y FROM c UNION ALL SELECT code, building_id, off, 1, x_m - dx * off, y_m - dy * off FROM c),
@@ -56,7 +56,7 @@ def polygon_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("polygon_shapes", f"""
-WITH {_EDGES}, k AS (SELECT e.building_id, ax - cx AS ax, ay - cy AS ay, zx - cx AS zx, zy - cy AS zy, cx, cy FROM e JOIN v_buildings b ON e.building_id = b.building_id), c AS (SELECT *, ax * zy - zx * ay AS w FROM k)
+WITH {EDGES}, k AS (SELECT e.building_id, ax - cx AS ax, ay - cy AS ay, zx - cx AS zx, zy - cy AS zy, cx, cy FROM e JOIN v_buildings b ON e.building_id = b.building_id), c AS (SELECT *, ax * zy - zx * ay AS w FROM k)
 SELECT building_id, round(abs(sum(w)) / 2, 3) AS area, round(sum((ax + zx) * w) / (3 * sum(w)) + any_value(cx), 4) AS x, round(sum((ay + zy) * w) / (3 * sum(w)) + any_value(cy), 4) AS y FROM c GROUP BY building_id""")
 def polygon_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area and centroid of polygons with holes, measured from their own corner so that large coordinates cost no digits."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subsidia.plans import features, ingest, layers, report, service
+from subsidia.plans import features, ingest, layers, report, service, terrain
 from subsidia.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "features", "ingest", "layers", "report", "service"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "features", "ingest", "layers", "report", "service", "terrain"]
 
 FLAGSHIP = features.anomaly_buildings

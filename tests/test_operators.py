@@ -184,7 +184,7 @@ def test_paged_source(spark):
     spark.dataSource.register(ingest.PagedFeatures)
     read = lambda f: spark.read.format("paged_features").option("total", 25).option("page_size", 10).option("fetch", f"tests.test_operators:{f}").load()
     assert sorted(int(r.id) for r in read("stub_page").collect()) == list(range(25))
-    with pytest.raises(Exception, match="of 10 features"):
+    with pytest.raises(Exception, match=r"of \d+ features"):
         read("short_page").collect()
 
 
