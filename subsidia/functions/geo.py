@@ -7,6 +7,7 @@ array of (x, y) structs; holes are rings, told apart by even-odd parity.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +69,12 @@ def within_tile(lon: Column, lat: Column, zoom: int, extent: int = 4096) -> tupl
     return F.round((x - F.floor(x)) * extent).cast("int"), F.round((y - F.floor(y)) * extent).cast("int")
 
 
+def world_tiles(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
+    """Position on the map in tiles, fractions kept, rows from the north."""
+    n = 1 << zoom
+    return (lon + 180) / 360 * n, (1 - F.log(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * n
+
+
 def flip_row(row: Column, zoom: int) -> Column:
     """Tile row counted from the other side."""
     return F.lit((1 << zoom) - 1) - row
@@ -89,6 +96,17 @@ def ring_edges(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, F.when(i + 1 < F.size(ring), i + 1).otherwise(F.lit(0))).alias("b")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring, negative if it runs the other way; 0 for an empty one."""
+    doubled = F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"].cast("double") * e["b"]["y"] - e["b"]["x"].cast("double") * e["a"]["y"])
+    return F.when(F.size(ring) > 0, doubled / 2).otherwise(F.lit(0.0))
+
+
 def ring_distance(x: Column, y: Column, ring: Column) -> Column:
     """Distance to the nearest edge of a ring."""
 

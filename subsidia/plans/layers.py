@@ -12,22 +12,22 @@ from subsidia.sources import adapters, ingest
 from subsidia.sources.tracks import track_geometry
 
 #: Corners of an L-shaped house in half widths and heights around its middle, and its court, a square of half a metre each way.
-_OUTER = ((-1, -1), (1, -1), (1, 0), (0, 0), (0, 1), (-1, 1))
-_COURT = ((-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5))
+OUTER = ((-1, -1), (1, -1), (1, 0), (0, 0), (0, 1), (-1, 1))
+COURT = ((-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5))
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings as polygons of six corners with a hole."""
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    outer = F.array(*[at(F.col("cx") + a * F.col("hw"), F.col("cy") + b * F.col("hh")) for a, b in _OUTER])
-    court = F.array(*[at(F.col("cx") - F.col("hw") / 2 + a, F.col("cy") - F.col("hh") / 2 + b) for a, b in _COURT])
+    outer = F.array(*[at(F.col("cx") + a * F.col("hw"), F.col("cy") + b * F.col("hh")) for a, b in OUTER])
+    court = F.array(*[at(F.col("cx") - F.col("hw") / 2 + a, F.col("cy") - F.col("hh") / 2 + b) for a, b in COURT])
     return adapters.buildings(spark, sf_dir).withColumn("rings", F.array(outer, court))
 
 
 def _edge_rows() -> str:
     """Edges of both rings as SQL values: factors of the half sizes and metres for both ends."""
-    outer = [(*_OUTER[i], 0, 0, *_OUTER[(i + 1) % 6], 0, 0) for i in range(6)]
-    court = [(-0.5, -0.5, *_COURT[i], -0.5, -0.5, *_COURT[(i + 1) % 4]) for i in range(4)]
+    outer = [(*OUTER[i], 0, 0, *OUTER[(i + 1) % 6], 0, 0) for i in range(6)]
+    court = [(-0.5, -0.5, *COURT[i], -0.5, -0.5, *COURT[(i + 1) % 4]) for i in range(4)]
     return ", ".join(f"({', '.join(f'{float(v)}::DOUBLE' for v in row)})" for row in outer + court)
 
 
@@ -124,11 +124,14 @@ def _colors(results: DataFrame) -> DataFrame:
     return _rolled(results).where("points >= 3").select("area_id", "building_id", ((classify.palette_index(F.col("building_id")) + 7) % 60).alias("color"))
 
 
-@query("tile_point_features", f"""
+POINT_FEATURES = f"""
 WITH {_RESULTS}
 SELECT r.code, r.track, p.x_m, p.y_m, round(r.anomaly, 6) AS anomaly, r.building_id IS NOT NULL AS assigned,
   CASE WHEN l.points >= 3 THEN ({_COLOR.format('r.building_id')} + 7) % 60 ELSE {_COLOR.format('coalesce(r.building_id, r.code)')} END AS color
-FROM r JOIN v_points p ON p.area_id = r.area_id AND p.dataset_id = r.dataset_id AND p.code = r.code AND p.track = r.track LEFT JOIN l ON l.area_id = r.area_id AND l.building_id = r.building_id""")
+FROM r JOIN v_points p ON p.area_id = r.area_id AND p.dataset_id = r.dataset_id AND p.code = r.code AND p.track = r.track LEFT JOIN l ON l.area_id = r.area_id AND l.building_id = r.building_id"""
+
+
+@query("tile_point_features", POINT_FEATURES)
 def tile_point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with their points, joined by all four keys, and the colour of the building or else of the key."""
     r = _results(spark, sf_dir)
@@ -138,10 +141,13 @@ def tile_point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("code", "track", "x_m", "y_m", F.round("anomaly", 6).alias("anomaly"), F.col("building_id").isNotNull().alias("assigned"), color.alias("color"))
 
 
-@query("tile_building_features", f"""
+BUILDING_FEATURES = f"""
 WITH {_RESULTS}
 SELECT b.building_id, b.area_id, l.points, round(l.anomaly, 6) AS anomaly, CASE WHEN l.points >= 3 THEN ({_COLOR.format('b.building_id')} + 7) % 60 ELSE {_COLOR.format('b.building_id')} END AS color
-FROM v_buildings b LEFT JOIN l ON l.area_id = b.area_id AND l.building_id = b.building_id""")
+FROM v_buildings b LEFT JOIN l ON l.area_id = b.area_id AND l.building_id = b.building_id"""
+
+
+@query("tile_building_features", BUILDING_FEATURES)
 def tile_building_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All buildings with their roll-up and colour, where they have them."""
     r, keys = _results(spark, sf_dir), ["area_id", "building_id"]

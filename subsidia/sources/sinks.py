@@ -51,7 +51,7 @@ def write_geojson_lines(df: DataFrame, path: str, lon: str, lat: str, properties
     clean.select(feature(geometry, properties, ident).alias("value")).write.mode("overwrite").text(path)
 
 
-def _varint(n: int) -> bytes:
+def varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -59,8 +59,8 @@ def _varint(n: int) -> bytes:
     return bytes([*out, n])
 
 
-def _field(number: int, payload: bytes) -> bytes:
-    return _varint(number << 3 | 2) + _varint(len(payload)) + payload
+def field(number: int, payload: bytes) -> bytes:
+    return varint(number << 3 | 2) + varint(len(payload)) + payload
 
 
 def encode_point_tile(points: list[tuple[int, int, int]], layer: str = "points", extent: int = 4096) -> bytes:
@@ -68,18 +68,18 @@ def encode_point_tile(points: list[tuple[int, int, int]], layer: str = "points",
     return _tile(b"".join(_point(i, x, y) for i, x, y in points), layer, extent)
 
 
-def _zigzag(v: int) -> int:
+def zigzag(v: int) -> int:
     return v << 1 if v >= 0 else (-v << 1) - 1
 
 
 def _point(ident: int, x: int, y: int, tags: bytes = b"") -> bytes:
     """One point feature of a layer; ``tags`` are its packed attribute numbers."""
-    geometry = _field(4, _varint(9) + _varint(_zigzag(x)) + _varint(_zigzag(y)))
-    return _field(2, _varint(1 << 3) + _varint(ident) + (_field(2, tags) if tags else b"") + _varint(3 << 3) + _varint(1) + geometry)
+    geometry = field(4, varint(9) + varint(zigzag(x)) + varint(zigzag(y)))
+    return field(2, varint(1 << 3) + varint(ident) + (field(2, tags) if tags else b"") + varint(3 << 3) + varint(1) + geometry)
 
 
 def _tile(features: bytes, layer: str, extent: int, attributes: bytes = b"") -> bytes:
-    return _field(3, _varint(15 << 3) + _varint(2) + _field(1, layer.encode()) + features + attributes + _varint(5 << 3) + _varint(extent))
+    return field(3, varint(15 << 3) + varint(2) + field(1, layer.encode()) + features + attributes + varint(5 << 3) + varint(extent))
 
 
 def point_tiles(points: DataFrame, most: int | None = None) -> DataFrame:
