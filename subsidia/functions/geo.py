@@ -138,6 +138,21 @@ def rings_distance(x: Column, y: Column, rings: Column) -> Column:
     return F.when(rings_cover(x, y, rings), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, lambda r: ring_distance(x, y, r))))
 
 
+def rings_gap(a: Column, b: Column) -> Column:
+    """Distance between two polygons, 0 where they meet: from the vertices of each to the edges of the other, unless edges cross or one holds the other."""
+
+    def side(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+    edges = lambda rings: F.flatten(F.transform(rings, ring_edges))
+    crosses = lambda e, f: (side(e["a"], e["b"], f["a"]) * side(e["a"], e["b"], f["b"]) < 0) & (side(f["a"], f["b"], e["a"]) * side(f["a"], f["b"], e["b"]) < 0)
+    first = lambda rings: F.get(F.get(rings, F.lit(0)), F.lit(0))
+    away = lambda p, q: F.array_min(F.transform(F.flatten(p), lambda v: F.array_min(F.transform(q, lambda r: ring_distance(v["x"], v["y"], r)))))
+    crossing = let(edges(b), lambda fs: F.exists(edges(a), lambda e: F.exists(fs, lambda f: crosses(e, f))))
+    meet = crossing | rings_cover(first(a)["x"], first(a)["y"], b) | rings_cover(first(b)["x"], first(b)["y"], a)
+    return F.when(meet, F.lit(0.0)).otherwise(F.least(away(a, b), away(b, a)))
+
+
 def rings_box(rings: Column) -> Column:
     """Box (x0, y0, x1, y1) around a polygon."""
     of = lambda c: F.transform(F.flatten(rings), lambda p: p[c])

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_distance
+from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_distance, rings_gap
+from subsidia.functions.geodesy import geography_distance, metres_per_degree
 
 CELL = 50.0
 
@@ -87,11 +88,50 @@ def box_gap(a: str, b: str) -> Column:
 
 
 def adjacent_buildings(buildings: DataFrame, distance: float = 5.0) -> DataFrame:
-    """Pairs (a, b), a < b, of one area's buildings at most ``distance`` apart."""
+    """Pairs (a, b), a < b, of one area's buildings at most ``distance`` apart.
+
+    Where buildings have ``rings``, these are measured, for the pairs whose
+    boxes are near enough.
+    """
     reach = distance / 2
     cells = with_cells(buildings, F.col("cx") - F.col("hw") - reach, F.col("cy") - F.col("hh") - reach, F.col("cx") + F.col("hw") + reach, F.col("cy") + F.col("hh") + reach)
     pairs = cells.alias("l").join(cells.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cell_x", "cell_y", "area_id")]).where("l.building_id < r.building_id")
-    return pairs.where(box_gap("l", "r") <= distance).select(F.col("l.area_id").alias("area_id"), F.col("l.building_id").alias("a"), F.col("r.building_id").alias("b")).distinct()
+    near = pairs.where(box_gap("l", "r") <= distance)
+    rings = ["rings"] if "rings" in buildings.columns else []
+    # A pair meets in several cells; it is measured in the first that both touch.
+    first = lambda c, h: _cell(F.greatest(F.col(f"l.{c}") - F.col(f"l.{h}"), F.col(f"r.{c}") - F.col(f"r.{h}")) - reach, CELL)
+    once = near.where((F.col("l.cell_x") == first("cx", "hw")) & (F.col("l.cell_y") == first("cy", "hh")))
+    if rings:
+        once = once.where(rings_gap(F.col("l.rings"), F.col("r.rings")) <= distance)
+    return once.select(F.col("l.area_id").alias("area_id"), F.col("l.building_id").alias("a"), F.col("r.building_id").alias("b"))
+
+
+def _band_width(band: Column, height: float, reach: float) -> Column:
+    """Width in degrees of the cells of a band of latitude: ``reach`` metres at its side towards the pole."""
+    edge = F.least(F.greatest(F.abs(band * height), F.abs((band + 1) * height)), F.lit(89.9))
+    return F.lit(reach) / metres_per_degree(edge)[0]
+
+
+def assign_geography(points: DataFrame, buildings: DataFrame, max_distance: float = 15.0) -> DataFrame:
+    """(code, track, building_id, distance_m): the nearest building of each point within a distance on the spheroid.
+
+    Points have lon and lat, buildings ``rings`` in degrees.  Cells are bands
+    of latitude, each divided into widths that follow its latitude, at least
+    ``max_distance`` metres; a building goes to all cells that its box, grown
+    by the distance, touches.  Ties go to the smaller id; points without a
+    building in reach are left out.
+    """
+    height = max_distance / 110_000
+    band = lambda lat: F.floor(lat / height)
+    box = buildings.where(F.size("rings") > 0).withColumn("box", rings_box(F.col("rings")))
+    rows = box.withColumn("cell_y", F.explode(F.sequence(band(F.col("box.y0") - height), band(F.col("box.y1") + height))))
+    width = _band_width(F.col("cell_y"), height, max_distance)
+    # The distance is less than a cell's width anywhere in the band, so a cell on either side is enough.
+    rows = rows.withColumn("cell_x", F.explode(F.sequence(F.floor(F.col("box.x0") / width) - 1, F.floor(F.col("box.x1") / width) + 1)))
+    rows = rows.select("cell_x", "cell_y", F.col("building_id").alias("candidate"), "rings")
+    placed = points.select("code", "track", "lon", "lat", band(F.col("lat")).alias("cell_y")).withColumn("cell_x", F.floor(F.col("lon") / _band_width(F.col("cell_y"), height, max_distance)))
+    met = placed.join(rows, ["cell_x", "cell_y"]).withColumn("distance_m", geography_distance(F.col("lon"), F.col("lat"), F.col("rings"))).where(F.col("distance_m") <= max_distance)
+    return met.groupBy("code", "track").agg(F.min(F.struct("distance_m", "candidate")).alias("b")).select("code", "track", F.col("b.candidate").alias("building_id"), "b.distance_m")
 
 
 def neighbour_candidates(buildings: DataFrame, radius: float = 25.0, most: int = 8) -> DataFrame:

@@ -65,8 +65,9 @@ def with_views(sql: str) -> str:
     """``sql`` after a WITH clause of the adapters that it names."""
     named = [f"{name} AS ({text})" for name, text in SQL.items() if name in sql]
     rest = sql.strip()
-    if rest.upper().startswith("WITH "):
-        return "WITH " + ", ".join([*named, rest[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if rest.upper().startswith(start):
+            return start + ", ".join([*named, rest[len(start) :]])
     return ("WITH " + ", ".join(named) + " " if named else "") + rest
 
 
