@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsidia.functions import geodesy
-from subsidia.functions.geo import FLATTENING, SEMI_MAJOR
-from subsidia.operators import assign
+from subsidia.functions.geo import FLATTENING, SEMI_MAJOR, rings_cover
+from subsidia.operators import areas, assign
 from subsidia.plans.catalog import query
-from subsidia.plans.layers import EDGES, polygons
+from subsidia.plans.layers import EDGES, OUTER, polygons
 from subsidia.sources import adapters
+from subsidia.sources.tracks import track_geometry
 
 _LON, _LAT = "13 + (({}) - 350000) / 75000", "47.7 + (({}) - 5290000) / 111000"
 _F, _A = f"{FLATTENING!r}::DOUBLE", f"{SEMI_MAJOR!r}::DOUBLE"
@@ -73,3 +74,32 @@ SELECT area_id, a, b FROM g WHERE gap <= 9.5""")
 def ring_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of buildings whose rings are within 9.5 m."""
     return assign.adjacent_buildings(assign.with_boxes(polygons(spark, sf_dir).drop("cx", "cy", "hw", "hh")), 9.5)
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return areas.candidate_areas(polygons(spark, sf_dir), track_geometry(spark).where("dataset_id = 'salzburg_snt'"))
+
+
+@query("candidate_areas", f"""
+SELECT b.building_id, CAST(t.track AS INTEGER) AS track, round(greatest(3, least(30, coalesce(height, 12) * tan(radians(inc)))), 6) AS range_offset_m, TRUE AS holds_both
+FROM v_buildings b, (VALUES (44, 38.81), (95, 38.48)) t(track, inc)""")
+def candidate_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of all buildings by track; whether a corner of the building and of its moved copy lie in them."""
+    corner = F.get(F.get("rings", F.lit(0)), F.lit(0))
+    found = _areas(spark, sf_dir).join(polygons(spark, sf_dir).select("building_id", corner.alias("c")), "building_id")
+    held = rings_cover(F.col("c.x"), F.col("c.y"), F.col("area")) & rings_cover(F.col("c.x") + F.col("shift_x_m"), F.col("c.y") + F.col("shift_y_m"), F.col("area"))
+    return found.select("building_id", F.col("track").cast("int").alias("track"), F.round("range_offset_m", 6).alias("range_offset_m"), held.alias("holds_both"))
+
+
+@query("candidate_points", f"""
+WITH g(track, inc, dx, dy) AS (VALUES (44, 38.81, sin(radians(261.4)), cos(radians(261.4))), (95, 38.48, sin(radians(101.5)), cos(radians(101.5)))),
+f(i, ua, va, ub, vb) AS (VALUES {", ".join(f"({i}, {float(a[0])}::DOUBLE, {float(a[1])}::DOUBLE, {float(b[0])}::DOUBLE, {float(b[1])}::DOUBLE)" for i, (a, b) in enumerate(zip(OUTER, OUTER[1:] + OUTER[:1])))}),
+c AS (SELECT p.code, p.track, b.building_id, p.x_m, p.y_m, cx, cy, hw, hh, dx, dy, greatest(3, least(30, coalesce(b.height, 12) * tan(radians(inc)))) AS off FROM v_points p JOIN g ON g.track = p.track JOIN v_buildings b ON abs(p.x_m - b.cx) <= 50 AND abs(p.y_m - b.cy) <= 50),
+q AS (SELECT *, x_m - cx AS x, y_m - cy AS y FROM c UNION ALL SELECT *, x_m - cx - dx * off, y_m - cy - dy * off FROM c),
+e AS (SELECT code, track, building_id, x, y, i, ua * hw AS ax, va * hh AS ay, (ub - ua) * hw AS ex, (vb - va) * hh AS ey FROM q, f),
+t AS (SELECT *, ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey) AS t, abs((x - ax) * ey - (y - ay) * ex) / sqrt(ex * ex + ey * ey) AS aside, (ay > y) <> (ay + ey > y) AND x < ex * (y - ay) / CASE WHEN ey = 0 THEN 1 ELSE ey END + ax AS crosses, sqrt(power(x - ax, 2) + power(y - ay, 2)) AS r, atan2(y - ay, x - ax) + 2 * pi() AS a FROM e),
+m AS (SELECT code, track, building_id, x, y, sum(crosses::INT) % 2 = 1 OR bool_or(t BETWEEN 0 AND 1 AND aside <= 2) OR bool_or(i <> 3 AND r <= 2 * cos(pi() / 32) / cos(a - floor(a / (pi() / 16)) * (pi() / 16) - pi() / 32)) AS held FROM t GROUP BY code, track, building_id, x, y)
+SELECT DISTINCT code, building_id FROM m WHERE held""")
+def candidate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and the buildings in whose candidate area of their track they lie."""
+    return areas.points_in_areas(adapters.points(spark, sf_dir), _areas(spark, sf_dir)).select("code", "building_id")
