@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -75,3 +76,13 @@ def materialize(df: DataFrame, name: str = "table", arrow_rows: int | None = Non
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str = "table", arrow_rows: int | None = None, **sums: Column) -> tuple[DataFrame, Row]:
+    """``materialize``, with ``rows`` and further aggregates of what is written, seen on the way and not by another job."""
+    seen, wanted = Observation(), [F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in sums.items()]]
+    written = materialize(df.observe(seen, *wanted), name, arrow_rows)
+    found = seen.get
+    if "rows" in found:
+        return written, Row(**found)
+    return written, written.agg(*wanted).first()  # a plan known to be empty has nothing to observe
