@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsidia.session import materialize
+from subsidia.session import counted, materialize
 
 #: Up to so many links the minima are broadcast; beyond, those of hubs are, at most so many.
 FEW, MAX_HUBS = 500_000, 100_000
@@ -50,11 +50,10 @@ def components(links: DataFrame, first: str, second: str) -> DataFrame:
     The steps stop when the links no longer change.
     """
     a, b = F.col(first), F.col(second)
-    edges = materialize(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    hashed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    edges, new = counted(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links", hashed=hashed)
     mark = None
-    while True:
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new[0] == 0 or new == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    while new["rows"] and new != mark:
         mark = new
-        edges = materialize(_star_step(edges, new[0]), "links")
+        edges, new = counted(_star_step(edges, new["rows"]), "links", hashed=hashed)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from subsidia.llm.exact_dedup import from_files, located, without_rows
 from subsidia.llm.graph import components
 from subsidia.llm.words import BATCH_ROWS, set_hashes, shingle_sets, text_slices
-from subsidia.session import materialize
+from subsidia.session import counted, materialize
 
 WORDS = 5
 #: One set in this many is in the sample that tells long lists; lists with this many sampled sets are long.
@@ -154,8 +154,8 @@ class _Sets:
     def of(self, asked: DataFrame) -> DataFrame:
         """All sets known, those of the nodes asked for among them."""
         new = asked if self.known is None else asked.join(self.known.select("node"), "node", "left_anti")
-        wanted = materialize(self.nodes.join(new, "node").select("node", F.xxhash64("place.file").alias("file"), "place.row"), "wanted")
-        count = wanted.count()
+        wanted, seen = counted(self.nodes.join(new, "node").select("node", F.xxhash64("place.file").alias("file"), "place.row"), "wanted")
+        count = seen["rows"]
         if count or self.known is None:
             made = self._made(F.broadcast(wanted) if count <= MAX_BROADCAST else wanted)
             self.known = made if self.known is None else self.known.union(made)
@@ -241,15 +241,15 @@ class _Block:
         return nodes[good]
 
 
-def _probed(pairs: DataFrame, sets: _Sets) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is 0.8 or more; from (a, b, c), where a null c stands for lists not merged.
+def _probed(pairs: DataFrame, count: int, sets: _Sets) -> DataFrame:
+    """The ``count`` pairs (a, b) whose exact similarity is 0.8 or more; from (a, b, c), where a null c stands for lists not merged.
 
     The a side is stored, in blocks by hash of the node, each node once; the
     set of b goes to every block in which it has partners.
     """
     known = sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     # Few pairs go to the sets, which then are shuffled once, to their blocks.
-    few = F.broadcast if pairs.count() <= MAX_BROADCAST else lambda side: side
+    few = F.broadcast if count <= MAX_BROADCAST else lambda side: side
     stored = known.join(few(pairs.select(F.col("a").alias("node")).distinct()), "node")
     size = stored.agg(F.sum(F.col("n").cast("long") * 8)).first()[0] or 0
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, size // BLOCK_BYTES)))
@@ -317,11 +317,11 @@ def _contracted(lists: DataFrame, joined: DataFrame, sets: _Sets) -> DataFrame:
         other = F.filter("leaders", lambda x: (x["component"] != F.col("component")) & (F.least(x["n"], F.col("n")) * 5 >= F.greatest(x["n"], F.col("n")) * 4))
         met = placed.join(mixed.select("shingle", "leaders"), "shingle").withColumn("leader", F.explode(other))
         met = met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("leader.node").alias("b"), F.col("leader.n").alias("bn"))
-        pairs = materialize(_occurring(met).withColumn("c", F.lit(None).cast("int")), "round-pairs")
-        if pairs.isEmpty():
+        pairs, seen = counted(_occurring(met).withColumn("c", F.lit(None).cast("int")), "round-pairs")
+        if not seen["rows"]:
             break
-        links = materialize(_probed(pairs, sets), "round-links", arrow_rows=BATCH_ROWS)
-        if links.isEmpty():
+        links, seen = counted(_probed(pairs, seen["rows"], sets), "round-links", arrow_rows=BATCH_ROWS)
+        if not seen["rows"]:
             if central:
                 continue
             break
@@ -370,14 +370,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         known = known.withColumn("node", F.when(F.col("node").isin(clashing.tolist()), F.col("check")).otherwise(F.col("node")))
         filled = known.where("n > 0")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
-    nodes = materialize(filled.groupBy("node").agg(F.min(first).alias("keep"), F.min(F.struct("file", "row")).alias("place")), "nodes")
+    nodes, seen = counted(filled.groupBy("node").agg(F.min(first).alias("keep"), F.min(F.struct("file", "row")).alias("place")), "nodes")
 
     sampled = filled.where("sample IS NOT NULL").groupBy("node").agg(F.first("sample").alias("sample"))
     frequent = sampled.select(F.explode("sample").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= LONG)
     frequent = frequent.orderBy(F.desc("count"), "shingle").limit(MAX_LONG).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     long_lists = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
     sets = _Sets(rows, nodes, long_lists, clashing)
-    salts = max(1, math.ceil(nodes.count() / PER_SALT))
+    salts = max(1, math.ceil(seen["rows"] / PER_SALT))
     entries = _short_lists(rows, long_lists, salts, clashing).withColumn("size_class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
 
     listed = Window.partitionBy("shingle", "salt").orderBy("size_class", "node")
@@ -391,8 +391,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     next_class = Window.partitionBy("shingle").orderBy("size_class", "salt", "node")
     leads = lists.where("node = lead.node").withColumn("last", F.lag(F.struct("node", "n")).over(next_class)).where("last IS NOT NULL")
     chain = leads.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("last.node").alias("b"), F.col("last.n").alias("bn"))
-    first_pairs = materialize(_occurring(star.union(chain)).withColumn("c", F.lit(None).cast("int")), "star-pairs")
-    links = materialize(_probed(first_pairs, sets), "star-links", arrow_rows=BATCH_ROWS)
+    first_pairs, seen = counted(_occurring(star.union(chain)).withColumn("c", F.lit(None).cast("int")), "star-pairs")
+    links = materialize(_probed(first_pairs, seen["rows"], sets), "star-links", arrow_rows=BATCH_ROWS)
     joined = materialize(components(links, "a", "b"), "star-components")
 
     lists = lists.drop("lead", "size_class", "salt")
@@ -400,9 +400,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = _placed(lists, joined)
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     # Any two nodes of different components meet in mixed lists only, so this pass counts all their common short lists.
-    more = materialize(_occurring(_met(placed.join(mixed, "shingle", "left_semi"))), "more-pairs")
-    if not more.isEmpty():
-        joined = _closed(materialize(_probed(more, sets), "more-links", arrow_rows=BATCH_ROWS), joined, "components")
+    more, seen = counted(_occurring(_met(placed.join(mixed, "shingle", "left_semi"))), "more-pairs")
+    if seen["rows"]:
+        joined = _closed(materialize(_probed(more, seen["rows"], sets), "more-links", arrow_rows=BATCH_ROWS), joined, "components")
 
     placed = nodes.join(joined, "node", "left").select("node", "keep", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("keep").alias("keep"))
