@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subsidia.llm.ranks import ranked
 from subsidia.session import materialize
 
-#: Bits of the hash, and bits by level.
-HASH_BITS, LEVEL_BITS = 36, (12, 12, 12)
+#: Bits of the hash, those of them that the id gives, and bits by level.
+HASH_BITS, ID_BITS, LEVEL_BITS = 60, 36, (12, 12, 12, 12, 12)
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,9 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("bigint")
 
 
-def _hash(ident: Column) -> Column:
-    """36 bits that depend on the id alone, the same in every run and engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(ident.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+def _hash(ident: Column, text: Column) -> Column:
+    """60 bits, the same in every run and engine: 36 of the id, and 24 of the text, which divide the rows of one id or of none."""
+    digits = lambda value, n: F.substring(F.md5(F.coalesce(value.cast("string"), F.lit(""))), 1, n)
+    return F.conv(F.concat(digits(ident, ID_BITS // 4), digits(text, (HASH_BITS - ID_BITS) // 4)), 16, 10).cast("bigint")
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -72,13 +74,18 @@ def _copies(targets: DataFrame) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("hash", _hash(F.col("id"))), "mix-sizes")
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(F.col(id_col), F.col(text_col)).alias("hash")), "mix-sizes")
 
 
 def _plan(base: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """One row for each source: source, source_size, target, copies, and ``limit``, below which a hash gives one copy more."""
+    """One row for each source: source, source_size, target, copies, ``limit``, below which a hash gives one copy more, and ``edge`` and ``edge_take``.
+
+    Where the last hash stands on several rows, equal ones, and some of them
+    bring the source nearest to its target, ``edge`` is that hash, and so many
+    of its rows get one copy more.
+    """
     shift = HASH_BITS - LEVEL_BITS[0]
-    first = materialize(base.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")), "mix-histogram")
+    first = materialize(base.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-histogram")
     totals = first.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = materialize(_copies(source_targets(totals, weights, cap)), "mix-targets")
 
@@ -87,12 +94,31 @@ def _plan(base: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
         edge, last = materialize(edge, "mix-boundary"), shift
         shift -= bits
         inside = base.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.shiftright("d.hash", last) == F.col("e.bucket")))
-        level = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("d.hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        level = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("d.hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         edge = _boundary(level, edge.select("source", "budget", "before"))
-    nearer = F.col("after") - F.col("budget") < F.col("budget") - F.col("before")
-    limit = edge.select("source", (F.col("bucket") + nearer.cast("bigint")).alias("limit"))
+    each = (F.col("after") - F.col("before")).cast("double") / F.col("n")
+    take = F.greatest(F.lit(0), F.least(F.col("n"), F.ceil((F.col("budget") - F.col("before")) / each - 0.5)))
+    some = (F.col("take") > 0) & (F.col("take") < F.col("n"))
+    limit = edge.withColumn("take", take).select("source", (F.col("bucket") + (F.col("take") == F.col("n")).cast("bigint")).alias("limit"), F.when(some, F.col("bucket")).alias("edge"), F.when(some, F.col("take")).alias("edge_take"))
     plan = plan.alias("p").join(limit.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
-    return materialize(plan.select("p.source", "source_size", "target", "copies", F.coalesce("limit", F.lit(1 << HASH_BITS)).alias("limit")), "mix-plan")
+    return materialize(plan.select("p.source", "source_size", "target", "copies", F.coalesce("limit", F.lit(1 << HASH_BITS)).alias("limit"), "edge", "edge_take"), "mix-plan")
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (source, hash and others) with ``plan`` as columns and ``copies`` as how often they are taken.
+
+    Equal rows at the edge of a source are told apart by their rank among one
+    another; they are few sources' rows, and ranked over the whole cluster.
+    """
+    met = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    at_edge = F.coalesce(F.col("hash") == F.col("edge"), F.lit(False))
+    out = met.where(~at_edge).withColumn("copies", F.col("copies") + (F.col("hash") < F.col("limit")).cast("bigint"))
+    if not plan.where("edge IS NOT NULL").isEmpty():
+        key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
+        edge = ranked(met.where(at_edge).withColumns({"mix_group": key, "mix_tie": F.monotonically_increasing_id()}), "mix_group", [F.col("mix_tie")], "mix-edge")
+        edge = edge.withColumn("copies", F.col("copies") + (F.col("rank") < F.col("edge_take")).cast("bigint"))
+        out = out.unionByName(edge.select(*out.columns))
+    return out
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -101,14 +127,15 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: i
     Returns one row per input row: id, source, size, source_size, target, copies and
     taken.  ``copies`` is how often the document is in the mix and ``taken`` is
     that times its size.  A null source is a source of its own; null and empty
-    texts have size 0, very long ones are counted whole; rows with equal ids
-    share a hash and are taken or left together; an empty table gives an empty
-    result; other columns are ignored.
+    texts have size 0, very long ones are counted whole.  Documents are chosen by
+    a hash of id and text, so rows that share an id, or have none, go their own
+    ways; of rows equal in both any are taken, as many as bring the source
+    nearest to its target.  An empty table gives an empty result; other columns
+    are ignored.
     """
     base = _sizes(docs, id_col, text_col, source_col)
-    out = base.alias("d").join(_plan(base, weights, cap).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    copies = F.col("copies") + (F.col("hash") < F.col("limit")).cast("bigint")
-    return out.select(F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = _with_copies(base, _plan(base, weights, cap))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def draw_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -118,20 +145,19 @@ def draw_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int
     their texts stay where they are while the plan is small enough to be
     broadcast by Spark's own threshold.  Columns may have any names.
     """
-    plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, cap).select(F.struct("source", "copies", "limit").alias("plan"))
-    records = docs.where(F.col(text_col).rlike(_WORD)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), _hash(F.col(id_col)).alias("hash"))
-    taken = records.join(plan, F.col(f"record.`{source_col}`").eqNullSafe(F.col("plan.source")))
-    copies = (F.col("plan.copies") + (F.col("hash") < F.col("plan.limit")).cast("bigint")).cast("int")
-    return taken.where(copies > 0).select("record", F.explode(F.sequence(F.lit(1), copies))).select("record.*")
+    plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, cap).select("source", "copies", "limit", "edge", "edge_take")
+    records = docs.where(F.col(text_col).rlike(_WORD)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(source_col).alias("source"), _hash(F.col(id_col), F.col(text_col)).alias("hash"))
+    copies = F.col("copies").cast("int")
+    return _with_copies(records, plan).where(copies > 0).select("record", F.explode(F.sequence(F.lit(1), copies))).select("record.*")
 
 
 def _boundary(histogram: DataFrame, budgets: DataFrame) -> DataFrame:
     """By source, the first bucket whose running sum exceeds the budget, with the sums before and after it."""
     by_bucket = Window.partitionBy("source").orderBy("bucket")
-    joined = histogram.alias("h").join(budgets.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source"))).select("h.source", "bucket", "words", "budget", "before")
+    joined = histogram.alias("h").join(budgets.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source"))).select("h.source", "bucket", "words", "n", "budget", "before")
     run = joined.withColumn("after", F.col("before") + F.sum("words").over(by_bucket))
     past = run.where(F.col("after") > F.col("budget")).withColumn("before", F.col("after") - F.col("words"))
-    return past.groupBy("source").agg(F.min(F.struct("bucket", "budget", "before", "after")).alias("m")).select("source", "m.*")
+    return past.groupBy("source").agg(F.min(F.struct("bucket", "budget", "before", "after", "n")).alias("m")).select("source", "m.*")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +167,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9) || substr(md5(coalesce(text, '')), 1, 6))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, sum(source_size) OVER () AS total FROM s),
@@ -153,12 +179,13 @@ t AS (
   SELECT source, source_size, CASE WHEN held THEN (3 * source_size)::DOUBLE
          ELSE (w * (total - coalesce(sum(3 * source_size) FILTER (WHERE held) OVER (), 0)))::DOUBLE / (sum(w) FILTER (WHERE NOT held) OVER ())::DOUBLE END AS target FROM k),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t),
-g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
-c AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS after FROM g),
+g AS (SELECT source, h, sum(size)::BIGINT AS words, count(*) AS n FROM d GROUP BY source, h),
+c AS (SELECT *, (sum(words) OVER (PARTITION BY source ORDER BY h))::BIGINT AS after FROM g),
 x AS (
   SELECT c.source, c.h, p.source_size, p.target, p.copies,
-         after <= target - copies * source_size OR (after - words <= target - copies * source_size AND after - (target - copies * source_size) < (target - copies * source_size) - (after - words)) AS more
-  FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source)
-SELECT d.doc_id, d.size, x.source_size, x.target, (d.size * (x.copies + x.more::INT))::BIGINT AS taken
-FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
+         CASE WHEN after <= target - copies * source_size THEN n ELSE greatest(0, least(n, ceil((target - copies * source_size - (after - words)) / (words::DOUBLE / n) - 0.5))) END AS more
+  FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS k FROM d)
+SELECT e.doc_id, e.size, x.source_size, x.target, (e.size * (x.copies + (e.k <= x.more)::INT))::BIGINT AS taken
+FROM e JOIN x ON e.source IS NOT DISTINCT FROM x.source AND e.h = x.h
 """

@@ -122,6 +122,19 @@ def test_mix_targets(spark):
         assert all(r.taken <= 3 * r.size for r in own)
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_of_few_ids(spark, same):
+    """Two sources whose rows have one id or none, with unlike texts or all alike: each comes near its target, and so do the drawn rows."""
+    rows = [(7 if i % 2 else None, "w " * 9 + ("w" if same else f"w{i}"), "ab"[i % 2], i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int")
+    for table in (docs, docs.drop("rank")):
+        got = mixing.mix_sources(table).collect()
+        for source, target in zip("ab", brute.water_filled([2000, 2000])):
+            assert abs(sum(r.taken for r in got if r.source == source) - target) <= 5 and all(r.taken <= 3 * r.size for r in got)
+        drawn = mixing.draw_mix(table)
+        assert drawn.columns == table.columns and sum(r.taken for r in got) == 10 * drawn.count()
+
+
 def test_mix_odd(spark):
     got = mixing.mix_sources(odd(spark)).collect()
     assert sorted(r.size for r in got) == [0, 0, 0, 2, 6, 6, 6, 4000]
