@@ -251,14 +251,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
     Each document's ids are followed by ``end_id``; documents of more than
     ``size`` tokens are cut there.  Returns one row per piece: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset.  A null or empty text
-    is the end id alone.  Repeated rows are packed each, and pieces of equal
-    length in the order of their ids; very long texts are tokenised whole; an
+    is the end id alone.  Repeated rows are packed each, as are rows that share
+    an id or have none, however many; very long texts are tokenised whole; an
     empty table gives no pieces; other columns are ignored.
     """
     id_type, special = dict(docs.dtypes)[id_col], special_tokens(tokenizer_path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path, ranks_path, pattern, special)
+        tokenizer, made = _tokenizer(tokenizer_path, ranks_path, pattern, special), 0
         for batch in batches:
             for at, to in text_slices(batch["text"], SLICE):
                 flat, own = tokenizer.ids(batch["text"].slice(at, to - at), end_id)
@@ -268,19 +268,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
                 length = np.minimum(own[which] - start, size)
                 data, first = memoryview(flat.astype("<u4")).cast("B"), (np.cumsum(own) - own)[which] + start
                 crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(which + at)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(own[which])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(which + at)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(own[which]), pa.array(np.arange(made, made + len(which)))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"])
+                made += len(which)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = materialize(rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"), "pieces", arrow_rows=BATCH_ROWS)
+    pieces = materialize(rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, number long"), "pieces", arrow_rows=BATCH_ROWS)
     buckets = max(64, pieces.count() // PER_BUCKET)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    # Pieces that are equal in all else are told apart by their number within the task that made them, so no bucket gets them all.
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "number"), F.lit(buckets)))
     histogram = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("pieces")), "histogram")
     counts = {r["length"]: r["n"] for r in histogram.groupBy("length").agg(F.sum("pieces").alias("n")).collect()}
     slots = docs.sparkSession.sparkContext.broadcast(_slots(pack_histogram(counts, size)))
 
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = histogram.select("length", "bucket", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start")))
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "number")))
     ranked = ranked.join(materialize(offsets, "offsets"), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before") - 1)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
