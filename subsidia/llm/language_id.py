@@ -31,6 +31,8 @@ UNKNOWN = "und"
 GRAMS, SLOT_BITS, HASHES = 20_000, 20, 3
 #: Documents of each language that the filters are fitted on, on average.
 DOCS_PER_LANGUAGE = 1500
+#: Languages that are learned at most: 128 MB of filters.
+MAX_LANGUAGES = 1024
 SIZES = (3, 4)
 #: A language has an n-gram if it is at least this many times as frequent there as where it is most frequent.
 DISTINCT = 0.2
@@ -173,22 +175,27 @@ def held_out(ident: Column) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit_filters(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = 3) -> LanguageFilters:
+def fit_filters(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = 3, most_languages: int = MAX_LANGUAGES) -> LanguageFilters:
     """Filters from labelled documents.
 
     Languages are counted over all rows and every one is learned; the n-grams
-    come from a sample by hash of about ``docs_per_language`` whole documents
-    each.  What reaches the driver is at
-    most ``GRAMS`` hashes for each language.
+    come from a sample by hash of the text of about ``docs_per_language`` whole
+    documents each, of which equal ones count once, so ids have no part in it.
+    What reaches the driver is at most ``GRAMS`` hashes for each language, and
+    the filters take 8 MB for each 64 of them.  More than ``most_languages``
+    are an error: the column then holds something else, or the bound is to be
+    raised with the workers' memory.
     """
-    rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values; clean it or raise most_languages")
     languages = [r["lang"] for r in counts]
     if not languages:
         return build_filters([], [])
     share = {r["lang"]: min(1.0, docs_per_language / r["count"]) for r in counts}
     limits = F.create_map(*[F.lit(x) for lang, p in share.items() for x in (lang, int(p * (1 << 31)))])
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < F.coalesce(F.element_at(limits, F.col("lang")), F.lit(0)))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < F.coalesce(F.element_at(limits, F.col("lang")), F.lit(0))).dropDuplicates(["lang", "text"])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -286,6 +286,20 @@ def test_language_predict_by_brute_force(spark, sf_dir):
     assert language_id.identify_languages(odd(spark, []), filters).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    """Rows without an id, or with one id, or all alike are sampled like others; too many languages are an error."""
+    word = lambda i: "".join(chr(97 + i * k % 26) + "xyz"[i // 7 % 3] for k in range(1, 30))
+    rows = [(None if i % 2 else 7, word(i), "en") for i in range(3000)] + [(None, "always the same text", "en")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = language_id.fit_filters(docs, docs_per_language=60, min_count=1)
+    every = language_id.fit_filters(docs, docs_per_language=10**6, min_count=1)
+    used = lambda filters: int((filters.slots != 0).sum())
+    assert 0 < used(some) < used(every) / 3
+    assert used(language_id.fit_filters(docs.where("text = 'always the same text'"), docs_per_language=10**6)) == 0  # once only, not 500 times
+    with pytest.raises(ValueError, match="more than 2 values"):
+        language_id.fit_filters(docs.withColumn("lang", F.substring("text", 1, 1)), most_languages=2)
+
+
 def test_language_number_is_not_capped(spark):
     """Every language is learned, beyond 256 too."""
     rows = spark.createDataFrame([(i, "abc abc abc", f"l{i:03}") for i in range(260)], "doc_id long, text string, lang string")
@@ -579,6 +593,16 @@ def test_packing_pads_little():
     assert sum(n for _, n in packing.pack_histogram({300: 100}, 1024)) == 34
 
 
+def test_packing_of_rows_without_id(spark, monkeypatch):
+    """Thousands of equal rows without an id, and of one id, lie over many buckets and fill their sequences without gaps."""
+    monkeypatch.setattr(packing, "PER_BUCKET", 10)
+    rows = [(None, "")] * 2000 + [(7, "a b")] * 1500 + [(None, f"text {i}") for i in range(500)]
+    found = packing.pack_public(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = found.collect()
+    assert len(got) == 4000 and len({(r.sequence_id, r.offset) for r in got}) == 4000
+    check_sequences(got)
+
+
 def test_packing_odd(spark):
     got = packing.pack_public(odd(spark)).collect()
     assert Counter(r.doc_id for r in got if r.doc_id != 5) == {1: 2, 2: 1, 3: 1, 4: 1, None: 1, 6: -(-4002 // 1024)}  # 4001 ids by the tokenizer file, and the end id
