@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subsidia.operators.nearest import nearest_mean
+
 GROUP = ["building_id", "track"]
 
 
@@ -24,12 +26,9 @@ def height_ranks(points: DataFrame) -> DataFrame:
 
 def local_density(points: DataFrame) -> DataFrame:
     """exp(-d / 6) for the mean distance d to the three nearest points of the group; 0 for a point alone."""
-    other = points.select(*GROUP, F.col("code").alias("other"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"))
-    pairs = points.select(*GROUP, "code", "x_m", "y_m").join(other, GROUP).where("code <> other")
-    pairs = pairs.withColumn("d", F.hypot(F.col("x_m") - F.col("ox"), F.col("y_m") - F.col("oy")))
-    near = pairs.withColumn("k", F.row_number().over(Window.partitionBy(*GROUP, "code").orderBy("d", "other"))).where("k <= 3")
-    mean = near.groupBy(*GROUP, "code").agg(F.avg("d").alias("d"))
-    return points.join(mean, [*GROUP, "code"], "left").withColumn("local_density", F.coalesce(F.exp(-F.col("d") / 6), F.lit(0.0))).drop("d")
+    mean = nearest_mean(points, GROUP, 3)
+    met = points.join(mean, [*GROUP, "x_m", "y_m"], "left")
+    return met.withColumn("local_density", F.coalesce(F.exp(-F.col("mean_distance") / 6), F.lit(0.0))).drop("mean_distance")
 
 
 def step_support(points: DataFrame, stats: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from subsidia.plans.catalog import query
 from subsidia.session import shared_path
 from subsidia.sources import adapters, layout
 from subsidia.sources.commits import Store
+from subsidia.streaming import runs as state_machine
 
 
 def _results(spark: SparkSession, sf_dir: str, run_id: str, test: str) -> DataFrame:
@@ -64,3 +65,18 @@ def stored_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, results = (layout.write_layout(df, f"{name}_{part}", f"{path}/{part}") for df, part in zip(_layers(spark, sf_dir), ("points", "results")))
     chosen = points.where("area_id = 'area_a' AND (dataset_id = 'ds_b' OR track = 44)")
     return layout.joined(chosen, results).select("area_id", "dataset_id", "track", "code", F.round("x_m", 4).alias("x_m"), F.round("anomaly", 6).alias("anomaly"))
+
+
+@query("run_states", """
+WITH RECURSIVE e AS (SELECT pipeline AS run_id, status, CAST(created AS TIMESTAMP) AS at, row_number() OVER (PARTITION BY pipeline ORDER BY created, CAST(run_id AS BIGINT)) AS k FROM (
+    SELECT pipeline, run_id, created, CASE WHEN value > 300000 THEN 'failed' ELSE status END AS status FROM v_runs) x),
+s AS (SELECT DISTINCT run_id, 0::BIGINT AS k, '' AS status, NULL::TIMESTAMP AS since, 0 AS refused, 0 AS late FROM e UNION ALL
+  SELECT s.run_id, e.k, CASE WHEN ok THEN e.status ELSE s.status END, CASE WHEN ok THEN e.at ELSE s.since END, s.refused + (NOT ok AND NOT ended)::INT, s.late + ended::INT FROM (
+    SELECT *, status IN ('succeeded', 'failed') AS ended FROM s) s JOIN (SELECT * FROM e) e ON e.run_id = s.run_id AND e.k = s.k + 1,
+    LATERAL (SELECT (s.status = '' AND e.status IN ('queued', 'running')) OR (s.status = 'queued' AND e.status IN ('running', 'failed')) OR (s.status = 'running' AND e.status IN ('succeeded', 'failed')) AS ok))
+SELECT run_id, nullif(status, '') AS status, CAST(since AS DATE) AS since, refused, late FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY k DESC) AS z FROM s) WHERE z = 1""")
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each pipeline from its log, with the events that were refused or late."""
+    runs = adapters.runs(spark, sf_dir)
+    events = runs.select(F.col("pipeline").alias("run_id"), F.col("created").cast("timestamp").alias("at"), F.col("run_id").cast("long").alias("number"), F.when(F.col("value") > 300000, "failed").otherwise(F.col("status")).alias("status"))
+    return state_machine.run_states(events).withColumn("since", F.col("since").cast("date"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from subsidia.operators import raster
 from subsidia.plans.catalog import query
 from subsidia.plans.layers import EDGES, polygons
-from subsidia.sources import adapters
+from subsidia.sources import adapters, ingest
 
 #: Corner and cell of the raster, in metres; no polygon's edge lies on a border of cells.
 _X0, _Y0, _CELL = 349_980.3, 5_299_990.7, 3.7
@@ -55,3 +55,42 @@ def building_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = raster.terrain_of_zones(shapes, grid, _X0, _Y0, _CELL, {"elevation": ["mean", "min", "max", "range"], "slope": ["mean", "max"]})
     r = lambda c: F.round(c, 6).alias(c)
     return found.select("building_id", r("elevation_mean"), "elevation_min", "elevation_max", r("elevation_range"), r("slope_mean"), r("slope_max"))
+
+
+@query("elevation_mosaic", """
+WITH g AS (SELECT c_nationkey % 3 AS i, c_nationkey % 4 AS j, CAST(c_custkey % 21 AS INTEGER) AS r, CAST(floor(c_custkey / 21) % 21 AS INTEGER) AS c, CAST(floor(c_acctbal) AS INTEGER) AS h FROM customer),
+t AS (SELECT i, j, r, c, max(h) AS h FROM g GROUP BY i, j, r, c),
+m AS (SELECT (47 - i) AS north, 12 + j AS east, r, c, h FROM t WHERE h > -900),
+w AS (SELECT r - (north + 1) * 20 AS row, c + east * 20 AS col, h, north, east FROM m)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(arg_min(h, (-north, east)) AS DOUBLE) AS elevation FROM w GROUP BY row, col""")
+def elevation_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 21 x 21 heights, made from the customers' balances as files' contents, read as one raster; low balances are voids."""
+    k = F.col("c_custkey")
+    cells = adapters.table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("i"), (F.col("c_nationkey") % 4).alias("j"), (k % 21 * 21 + F.floor(k / 21) % 21).cast("int").alias("at"), F.floor("c_acctbal").cast("int").alias("h"))
+    cells = cells.groupBy("i", "j", "at").agg(F.max("h").alias("h")).where("h > -900")
+    tiles = cells.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct("at", "h"))).alias("m"))
+    height = lambda at: F.lpad(F.hex(F.pmod(F.coalesce(F.try_element_at("m", at), F.lit(-32768)), F.lit(65536)).cast("long")), 4, "0")
+    content = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(440)), height), ""))
+    files = tiles.select(F.format_string("/tiles/N%02dE%03d.hgt", (47 - F.col("i")).cast("int"), (12 + F.col("j")).cast("int")).alias("path"), content.alias("content"))
+    return ingest.hgt_mosaic(ingest.hgt_rows(files)).select("row", "col", F.col("elevation").cast("double").alias("elevation"))
+
+
+@query("relation_resolution", """
+WITH n AS (SELECT p_partkey AS node FROM part), w AS (SELECT l_orderkey AS way, count(*) AS refs, bool_and(n.node IS NOT NULL) AS whole FROM lineitem LEFT JOIN n ON l_partkey = n.node WHERE l_orderkey % 7 <> 3 GROUP BY l_orderkey),
+m AS (SELECT o_custkey AS relation_id, o_orderkey AS way FROM orders WHERE o_orderpriority <> '1-URGENT')
+SELECT relation_id, count(*) AS parts, sum(refs)::BIGINT AS vertices, min(m.way) AS first_way FROM m JOIN w ON w.way = m.way WHERE whole AND refs >= 4 GROUP BY relation_id""")
+def relation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations with a whole way among their members: customers are relations, orders ways, parts nodes; a seventh of the ways is unknown, and urgent orders are members of another kind."""
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, ident, lon=none("double"), nodes=none("array<bigint>"), members=none("array<struct<type:string,ref:bigint>>"): (F.lit(kind).alias("type"), ident.cast("long").alias("id"), lon.alias("lon"), lon.alias("lat"), nodes.alias("nodes"), members.alias("members"))
+    nodes = adapters.table(spark, sf_dir, "part").select(*row("node", F.col("p_partkey"), F.col("p_partkey").cast("double")))
+    lines = adapters.table(spark, sf_dir, "lineitem").where("l_orderkey % 7 <> 3").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_orderkey"))).alias("x"))
+    # The first vertex carries the way's number, to tell the order of the members.
+    ways = lines.select(*row("way", F.col("l_orderkey"), nodes=F.transform("x", lambda x: x["l_partkey"].cast("long"))))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "node").otherwise("way")
+    members = adapters.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").cast("long").alias("ref"), kind.alias("type")))).alias("m"))
+    relations = members.select(*row("relation", F.col("o_custkey"), members=F.transform("m", lambda x: F.struct(x["type"].alias("type"), x["ref"].alias("ref")))))
+    elements = nodes.unionByName(ways).unionByName(relations)
+    found = ingest.relation_polygons(elements)
+    first = ingest.way_rings(elements.drop("members")).join(members.select("o_custkey", F.explode("m").alias("x")).where("x.type = 'way'").select(F.col("o_custkey").alias("relation_id"), F.col("x.ref").alias("way_id")), "way_id").groupBy("relation_id").agg(F.min("way_id").alias("first_way"))
+    return found.join(first, "relation_id").select("relation_id", F.size("polygons").cast("long").alias("parts"), F.size(F.flatten(F.flatten("polygons"))).cast("long").alias("vertices"), "first_way")

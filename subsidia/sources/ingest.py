@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import math
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -132,6 +137,21 @@ def way_rings(elements: DataFrame) -> DataFrame:
     return placed.where("whole").select("way_id", F.transform("ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
 
 
+def relation_polygons(elements: DataFrame) -> DataFrame:
+    """(relation_id, polygons) of OpenStreetMap relations: a polygon of one ring for each member way that is whole, in the members' order.
+
+    Elements are as in ``way_rings``, with ``members``, an array of (type,
+    ref).  Members that are no ways, or unknown ones, or that refer to an
+    unknown node, are left out; a relation without any whole way is dropped.
+    """
+    members = elements.where("type = 'relation'").select(F.col("id").alias("relation_id"), F.posexplode("members").alias("at", "member"))
+    members = members.where("member.type = 'way'").select("relation_id", "at", F.col("member.ref").alias("way_id"))
+    asked = elements.where("type = 'way'").join(members.select(F.col("way_id").alias("id")).distinct(), "id", "left_semi")
+    rings = way_rings(elements.where("type = 'node'").unionByName(asked))
+    found = members.join(rings, "way_id").groupBy("relation_id").agg(F.sort_array(F.collect_list(F.struct("at", "ring"))).alias("parts"))
+    return found.select("relation_id", F.transform("parts", lambda p: F.array(p["ring"])).alias("polygons"))
+
+
 def matched_features(xml: Column) -> Column:
     """Number of features in a WFS hits reply; null where the server says unknown."""
     return F.regexp_extract(F.nullif(F.xpath_string(xml, F.lit("/*/@numberMatched")), F.lit("unknown")), r"^(\d+)$", 1).try_cast("int")
@@ -230,13 +250,52 @@ class PagedFeatures(DataSource):
         return _PagedReader(self.options)
 
 
-def decode_hgt(data: bytes) -> list[tuple[int, int, float | None]]:
-    """(row, col, metres) of a big-endian 16-bit elevation tile; voids are null."""
-    import numpy as np
+def hgt_rows(files: DataFrame) -> DataFrame:
+    """(north, east, n, row, heights) of elevation tiles, a row of the raster each, from (path, content) as the ``binaryFile`` source gives them.
+
+    A tile is n x n big-endian 16-bit heights in metres, rows from the north;
+    its name begins with the degrees of its south-western corner.  Names that
+    end in .gz hold it compressed.  Voids are null; a file of another name or
+    size is an error.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                name = path.as_py().rsplit("/", 1)[-1]
+                found = re.match(r"([NS])(\d+)([EW])(\d+)\.hgt(\.gz)?$", name, re.IGNORECASE)
+                data = content.as_buffer() if found is None or not found[5] else gzip.decompress(content.as_buffer())
+                n = math.isqrt(len(data) // 2)
+                if found is None or 2 * n * n != len(data) or n < 2:
+                    raise ValueError(f"{name} is no elevation tile")
+                north, east = (int(v) * (-1 if side in "SWsw" else 1) for side, v in ((found[1], found[2]), (found[3], found[4])))
+                heights = np.frombuffer(data, ">i2").astype(np.float32)
+                values = pa.array(heights, mask=heights == -32768)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n + 1, n, dtype=np.int32)), values)
+                same = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(north), same(east), same(n), pa.array(np.arange(n, dtype=np.int32)), lists], ["north", "east", "n", "row", "heights"])
 
-    values = np.frombuffer(data, ">i2")
-    n = math.isqrt(len(values))
-    return [(i // n, i % n, None if v == -32768 else float(v)) for i, v in enumerate(values.tolist())]
+    return files.select("path", "content").mapInArrow(made, "north int, east int, n int, row int, heights array<float>")
+
+
+def read_hgt(spark: SparkSession, path: str) -> DataFrame:
+    """Elevation tiles below a folder of any file system, .hgt and .hgt.gz; see ``hgt_rows``."""
+    return hgt_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.{hgt,HGT,hgt.gz,HGT.gz}").option("recursiveFileLookup", "true").load(path))
+
+
+def hgt_mosaic(tiles: DataFrame) -> DataFrame:
+    """(row, col, elevation) of all tiles as one raster, rows counted from the equator to the south.
+
+    Neighbouring tiles share their edges: there the first tile that has a value
+    wins, from the north-west, row by row.  Only edges are grouped; what is
+    inside a tile stays where it was read.  Cells without a value are left out.
+    """
+    step = F.col("n") - 1
+    cells = tiles.select("north", "east", "n", (F.col("row") - (F.col("north") + 1) * step).alias("row"), F.posexplode("heights").alias("at", "elevation")).where("elevation IS NOT NULL")
+    cells = cells.withColumn("col", F.col("at") + F.col("east") * step)
+    shared = (F.col("at") == 0) | (F.col("at") == step) | (F.pmod("row", step) == 0)
+    once = cells.where(shared).groupBy("row", "col").agg(F.min_by("elevation", F.struct(-F.col("north"), "east")).alias("elevation"))
+    return cells.where(~shared).select("row", "col", "elevation").unionByName(once)
 
 
 def sample_bilinear(points: DataFrame, grid: DataFrame, key: str, x0: float, y0: float, cell: float) -> DataFrame:
