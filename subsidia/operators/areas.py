@@ -16,17 +16,21 @@ from subsidia.operators.assign import CELL, with_boxes, with_cells
 _RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
-def candidate_areas(buildings: DataFrame, tracks: DataFrame, *, slack: float = 2.0, low: float = 3.0, high: float = 30.0, multiplier: float = 1.0, segments: int = 8) -> DataFrame:
+def candidate_areas(buildings: DataFrame, tracks: DataFrame, *, slack: float = 2.0, low: float = 3.0, high: float = 30.0, multiplier: float = 1.0, segments: int = 8, incidence: DataFrame | None = None) -> DataFrame:
     """A row for each building and track: the range offset, its parts, and ``area``.
 
     The area is the building's polygon, united with its copy moved away from
     the sensor by the offset, grown by ``slack`` with arcs of ``segments`` a
     quarter.  It comes as rings, even-odd: holes are rings.  Buildings have
     building_id, height and ``rings``; tracks are a small dimension with the
-    range vector and default incidence.
+    range vector and default incidence, in place of which ``incidence``
+    (building_id, track, incidence_deg) may give a building's own.
     """
     rows = buildings.where(F.size("rings") > 0).select("building_id", "height", "rings").join(F.broadcast(tracks.select("track", "default_incidence_deg", "range_dx", "range_dy")))
-    rows = rows.withColumn("range_offset_m", range_offset(F.col("height"), F.col("default_incidence_deg"), multiplier=multiplier, low=low, high=high))
+    angle = F.col("default_incidence_deg")
+    if incidence is not None:
+        rows, angle = rows.join(incidence, ["building_id", "track"], "left"), F.coalesce("incidence_deg", angle)
+    rows = rows.withColumn("range_offset_m", range_offset(F.col("height"), angle, multiplier=multiplier, low=low, high=high))
     rows = rows.select("building_id", "track", "range_offset_m", (F.col("range_dx") * F.col("range_offset_m")).alias("shift_x_m"), (F.col("range_dy") * F.col("range_offset_m")).alias("shift_y_m"), "rings")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
