@@ -10,6 +10,8 @@ from subsidia.session import materialize
 
 #: Parts into which the values of a key are divided to find a percentile.
 PARTS = 256
+#: Distinct values of a key that one aggregation buffer may hold.
+FEW = 20_000
 
 
 def displacement_features(series: DataFrame, keys: list[str], value: str = "displacement") -> DataFrame:
@@ -50,11 +52,17 @@ def missing_rate(features: DataFrame, series: DataFrame, track: str = "track") -
 def exact_percentiles(rows: DataFrame, key: str, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """Exact percentiles, with linear interpolation, of columns by a key that may hold any share of the rows.
 
-    ``wanted`` gives (values, q) by name.  Equal values are counted before the
-    shuffle.  Approximate quantiles then divide the distinct values of a key
+    ``wanted`` gives (values, q) by name.  Where each key has few distinct
+    values, at most ``FEW`` by their estimate, Spark's own percentile counts
+    them in place.  Else equal values are counted before the shuffle.
+    Approximate quantiles then divide the distinct values of a key
     into parts; exact counts by part tell in which one a rank lies, and only
     that part is sorted.  A key without values has null.
     """
+    estimates = rows.groupBy(key).agg(*[F.approx_count_distinct(c).alias(n) for n, (c, _) in wanted.items()])
+    most = estimates.agg(F.max(F.greatest(*wanted, F.lit(0)))).first()[0]
+    if (most or 0) <= FEW:
+        return rows.groupBy(key).agg(*[F.percentile(c.cast("double"), q).alias(n) for n, (c, q) in wanted.items()])
     long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q"), c.cast("double").alias("v")) for n, (c, q) in wanted.items()])).alias("x")).select(key, "x.*")
     counts = materialize(long.where("v IS NOT NULL").groupBy(key, "name", "q", "v").agg(F.count("*").alias("n")), "value-counts")
     cuts = [k / PARTS for k in range(1, PARTS)]

@@ -11,8 +11,10 @@ from subsidia.plans.report import markdown_summary
 from subsidia.sources import ingest, schemas, sinks
 
 
-def test_exact_percentiles(spark):
+@pytest.mark.parametrize("few", [series.FEW, 0])
+def test_exact_percentiles(spark, monkeypatch, few):
     """Against numpy: a hot key, ties, a single value, nulls, a key without values, and more distinct values than parts."""
+    monkeypatch.setattr(series, "FEW", few)
     rng = np.random.default_rng(0)
     rows = [("hot", float(v)) for v in rng.normal(size=3000)] + [("ties", float(v)) for v in rng.integers(0, 3, 500)] + [("one", 2.5), ("none", None), ("hot", None)]
     df = spark.createDataFrame(rows, "key string, v double")
