@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from subsidia.llm.exact_dedup import from_files, located, without_rows
 from subsidia.llm.graph import components
-from subsidia.llm.words import BATCH_ROWS, set_hashes, shingle_sets, text_slices
+from subsidia.llm.words import BATCH_ROWS, released, set_hashes, shingle_sets, text_slices
 from subsidia.session import counted, materialize
 
 WORDS = 5
@@ -92,7 +92,7 @@ def _sets(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, to - at) for c in kinds), pa.array(node), pa.array(check), pa.array(n), sample], [*kinds, "node", "check", "n", "sample"])
 
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
-    return rows.select(*kinds, "text").mapInArrow(made, f"{schema}, node long, check long, n long, sample array<long>")
+    return rows.select(*kinds, "text").mapInArrow(released(made), f"{schema}, node long, check long, n long, sample array<long>")
 
 
 def _nodes_of(found: np.ndarray, starts: np.ndarray, clashing: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def _short_lists(rows: DataFrame, long_lists, salts: int, clashing: np.ndarray)
                 salt = np.where(is_long[kept], nodes % salts, -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(salt), pa.array(nodes), pa.array(sizes)], ["shingle", "salt", "node", "n"])
 
-    return rows.select("text").mapInArrow(made, "shingle long, salt int, node long, n int")
+    return rows.select("text").mapInArrow(released(made), "shingle long, salt int, node long, n int")
 
 
 class _Sets:
@@ -179,7 +179,7 @@ class _Sets:
                     yield pa.RecordBatch.from_arrays([node, pa.array(n, pa.int32()), pa.array(short, pa.int32()), data], ["node", "n", "n_short", "found"]).filter(pa.array(meant))
 
         read = self.rows.withColumn("file", F.xxhash64("file")).join(wanted, ["file", "row"]).select("node", "text")
-        return materialize(read.mapInArrow(made, "node long, n int, n_short int, found binary"), "sets", arrow_rows=BATCH_ROWS)
+        return materialize(read.mapInArrow(released(made), "node long, n int, n_short int, found binary"), "sets", arrow_rows=BATCH_ROWS)
 
 
 def _occurring(pairs: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _probed(pairs: DataFrame, count: int, sets: _Sets) -> DataFrame:
 
     columns = ["block", "kind", "node", "n", "n_short", "found", "partners"]
     dealt = stored.unionByName(asking).select(*columns).repartition("block").sortWithinPartitions("block", "kind")
-    return dealt.mapInArrow(probed, "a long, b long")
+    return dealt.mapInArrow(released(probed), "a long, b long")
 
 
 def _placed(lists: DataFrame, joined: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subsidia.llm.exact_dedup import from_files, located, without_rows
-from subsidia.llm.words import BATCH_ROWS
+from subsidia.llm.words import BATCH_ROWS, release_memory, released
 from subsidia.session import materialize
 
 UNKNOWN = "und"
@@ -204,7 +204,7 @@ def fit_filters(train: DataFrame, *, text_col: str = "text", lang_col: str = "la
                     keys, n = np.unique(np.concatenate([_grams(codes, size, counted)[1] for size in SIZES]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
 
-    grams = sample.select("lang", "text").mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    grams = sample.select("lang", "text").mapInPandas(released(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     rated = grams.withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= F.col("most") * DISTINCT)
     ranked = rated.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= GRAMS)
@@ -218,6 +218,7 @@ def language_column(spark: SparkSession, text: Column, filters: LanguageFilters)
 
     def judged(texts: pd.Series) -> pd.DataFrame:
         lang, score = predict(model.value, list(texts))
+        release_memory()
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return F.pandas_udf(judged, "lang_pred string, score double")(text)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subsidia.llm.columns import ascii_lower
-from subsidia.llm.words import byte_lower, text_slices
+from subsidia.llm.words import byte_lower, released, text_slices
 from subsidia.session import materialize
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -88,7 +88,7 @@ def _occurrences(rows: DataFrame, vocabulary: list[bytes], id_type: str) -> Data
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (number, tf)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(n, pa.int64()), *lists], ["doc_id", "n", "terms", "tfs"])
 
-    return rows.mapInArrow(made, f"doc_id {id_type}, n long, terms array<int>, tfs array<int>")
+    return rows.mapInArrow(released(made), f"doc_id {id_type}, n long, terms array<int>, tfs array<int>")
 
 
 def block_ends(scores: np.ndarray, bounds: np.ndarray, widest: int = WIDEST, cost: float = BLOCK_COST) -> np.ndarray:
@@ -233,7 +233,7 @@ def _searched(rows: DataFrame, asked: dict[int, np.ndarray], weights: np.ndarray
         if parts:
             yield found()
 
-    return rows.mapInArrow(made, f"query long, doc_id {id_type}, score long")
+    return rows.mapInArrow(released(made), f"query long, doc_id {id_type}, score long")
 
 
 def search(docs: DataFrame, items: DataFrame, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard: int = SHARD, most_items: int = ITEMS) -> DataFrame:

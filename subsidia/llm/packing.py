@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subsidia.llm.words import text_slices
+from subsidia.llm.words import released, text_slices
 from subsidia.session import materialize
 
 SIZE = 1024
@@ -272,7 +272,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
                 made += len(which)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = materialize(rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, number long"), "pieces", arrow_rows=BATCH_ROWS)
+    pieces = materialize(rows.mapInArrow(released(cut), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, number long"), "pieces", arrow_rows=BATCH_ROWS)
     buckets = max(64, pieces.count() // PER_BUCKET)
     # Pieces that are equal in all else are told apart by their number within the task that made them, so no bucket gets them all.
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "number"), F.lit(buckets)))
@@ -298,7 +298,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInPandas(placed, schema).withColumnRenamed("doc_id", id_col)
+    return ranked.select(*columns, "rank").mapInPandas(released(placed), schema).withColumnRenamed("doc_id", id_col)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

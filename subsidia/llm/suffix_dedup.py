@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subsidia.llm.exact_dedup import from_files, located
-from subsidia.llm.words import BATCH_ROWS, raw_bytes, scrambled, text_slices
+from subsidia.llm.words import BATCH_ROWS, raw_bytes, released, scrambled, text_slices
 from subsidia.session import materialize
 
 LENGTH, GRAM = 100, 32
@@ -221,7 +221,7 @@ def _found(rows: DataFrame, length: int, part: int, id_type: str, chosen=None) -
                 yield pa.RecordBatch.from_pydict(columns)
 
     kinds = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
-    return rows.mapInArrow(made, f"one long, two long, core long, doc_id {id_type}, place long, start int, more int, trigger int, sure boolean{texts}")
+    return rows.mapInArrow(released(made), f"one long, two long, core long, doc_id {id_type}, place long, start int, more int, trigger int, sure boolean{texts}")
 
 
 def _triggers(rows: DataFrame, length: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _triggers(rows: DataFrame, length: int) -> DataFrame:
             core, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["core", "n"])
 
-    counted = rows.select("text").mapInArrow(made, "core long, n int").groupBy("core").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(released(made), "core long, n int").groupBy("core").agg(F.sum("n").alias("n"))
     return materialize(counted.where("n > 1").select("core"), "suffix-triggers", arrow_rows=BATCH_ROWS)
 
 
@@ -306,7 +306,7 @@ def _merged(repeats: DataFrame, most: int) -> tuple[DataFrame, bool]:
             yield pa.RecordBatch.from_arrays([batch["own_id"], batch["own_place"], pa.ListArray.from_arrays(offsets, values)], ["own_id", "own_place", "runs"])
 
     id_type = dict(own.dtypes)["own_id"]
-    runs = materialize(own.mapInArrow(made, f"own_id {id_type}, own_place long, runs array<struct<start:int,end:int>>"), "suffix-runs")
+    runs = materialize(own.mapInArrow(released(made), f"own_id {id_type}, own_place long, runs array<struct<start:int,end:int>>"), "suffix-runs")
     return runs, (runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]) <= most
 
 
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 kept.append(data.tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(t.as_buffer()) for t in batch["text"]], pa.int64()), batch["runs"], pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
 
-    out = _joined(rows, runs, "left", few).select("doc_id", "text", "runs").mapInArrow(made, f"doc_id {id_type}, n_bytes long, runs array<struct<start:int,end:int>>, kept binary")
+    out = _joined(rows, runs, "left", few).select("doc_id", "text", "runs").mapInArrow(released(made), f"doc_id {id_type}, n_bytes long, runs array<struct<start:int,end:int>>, kept binary")
     return out.select(F.col("doc_id").alias(id_col), "n_bytes", F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")).alias("runs"), "kept")
 
 
