@@ -34,7 +34,7 @@ SIZE = 1024
 #: Pieces of one length that a task numbers at a time, about.
 PER_BUCKET = 100_000
 #: Bytes that a worker's remembered chunks may take, and the longest chunk that is remembered.
-CACHE_BYTES, CACHED_LENGTH = 80_000_000, 64
+CACHE_BYTES, CACHED_LENGTH = 40_000_000, 64
 #: Bytes of text tokenised at once, and documents in one Arrow batch.
 SLICE, BATCH_ROWS = 4 << 20, 2000
 #: All that a tokenizer may take for white space, and a few more; for the patterns of Arrow.
@@ -147,6 +147,10 @@ class ByteLevelTokenizer:
         out[(np.cumsum(own) - own)[1:]] = end
         return np.append(out[1:], np.uint32(end)), own
 
+    def forget(self) -> None:
+        """Lets go of the chunks met, so that a worker holds none while it does other work."""
+        self.chunks = _Chunks()
+
     def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many ids each chunk has, where they begin, and the ids."""
         names = chunks.to_numpy(zero_copy_only=False).tolist()
@@ -270,6 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
                 crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(which + at)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(own[which]), pa.array(np.arange(made, made + len(which)))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"])
                 made += len(which)
+        tokenizer.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = materialize(rows.mapInArrow(released(cut), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, number long"), "pieces", arrow_rows=BATCH_ROWS)
