@@ -39,24 +39,28 @@ _EXACT = float(2**53)
 #: Pairs of blocks in a cell of the grid, at most about.
 PER_CELL = 1 << 16
 _LEAST, _MOST = -(2**63), 2**63 - 1
-_PACKED = "dim int, block long, ids binary, data binary"
+_PACKED = "dim int, block long, ids binary, keys binary, data binary"
 
 
 def _pack(batches: Iterator[pd.DataFrame], most: int, scale: float) -> Iterator[pd.DataFrame]:
-    """Blocks of up to ``most`` vectors, by dimension; ids and data as bytes, data with one row per dimension."""
-    held: dict[int, tuple[list, list]] = {}
+    """Blocks of up to ``most`` vectors, by dimension; ids and data as bytes, data with one row per dimension.
+
+    Rows with a ``key`` are told apart by it, others by their id.
+    """
+    held: dict[int, tuple[list, list, list]] = {}
 
     def block(dim: int) -> pd.DataFrame:
-        ids, rows = held.pop(dim)
-        ids = np.array(ids, np.int64)
+        ids, keys, rows = held.pop(dim)
+        ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
         data = np.nan_to_num(np.floor(scale * np.stack(rows).astype(np.float64))) if dim else np.empty((len(ids), 0))
-        number = int(np.bitwise_xor.reduce((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-        return pd.DataFrame({"dim": [dim], "block": [number], "ids": [ids.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()]})
+        number = int(np.bitwise_xor.reduce((keys.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+        return pd.DataFrame({"dim": [dim], "block": [number], "ids": [ids.tobytes()], "keys": [keys.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()]})
 
     for batch in batches:
-        for ident, vector in zip(batch["id"], batch["vector"]):
-            ids, rows = held.setdefault(len(vector), ([], []))
+        for ident, key, vector in zip(batch["id"], batch["key" if "key" in batch else "id"], batch["vector"]):
+            ids, keys, rows = held.setdefault(len(vector), ([], [], []))
             ids.append(ident)
+            keys.append(key)
             rows.append(np.asarray(vector))
             if len(ids) == most:
                 yield block(len(vector))
@@ -72,8 +76,8 @@ def _unpack(dim: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 class _Best:
     """The best candidates of a block of queries so far, and the scores that new ones must reach."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, floor: np.ndarray | None = None):
-        self.ids, self.data, self.k = ids, data, k
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, floor: np.ndarray | None = None, keys: np.ndarray | None = None):
+        self.ids, self.data, self.k, self.keys = ids, data, k, ids if keys is None else keys
         self.floor = np.full(len(ids), _LEAST, np.int64) if floor is None else floor.copy()
         self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
         with np.errstate(over="ignore"):
@@ -136,7 +140,7 @@ class _Best:
 
     def rows(self) -> pd.DataFrame:
         counts = [len(s) for s, _ in self.found]
-        return pd.DataFrame({"query_id": np.repeat(self.ids, counts), "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
+        return pd.DataFrame({"query_id": np.repeat(self.ids, counts), "key": np.repeat(self.keys, counts), "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
 
 
 def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -146,15 +150,15 @@ def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: flo
     another id; ties go to the smaller id.  Vectors that are null or hold null
     or non-finite components take no part, nor do rows without id; vectors of
     another length than the query's are no candidates.  Each repeated row is a
-    candidate; a query id on several rows is searched once, with the smallest
-    of its vectors.  A score beyond the range of long is held at its end.  An
+    candidate, and each row of a query id on several rows is searched with its
+    own vector and has its own ranks.  A score beyond the range of long is held at its end.  An
     empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     finite = F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     valid = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & finite)
     rows = valid.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    asked = valid.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = valid.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.monotonically_increasing_id().alias("key"))
 
     blocks = materialize(rows.mapInPandas(lambda batches: _pack(batches, BLOCK, scale), _PACKED), "blocks")
     seeds = {r["dim"]: r["seed"] for r in blocks.groupBy("dim").agg(F.min("block").alias("block")).join(blocks, ["dim", "block"]).select("dim", F.struct("ids", "data").alias("seed")).orderBy("dim").limit(64).collect()}
@@ -176,7 +180,7 @@ def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: flo
     down = min(asking, -(-cells // across))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cell = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    left = queries.select("dim", cell(down).alias("x"), every(across).alias("y"), F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "floor")
+    left = queries.select("dim", cell(down).alias("x"), every(across).alias("y"), F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("keys").alias("qkeys"), F.col("data").alias("qdata"), "floor")
     right = blocks.select("dim", every(down).alias("x"), cell(across).alias("y"), "ids", "data")
     # A merge join keeps all candidate blocks of a query block together.
     met = left.hint("merge").join(right, ["dim", "x", "y"])
@@ -188,13 +192,13 @@ def search_top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: flo
                 if key != (r.dim, r.x, r.y, r.q):
                     if best is not None:
                         yield best.rows()
-                    key, best = (r.dim, r.x, r.y, r.q), _Best(*_unpack(r.dim, r.qids, r.qdata), k, np.frombuffer(r.floor, np.int64))
+                    key, best = (r.dim, r.x, r.y, r.q), _Best(*_unpack(r.dim, r.qids, r.qdata), k, np.frombuffer(r.floor, np.int64), np.frombuffer(r.qkeys, np.int64))
                 best.search(*_unpack(r.dim, r.ids, r.data))
         if best is not None:
             yield best.rows()
 
-    found = met.mapInPandas(searched, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = met.mapInPandas(searched, "query_id long, key long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -419,6 +419,14 @@ def test_topk_repeats_and_lengths(spark):
     assert got == [(0, 1, 5), (0, 2, 5), (20, 1, 6)]
 
 
+def test_topk_of_repeated_queries(spark):
+    """Each row of a repeated query id is searched with its own vector."""
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [2.0, -1.0]), (0, [2.0, -1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.search_top_k(vectors, F.col("vec_id") % 20 == 0).collect())
+    one = 64 * 64
+    assert got == sorted([(0, 1, 2, 2 * one), (0, 2, 1, one)] + [(0, 1, 1, 2 * one), (0, 2, 2, -one)] * 2)
+
+
 # 8: exact copies
 
 
