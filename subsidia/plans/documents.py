@@ -133,7 +133,7 @@ c AS (SELECT building_id, string_agg(cluster_id, ',' ORDER BY rank, track, clust
 k1 AS (SELECT building_id, string_agg(track || ':' || n, ',' ORDER BY track) AS tracks FROM (SELECT building_id, track, count(*) AS n FROM u GROUP BY building_id, track) x GROUP BY building_id),
 k2 AS (SELECT building_id, string_agg(label || ':' || n, ',' ORDER BY label) AS labels FROM (SELECT building_id, CASE WHEN coherence >= 0.7 THEN 'normal' WHEN coherence < 0.4 THEN 'outlier' ELSE 'unlabeled' END AS label, count(*) AS n FROM u GROUP BY 1, 2) x GROUP BY building_id)
 SELECT t.building_id, count(*) AS points, sum((epochs < 24)::INT)::BIGINT AS excluded, sum((role = 'noise')::INT)::BIGINT AS noise, any_value(tracks) AS tracks, any_value(labels) AS labels, any_value(clusters) AS clusters, string_agg(code, ',' ORDER BY pos) FILTER (WHERE pos <= 8) AS top_points,
-  round(avg(coherence), 6) AS mean_quality, any_value(n.status) AS status, round(any_value(n.motion), 6) AS motion
+  round(avg(coherence), 9) AS mean_quality, any_value(n.status) AS status, round(any_value(n.motion), 6) AS motion
 FROM t JOIN c ON c.building_id = t.building_id JOIN k1 ON k1.building_id = t.building_id JOIN k2 ON k2.building_id = t.building_id JOIN n ON n.building_id = t.building_id GROUP BY t.building_id""")
 def building_details_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details of all buildings: results are stored with their meta text, read again, and gathered; here the documents' values as columns."""
@@ -147,7 +147,7 @@ def building_details_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda c: F.round(c, 6)
     return d.select(
         "building_id", F.col("d.point_count").alias("points"), F.col("d.excluded_point_count").alias("excluded"), F.col("d.noise_point_count").alias("noise"), pairs("d.track_counts").alias("tracks"), pairs("d.label_counts").alias("labels"),
-        F.array_join(F.transform("d.clusters", lambda c: c["cluster_id"]), ",").alias("clusters"), F.array_join(F.transform("d.top_points", lambda p: p["code"]), ",").alias("top_points"), r("d.mean_quality_score").alias("mean_quality"), F.col("d.rollup.building_status").alias("status"), r("d.rollup.building_motion_mm_a").alias("motion"),
+        F.array_join(F.transform("d.clusters", lambda c: c["cluster_id"]), ",").alias("clusters"), F.array_join(F.transform("d.top_points", lambda p: p["code"]), ",").alias("top_points"), F.round("d.mean_quality_score", 9).alias("mean_quality"), F.col("d.rollup.building_status").alias("status"), r("d.rollup.building_motion_mm_a").alias("motion"),
     )
 
 
