@@ -36,7 +36,7 @@ PER_BUCKET = 100_000
 #: Bytes that a worker's remembered chunks may take, and the longest chunk that is remembered.
 CACHE_BYTES, CACHED_LENGTH = 40_000_000, 64
 #: Bytes of text tokenised at once, and documents in one Arrow batch.
-SLICE, BATCH_ROWS = 4 << 20, 2000
+SLICE, BATCH_ROWS = 2 << 20, 2000
 #: All that a tokenizer may take for white space, and a few more; for the patterns of Arrow.
 _SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NEWLINE = 198
