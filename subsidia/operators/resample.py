@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsidia.functions.classify import building_stability_band, stability_band
+from subsidia.operators.batches import in_groups
+from subsidia.session import materialize
 
 #: Draws and seed; a group's seed adds the code points of its key.
 DRAWS, SEED = 500, 17
 #: Points of a group that one task takes at a time.
 PER_PART = 100_000
+#: Numbers drawn at a time, and points of a group up to which it is drawn with others.
+HELD, SMALL = 2_000_000, 64
 
 
 def key_seed(key: str, base: int = SEED) -> int:
@@ -20,9 +26,33 @@ def key_seed(key: str, base: int = SEED) -> int:
 
 
 def bootstrap_medians(values: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """Medians of samples with replacement of the same size."""
-    drawn = np.random.default_rng(seed).integers(0, len(values), size=(draws, len(values)))
-    return np.median(values[drawn], axis=1)
+    """Medians of samples with replacement of the same size; of a long array some draws are made at a time."""
+    rng, n = np.random.default_rng(seed), len(values)
+    step = max(1, HELD // n)
+    return np.concatenate([np.median(values[rng.integers(0, n, size=(min(step, draws - i), n))], axis=1) for i in range(0, draws, step)])
+
+
+@lru_cache(512)
+def _drawn(n: int, draws: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, n, size=(draws, n)).astype(np.int16)
+
+
+def medians_of_groups(values: np.ndarray, starts: np.ndarray, draws: int, seeds: list[int]) -> np.ndarray:
+    """``bootstrap_medians`` of each group of ``values``, a row for each; small groups of one size go together."""
+    sizes = np.diff(starts)
+    out = np.empty((len(sizes), draws))
+    for n in np.unique(sizes).tolist():
+        of = np.flatnonzero(sizes == n)
+        if n > SMALL:
+            for g in of:
+                out[g] = bootstrap_medians(values[starts[g] : starts[g + 1]], draws, seeds[g])
+            continue
+        for i in range(0, len(of), step := max(1, HELD // (n * draws))):
+            some = of[i : i + step]
+            own = values[starts[some][:, None] + np.arange(n)]
+            drawn = np.stack([_drawn(n, draws, seeds[g]) for g in some])
+            out[some] = np.median(np.take_along_axis(own[:, None, :], drawn.astype(np.intp), axis=2), axis=2)
+    return out
 
 
 def bootstrap_summary(rows: DataFrame, key: str, value: str, order: str, draws: int = DRAWS) -> DataFrame:
@@ -32,15 +62,14 @@ def bootstrap_summary(rows: DataFrame, key: str, value: str, order: str, draws:
     how rows arrive.  Groups are the points of one cluster.
     """
 
-    def summary(group: pd.DataFrame) -> pd.DataFrame:
-        values = group.sort_values("o")["v"].to_numpy(float)
-        name = str(group["k"].iloc[0])
-        m = bootstrap_medians(values, draws, key_seed(name))
-        low, high = np.percentile(m, [5, 95])
-        return pd.DataFrame({"key": [name], "n": [len(values)], "mean": [m.mean()], "median": [np.median(m)], "std": [m.std()], "p05": [low], "p95": [high], "ci_width": [high - low]})
+    def summary(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        names = ["None" if k is None else k for k in table["k"].take(starts[:-1]).to_pylist()]
+        m = medians_of_groups(table["v"].to_numpy(), starts, draws, [key_seed(k) for k in names])
+        low, high = np.percentile(m, [5, 95], axis=1)
+        return pa.table({"key": pa.array(names, pa.string()), "n": np.diff(starts).astype(np.int64), "mean": m.mean(1), "median": np.median(m, axis=1), "std": m.std(1), "p05": low, "p95": high, "ci_width": high - low})
 
     chosen = rows.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
-    return chosen.groupBy("k").applyInPandas(summary, "key string, n long, mean double, median double, std double, p05 double, p95 double, ci_width double")
+    return in_groups(chosen, ["k"], ["o"], summary, "key string, n long, mean double, median double, std double, p05 double, p95 double, ci_width double")
 
 
 def _at(ordered: Column, q: float) -> Column:
@@ -81,13 +110,15 @@ def bootstrap_draws(rows: DataFrame, keys: list[str], value: str, order: str, dr
     """The draws themselves, one array for each group of ``keys``; the groups are the points of one main cluster."""
     types = dict(rows.dtypes)
 
-    def drawn(group: pd.DataFrame) -> pd.DataFrame:
-        values = group.sort_values("o")["v"].to_numpy(float)
-        name = ":".join(str(group[k].iloc[0]) for k in keys)
-        return group[keys].iloc[:1].assign(points=len(values), draws=[bootstrap_medians(values, draws, key_seed(name)).tolist()])
+    def drawn(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        first = table.select(keys).take(starts[:-1])
+        names = [":".join(str(r[k]) for k in keys) for r in first.to_pylist()]
+        m = medians_of_groups(table["v"].to_numpy(), starts, draws, [key_seed(k) for k in names])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * draws), pa.array(m.ravel()))
+        return first.append_column("points", pa.array(np.diff(starts), pa.int64())).append_column("draws", lists)
 
     chosen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
-    return chosen.groupBy(*keys).applyInPandas(drawn, ", ".join(f"{k} {types[k]}" for k in keys) + ", points long, draws array<double>")
+    return in_groups(chosen, keys, ["o"], drawn, ", ".join(f"{k} {types[k]}" for k in keys) + ", points long, draws array<double>")
 
 
 def building_stability(points: DataFrame, buildings: DataFrame, draws: int = DRAWS) -> DataFrame:
@@ -150,17 +181,21 @@ def cluster_hulls(points: DataFrame, keys: list[str]) -> DataFrame:
     ``PER_PART`` points, so no task holds such a group whole.
     """
 
-    def hull(group: pd.DataFrame) -> pd.DataFrame:
-        found = convex_hull(list(zip(group["x_m"], group["y_m"])))
-        return group[keys].iloc[:1].assign(hull=[[{"x": x, "y": y} for x, y in found]])
-
-    types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hull array<struct<x:double,y:double>>"
-    counts = points.groupBy(*keys).agg(F.count("*").alias("points"))
-    large = counts.where(F.col("points") > PER_PART).select(*[F.col(k).alias(f"large_{k}") for k in keys], F.ceil(F.col("points") / PER_PART).alias("parts"))
-    same = [F.col(k).eqNullSafe(F.col(f"large_{k}")) for k in keys]
-    rows = points.select(*keys, "x_m", "y_m").join(large, same, "left").withColumn("part", F.pmod(F.xxhash64("x_m", "y_m"), F.coalesce("parts", F.lit(1))))
-    parts = rows.select(*keys, "x_m", "y_m", "part").groupBy(*keys, "part").applyInPandas(hull, schema)
-    corners = parts.select(*keys, F.explode("hull").alias("h")).select(*keys, F.col("h.x").alias("x_m"), F.col("h.y").alias("y_m"))
-    whole = corners.groupBy(*keys).applyInPandas(hull, schema)
-    return counts.join(whole, keys).select(*keys, "points", "hull")
+    types, vertex = dict(points.dtypes), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def hull(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x, y, at = table["x_m"].to_pylist(), table["y_m"].to_pylist(), starts.tolist()
+        found = [[{"x": x, "y": y} for x, y in convex_hull(list(zip(x[a:b], y[a:b])))] for a, b in zip(at, at[1:])]
+        n = np.add.reduceat(table["n"].to_numpy(), starts[:-1])
+        return table.select([*keys, "part"]).take(starts[:-1]).append_column("points", pa.array(n, pa.int64())).append_column("hull", pa.array(found, vertex))
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", part long, points long, hull array<struct<x:double,y:double>>"
+    rows = points.dropna(subset=keys).select(*keys, F.col("x_m").cast("double").alias("x_m"), F.col("y_m").cast("double").alias("y_m"), F.lit(1).cast("long").alias("n"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("points"))
+    large = counts.where(F.col("points") > PER_PART).select(*keys, F.ceil(F.col("points") / PER_PART).alias("parts"))
+    rows = rows.join(F.broadcast(large), keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("x_m", "y_m"), F.col("parts")), F.lit(-1).cast("long"))).drop("parts")
+    parts = materialize(in_groups(rows, [*keys, "part"], [], hull, schema), "hulls")
+    # A part's count goes with the first vertex of its hull.
+    corners = parts.where("part >= 0").select(*keys, F.lit(-1).cast("long").alias("part"), "points", F.posexplode("hull").alias("at", "h"))
+    corners = corners.select(*keys, "part", F.col("h.x").alias("x_m"), F.col("h.y").alias("y_m"), F.when(F.col("at") == 0, F.col("points")).otherwise(F.lit(0)).cast("long").alias("n"))
+    return parts.where("part < 0").unionByName(in_groups(corners, [*keys, "part"], [], hull, schema)).select(*keys, "points", "hull")
