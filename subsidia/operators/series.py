@@ -14,12 +14,27 @@ PARTS = 256
 FEW = 20_000
 
 
+def _moments(rows: Column) -> Column:
+    """Number, means and moments around them (xx, yy, xy) of an array of (day, y), one after the other."""
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mx", "my", "xx", "yy", "xy")])
+
+    def add(s: Column, r: Column) -> Column:
+        n = s["n"] + 1
+        mx, my = s["mx"] + (r["day"] - s["mx"]) / n, s["my"] + (r["y"] - s["my"]) / n
+        moved = lambda v, old, new: (v - new) * (v - old)
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), (s["xx"] + moved(r["day"], s["mx"], mx)).alias("xx"), (s["yy"] + moved(r["y"], s["my"], my)).alias("yy"), (s["xy"] + (r["day"] - s["mx"]) * (r["y"] - my)).alias("xy"))
+
+    return F.aggregate(rows, start, add)
+
+
 def displacement_features(series: DataFrame, keys: list[str], value: str = "displacement") -> DataFrame:
     """Trend, roughness and the largest step of each series.
 
     The trend is a least-squares line over days since the first observation;
     the largest step is the first one of greatest size, its index that of the
     earlier observation.  Series of one observation have zeros and no step.
+    Moments are added up by date, so that the last digit, which decides a
+    rounding, does not depend on the division of the rows.
     """
     by_date = Window.partitionBy(*keys).orderBy("date")
     rows = series.where(F.col(value).isNotNull()).withColumns({
@@ -27,10 +42,11 @@ def displacement_features(series: DataFrame, keys: list[str], value: str = "disp
         "diff": F.col(value) - F.lag(value).over(by_date),
         "at": F.row_number().over(by_date) - 2,
     })
-    y, x = F.col(value), F.col("day")
-    residual = F.regr_syy(y, x) - F.when(F.regr_sxx(y, x) > 0, F.regr_sxy(y, x) ** 2 / F.regr_sxx(y, x)).otherwise(F.lit(0.0))
     step = F.max_by(F.struct("at", "diff"), F.when(F.col("diff").isNotNull(), F.struct(F.abs("diff"), -F.col("at"))))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n_dates"), F.regr_slope(y, x).alias("slope"), F.sqrt(F.greatest(residual, F.lit(0.0)) / F.count("*")).alias("residual"), F.avg(F.abs("diff")).alias("roughness"), step.alias("step"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n_dates"), F.sort_array(F.collect_list(F.struct("at", "day", F.col(value).cast("double").alias("y")))).alias("x"), F.avg(F.abs("diff")).alias("roughness"), step.alias("step"))
+    t = F.col("trend")
+    spread = t["yy"] - F.when(t["xx"] > 0, t["xy"] ** 2 / t["xx"]).otherwise(F.lit(0.0))
+    out = out.withColumn("trend", _moments(F.col("x"))).withColumns({"slope": F.when(t["xx"] > 0, t["xy"] / t["n"] / (t["xx"] / t["n"])), "residual": F.sqrt(F.greatest(spread, F.lit(0.0)) / F.col("n_dates"))})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(*keys, "n_dates", zero(F.col("slope") * 365.25).alias("slope_per_year"), zero(F.col("residual")).alias("residual_std"), zero(F.col("roughness")).alias("roughness"), zero(F.abs("step.diff")).alias("step_abs"), F.col("step.at").alias("step_index"), F.coalesce(F.signum("step.diff"), F.lit(0.0)).cast("int").alias("step_sign"))
 
