@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsidia.functions.geo import ring_edges
+from subsidia.session import dealt, task_count
+
+#: Shapes whose cells are one task's work, as a rule some hundred thousand.
+SHAPES = 10_000
 
 
 def _spans(edges: DataFrame) -> DataFrame:
@@ -52,35 +56,38 @@ def touched_cells(shapes: DataFrame, x0: float, y0: float, cell: float, *, order
     ``shapes`` has zone and ``polygons``, an array of polygons of rings, or
     ``rings``, those of one.  ``size`` (rows, columns) cuts off what lies
     outside the raster.  Shapes without a ring touch nothing.  Edges are rows,
-    and so are their cells row by row, so a large polygon is many tasks' work;
-    of the cells only the winners' maxima are shuffled.
+    and so are their cells row by row, so a large polygon is many tasks' work.
+    Shapes are dealt before they become cells, by their number, and cells after
+    it, so no task's table of cells grows with the input.
     """
     polygons = F.col("polygons") if "polygons" in shapes.columns else F.array("rings")
     rings = shapes.select("zone", F.col(order or "zone").alias("order"), F.explode(F.flatten(polygons)).alias("ring")).where(F.size("ring") > 0)
     place = lambda p: ((p["x"] - x0) / cell, (y0 - p["y"]) / cell)
-    edges = rings.select("zone", "order", F.explode(ring_edges(F.col("ring"))).alias("e"))
+    tasks = task_count(shapes, SHAPES)
+    edges = rings.select("zone", "order", F.explode(ring_edges(F.col("ring"))).alias("e")).repartition(tasks)
     (ax, ay), (bx, by) = place(F.col("e.a")), place(F.col("e.b"))
     edges = edges.select("zone", "order", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
     spans = _spans(edges).unionByName(_filled(edges))
     if size is not None:
         spans = spans.where(F.col("row").between(0, size[0] - 1)).withColumns({"low": F.greatest("low", F.lit(0)), "high": F.least("high", F.lit(size[1] - 1))}).where("low <= high")
     cells = spans.select("row", F.explode(F.sequence("low", "high")).alias("col"), F.struct("order", "zone").alias("last"))
-    return cells.groupBy("row", "col").agg(F.max("last").alias("last")).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "last.zone")
+    return dealt(cells, "row", "col", tasks=tasks).groupBy("row", "col").agg(F.max("last").alias("last")).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "last.zone")
 
 
 def terrain_of_zones(shapes: DataFrame, grid: DataFrame, x0: float, y0: float, cell: float, values: dict[str, list[str]], *, order: str | None = None) -> DataFrame:
     """Shapes with statistics of the raster cells they touch, and those without a cell with the value at their inner point.
 
     ``values`` names for each column of ``grid`` (row, col and values) the
-    statistics wanted: mean, min, max, range.  Results are ``<value>_<name>``;
+    statistics wanted: mean, min, max, range.  Both sides of each join grow with
+    the input, so none goes through the driver.  Results are ``<value>_<name>``;
     a shape that meets no cell with a value takes the value of the cell that
     holds (inner_x, inner_y), for range 0.
     """
     of = {"mean": F.avg, "min": F.min, "max": F.max, "range": lambda c: F.max(c) - F.min(c)}
     cells = touched_cells(shapes, x0, y0, cell, order=order)
     first = next(iter(values))
-    stats = cells.join(grid.where(F.col(first).isNotNull()), ["row", "col"]).groupBy("zone").agg(*[of[n](v).alias(f"{v}_{n}") for v, ns in values.items() for n in ns])
+    stats = cells.join(grid.where(F.col(first).isNotNull()).hint("merge"), ["row", "col"]).groupBy("zone").agg(*[of[n](v).alias(f"{v}_{n}") for v, ns in values.items() for n in ns])
     here = shapes.select("zone", F.floor((F.col("inner_x") - x0) / cell).cast("int").alias("col"), F.floor((y0 - F.col("inner_y")) / cell).cast("int").alias("row"))
-    here = here.join(grid, ["row", "col"], "left").select("zone", *[F.col(v).alias(f"here_{v}") for v in values])
-    met = shapes.join(stats, "zone", "left").join(here, "zone", "left")
+    here = here.join(grid.hint("merge"), ["row", "col"], "left").select("zone", *[F.col(v).alias(f"here_{v}") for v in values])
+    met = shapes.join(stats.hint("merge"), "zone", "left").join(here.hint("merge"), "zone", "left")
     return met.withColumns({f"{v}_{n}": F.coalesce(f"{v}_{n}", F.lit(0.0) if n == "range" else F.col(f"here_{v}")) for v, ns in values.items() for n in ns}).drop(*[f"here_{v}" for v in values])
