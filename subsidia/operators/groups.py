@@ -1,7 +1,8 @@
 """Features of a point within its building and track, gates, and the fallback for small groups.
 
 Input rows have building_id, track, code and the measures; a group is the rows
-of one building and track.
+of one building and track.  ``tasks`` is the number of tasks among which groups
+are dealt, where it is known; else the rows are counted.
 """
 
 from __future__ import annotations
@@ -11,17 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subsidia.operators.nearest import nearest_mean
+from subsidia.session import dealt
 
 GROUP = ["building_id", "track"]
 
 
-def height_ranks(points: DataFrame) -> DataFrame:
+def height_ranks(points: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """Rank of height in the group from 0 to 1, ties by code; 0.5 where the height is missing or alone."""
     known = F.col("height").isNotNull()
     by_height = Window.partitionBy(*GROUP, known).orderBy("height", "code")
     n = F.count("height").over(Window.partitionBy(*GROUP))
     rank = (F.row_number().over(by_height) - 1) / F.greatest(n - 1, F.lit(1))
-    return points.withColumn("height_rank", F.when(known & (n >= 2), rank).otherwise(F.lit(0.5)))
+    return dealt(points, *GROUP, tasks=tasks).withColumn("height_rank", F.when(known & (n >= 2), rank).otherwise(F.lit(0.5)))
 
 
 def local_density(points: DataFrame) -> DataFrame:
@@ -31,13 +33,13 @@ def local_density(points: DataFrame) -> DataFrame:
     return met.withColumn("local_density", F.coalesce(F.exp(-F.col("mean_distance") / 6), F.lit(0.0))).drop("mean_distance")
 
 
-def step_support(points: DataFrame, stats: DataFrame) -> DataFrame:
+def step_support(points: DataFrame, stats: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """Share of the group's other points with a like step: same sign, index at most one apart, 0.75 of the track's p90.
 
     Counted by a range window over step indexes, so no pairs are made.  A step
     below the p90 needs no support (1); without others or a step it has none.
     """
-    rows = points.join(stats.select("track", "step_p90"), "track")
+    rows = dealt(points, *GROUP, tasks=tasks).join(F.broadcast(stats.select("track", "step_p90")), "track")
     strong = F.col("step_index").isNotNull() & (F.col("step_abs") >= 0.75 * F.col("step_p90"))
     rows = rows.withColumn("strong", strong)
     near = Window.partitionBy(*GROUP, "step_sign").orderBy("step_index").rangeBetween(-1, 1)
@@ -76,12 +78,12 @@ def gate_reasons(*, min_epochs: int = 24, min_ratio: float = 0.50, coherence_flo
     ))
 
 
-def apply_gates(points: DataFrame, stats: DataFrame, **limits) -> DataFrame:
+def apply_gates(points: DataFrame, stats: DataFrame, *, tasks: int | None = None, **limits) -> DataFrame:
     """Points with their reasons, the first one, and the share of their group that is kept.
 
     Points without a building have no group: nothing of it is kept, and they are in no window.
     """
-    rows = points.join(stats.select("track", "coherence_p05"), "track").withColumn("reasons", gate_reasons(**limits))
+    rows = dealt(points, *GROUP, tasks=tasks).join(F.broadcast(stats.select("track", "coherence_p05")), "track").withColumn("reasons", gate_reasons(**limits))
     rows = rows.withColumns({"excluded": F.size("reasons") > 0, "degraded_reason": F.get("reasons", F.lit(0))})
     rows, group = rows.drop("coherence_p05"), Window.partitionBy(*GROUP)
     kept = F.sum((~F.col("excluded")).cast("int")).over(group)
