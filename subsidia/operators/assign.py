@@ -14,8 +14,11 @@ from pyspark.sql.window import Window
 
 from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_distance, rings_gap
 from subsidia.functions.geodesy import geography_distance, metres_per_degree
+from subsidia.session import dealt, task_count
 
 CELL = 50.0
+#: Buildings whose cells and pairs are one task's work.
+BUILDINGS = 20_000
 
 
 def _cell(x: Column, cell: float) -> Column:
@@ -136,8 +139,10 @@ def assign_geography(points: DataFrame, buildings: DataFrame, max_distance: floa
 
 def neighbour_candidates(buildings: DataFrame, radius: float = 25.0, most: int = 8) -> DataFrame:
     """Up to ``most`` other buildings within ``radius`` of each one's position, nearest first, then by id."""
+    tasks = task_count(buildings, BUILDINGS)
     own = buildings.select(F.col("building_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), _cell(F.col("cx"), radius).alias("cell_x"), _cell(F.col("cy"), radius).alias("cell_y"))
     around = with_cells(buildings.select(F.col("building_id").alias("neighbour_id"), F.col("cx").alias("nx"), F.col("cy").alias("ny")), F.col("nx") - radius, F.col("ny") - radius, F.col("nx") + radius, F.col("ny") + radius, radius)
-    near = own.join(around, ["cell_x", "cell_y"]).where("building_id <> neighbour_id").withColumn("distance_m", F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))).where(F.col("distance_m") <= radius)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("building_id").orderBy("distance_m", "neighbour_id")))
+    own, around = (dealt(df, "cell_x", "cell_y", tasks=tasks) for df in (own, around))
+    near = own.join(around.hint("merge"), ["cell_x", "cell_y"]).where("building_id <> neighbour_id").withColumn("distance_m", F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))).where(F.col("distance_m") <= radius)
+    ranked = dealt(near, "building_id", tasks=tasks).withColumn("rank", F.row_number().over(Window.partitionBy("building_id").orderBy("distance_m", "neighbour_id")))
     return ranked.where(F.col("rank") <= most).select("building_id", "neighbour_id", "distance_m", "rank")
