@@ -2,7 +2,7 @@
 
 The mutual-reachability tree of a group is cut by excess of mass (Campello et
 al. 2013, 2015).  A group is mostly the points of one roof, some hundred, and
-is handed to Arrow by Spark's grouping.  Of a group of more than ``LARGE``
+is handed to Arrow with many others.  Of a group of more than ``LARGE``
 points the work that grows with their square, core distances and the rounds of
 the spanning tree, is spread over tasks by blocks of points; what is left for
 one task is the cut of the tree, with memory and time by the number of points.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subsidia.operators.batches import in_groups
 from subsidia.session import counted, materialize
 
 # Weights of the six features, and the quantiles that scale them.
@@ -31,8 +32,13 @@ FEATURES = ("along_m", "cross_m", "height_rank", "velocity", "acceleration", "co
 
 def scaled_matrix(rows: pd.DataFrame) -> np.ndarray:
     """Features centred on the median and divided by their quantile range, weighted; missing values 0."""
-    x = rows[list(FEATURES)].to_numpy(float)
-    low, middle, high = np.nanpercentile(x, [QUANTILES[0], 50, QUANTILES[1]], axis=0)
+    return scaled(rows[list(FEATURES)].to_numpy(float))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The same of the features as an array."""
+    percentile = np.nanpercentile if np.isnan(x).any() else np.percentile
+    low, middle, high = percentile(x, [QUANTILES[0], 50, QUANTILES[1]], axis=0)
     spread = np.where(high > low, high - low, 1.0)
     return np.nan_to_num((x - middle) / spread * WEIGHTS, nan=0.0)
 
@@ -45,12 +51,36 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+#: Points of a group up to which all its pairs are sorted at once.
+FEW = 64
+
+
+def _edges_of_few(x: np.ndarray, kth: int) -> np.ndarray:
+    """The same tree, which the order of the edges makes unique, from all pairs in order."""
+    n, d = len(x), distances(x, x)
+    core = np.partition(d, kth, axis=1)[:, kth]
+    a, b = np.triu_indices(n, 1)
+    d = np.maximum(d[a, b], np.maximum(core[a], core[b]))
+    order = np.argsort(d, kind="stable")
+    part, edges = list(range(n)), []
+    for i, j, v in zip(a[order].tolist(), b[order].tolist(), d[order].tolist()):
+        p, q = part[i], part[j]
+        if p != q:
+            edges.append((i, j, v))
+            part = [p if k == q else k for k in part]
+            if len(edges) == n - 1:
+                break
+    return np.array(edges, float).reshape(-1, 3)
+
+
 def _reachability_edges(x: np.ndarray, neighbours: int) -> np.ndarray:
     """Minimum spanning tree of mutual reachability as rows (a, b, distance), a below b, by distance and then by the points.
 
     Distances are made row by row when they are needed, so memory grows with the number of points only.
     """
     n, kth = len(x), min(neighbours, len(x) - 1)
+    if n <= FEW:
+        return _edges_of_few(x, kth)
     core = np.array([np.partition(distances(x[i : i + 1], x)[0], kth)[kth] for i in range(n)])
     number = np.arange(n)
     inside, best, low, high, edges = np.zeros(n, bool), np.full(n, np.inf), np.full(n, n), np.full(n, n), []
@@ -176,17 +206,15 @@ def normalised(scores: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(scores), np.clip((scores - low) / (high - low), 0, 1), 1.0)
 
 
-def _rejoined(rows: pd.DataFrame, x: np.ndarray, labels: np.ndarray, probability: np.ndarray, outlier: np.ndarray) -> None:
+def _rejoined(calm: np.ndarray, near_roof: np.ndarray, x: np.ndarray, labels: np.ndarray, probability: np.ndarray, outlier: np.ndarray) -> None:
     """Noise that is near a cluster and otherwise inconspicuous joins it; centres and radii are those before."""
     names = sorted(set(labels[labels >= 0]))
-    if not names:
+    if not names or not ((labels == -1) & calm & near_roof).any():
         return
     order = np.argsort(labels, kind="stable")
     own = np.split(order, np.searchsorted(labels[order], names))[1:]
     centres = np.array([np.median(x[of], axis=0) for of in own])
     radii = np.array([max(np.percentile(np.linalg.norm(x[of] - c, axis=1), 90), 0.65) for of, c in zip(own, centres)])
-    calm = (rows["local_deviation"].to_numpy(float) <= 0.75) & (rows["coherence"].fillna(0.0).to_numpy(float) >= 0.45)
-    near_roof = (rows["method"] != "nearest").to_numpy() | (rows["distance_m"].fillna(0.0).to_numpy(float) <= 8.0) | (len(rows) <= 12)
     for i in np.flatnonzero((labels == -1) & calm & near_roof):
         distances = np.linalg.norm(x[i] - centres, axis=1)
         k = int(distances.argmin())
@@ -203,17 +231,41 @@ def group_limits(n: int) -> tuple[int, int]:
 def cluster_group(rows: pd.DataFrame, edges: np.ndarray | None = None) -> pd.DataFrame:
     """Roles of the points of one group of six or more, in order of code; ``edges`` are those of its spanning tree, if they are known."""
     rows = rows.sort_values("code").reset_index(drop=True)
-    x, n = scaled_matrix(rows), len(rows)
+    labels, probability, outlier = _roles(scaled_matrix(rows), _calm(rows), _near_roof(rows), edges)
+    prefix = f"{rows['building_id'].iloc[0]}:t{rows['track'].iloc[0]}:"
+    return rows[["code", "building_id", "track"]].assign(role=np.where(labels >= 0, "core", "noise"), cluster_id=[prefix + (f"cluster_{k}" if k >= 0 else "noise") for k in labels], probability=probability, outlier=outlier)
+
+
+def _calm(rows: pd.DataFrame) -> np.ndarray:
+    return (rows["local_deviation"].to_numpy(float) <= 0.75) & (rows["coherence"].fillna(0.0).to_numpy(float) >= 0.45)
+
+
+def _near_roof(rows: pd.DataFrame) -> np.ndarray:
+    return (rows["method"] != "nearest").to_numpy() | (rows["distance_m"].fillna(0.0).to_numpy(float) <= 8.0)
+
+
+def _roles(x: np.ndarray, calm: np.ndarray, near_roof: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, probability and outlier score of the scaled points of one group."""
+    n = len(x)
     smallest, neighbours = group_limits(n)
     labels, probability, outlier = cut_tree(n, _reachability_edges(x, neighbours) if edges is None else edges, smallest)
     outlier = normalised(outlier)
     if not (labels >= 0).any():
         labels = np.zeros(n, int)
-    _rejoined(rows, x, labels, probability, outlier)
-    probability = np.clip(probability, 0.05, 0.99)
-    outlier = np.where(labels == -1, np.maximum(outlier, 0.75), outlier)
-    prefix = f"{rows['building_id'].iloc[0]}:t{rows['track'].iloc[0]}:"
-    return rows[["code", "building_id", "track"]].assign(role=np.where(labels >= 0, "core", "noise"), cluster_id=[prefix + (f"cluster_{k}" if k >= 0 else "noise") for k in labels], probability=probability, outlier=outlier)
+    _rejoined(calm, near_roof | (n <= 12), x, labels, probability, outlier)
+    return labels, np.clip(probability, 0.05, 0.99), np.where(labels == -1, np.maximum(outlier, 0.75), outlier)
+
+
+def cluster_groups(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """``cluster_group`` of many groups, each in order of code."""
+    rows = table.select([*FEATURES, "local_deviation", "coherence", "method", "distance_m"]).to_pandas()
+    x, calm, near_roof = rows[list(FEATURES)].to_numpy(float), _calm(rows), _near_roof(rows)
+    at = starts.tolist()
+    made = [_roles(scaled(x[a:b]), calm[a:b], near_roof[a:b]) for a, b in zip(at, at[1:])]
+    labels, probability, outlier = (np.concatenate(c) for c in zip(*made))
+    keys = zip(table["building_id"].to_pylist(), table["track"].to_pylist(), labels.tolist())
+    names = [f"{b}:t{t}:" + (f"cluster_{k}" if k >= 0 else "noise") for b, t, k in keys]
+    return table.select(["code", "building_id", "track"]).append_column("role", pa.array(np.where(labels >= 0, "core", "noise").tolist())).append_column("cluster_id", pa.array(names)).append_column("probability", pa.array(probability)).append_column("outlier", pa.array(outlier))
 
 
 #: Points of a group above which its tree is made by blocks; points in a block, and in a task at most about.
@@ -372,5 +424,5 @@ def cluster_points(kept: DataFrame) -> DataFrame:
     rows = rows.select("code", *GROUP, *[F.col(f).cast("double") for f in FEATURES], "coherence", "local_deviation", "method", F.col("distance_m").cast("double"))
     schema = f"code string, building_id string, track {dict(kept.dtypes)['track']}, role string, cluster_id string, probability double, outlier double"
     of = lambda test: rows.join(sizes.where(test).select(*GROUP), GROUP, "left_semi")
-    out = small.unionByName(of(F.col("count") <= LARGE).groupBy(*GROUP).applyInPandas(lambda rows: cluster_group(rows), schema))
+    out = small.unionByName(in_groups(of(F.col("count") <= LARGE), GROUP, ["code"], cluster_groups, schema))
     return out if sizes.where(F.col("count") > LARGE).isEmpty() else out.unionByName(_large_groups(of(F.col("count") > LARGE), schema))

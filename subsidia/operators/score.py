@@ -36,7 +36,7 @@ def score_points(points: DataFrame, stats: DataFrame, *, normal: float = 0.70, o
     velocity_std, step_abs, step_support, kept_ratio, method and the building's
     ``agreement``; ``stats`` are the track percentiles.
     """
-    rows = points.join(stats, "track")
+    rows = points.join(F.broadcast(stats), "track")
     rules = _reasons()
     penalty = sum((F.when(test, severity if weight is None else severity * weight).otherwise(F.lit(0.0)) for _, test, severity, weight in rules), F.lit(0.0))
     found = F.array_compact(F.array(*[F.when(test, F.struct((-severity).alias("neg"), F.lit(i).alias("at"), F.lit(key).alias("key"))) for i, (key, test, severity, _) in enumerate(rules)]))

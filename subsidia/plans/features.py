@@ -11,7 +11,7 @@ from subsidia.operators import assign, groups, neighbours, rollup, score, series
 from subsidia.operators.cluster import cluster_points
 from subsidia.operators.coloring import color_buildings
 from subsidia.plans.catalog import query
-from subsidia.session import materialize
+from subsidia.session import materialize, task_count
 from subsidia.sources import adapters
 from subsidia.sources.tracks import track_geometry
 
@@ -255,7 +255,7 @@ def pair_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = rollup.cluster_rollup(_clustered(spark, sf_dir)).where("is_main").select("building_id", "track", F.col("median_vertical").alias("motion"), "reliability")
     near = assign.neighbour_candidates(adapters.buildings(spark, sf_dir), 21.0).select("building_id", "neighbour_id")
     other = main.withColumnsRenamed({"building_id": "neighbour_id", "motion": "their_motion", "reliability": "their_reliability"})
-    joined = near.join(main, "building_id").join(other, ["neighbour_id", "track"])
+    joined = near.join(main.hint("merge"), "building_id").join(other.hint("merge"), ["neighbour_id", "track"])
     return joined.select("building_id", "neighbour_id", "track", F.round(score.pair_consistency(F.col("motion"), F.col("their_motion"), F.col("reliability"), F.col("their_reliability")), 6).alias("score"))
 
 
@@ -285,13 +285,13 @@ def anomaly_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """
     buildings, points = adapters.buildings(spark, sf_dir), materialize(_assigned(spark, sf_dir), "assigned")
     tracks = track_geometry(spark).where("dataset_id = 'salzburg_snt'").select("track", "default_incidence_deg", "look_bearing_deg")
-    stats = materialize(series.track_stats(points), "track-stats")
+    stats, tasks = materialize(series.track_stats(points), "track-stats"), task_count(points)
     rows = points.join(F.broadcast(tracks), "track")
     along, cross = along_cross(F.col("x_m") - F.col("building_x"), F.col("y_m") - F.col("building_y"), F.col("look_bearing_deg"))
     rows = rows.withColumns({"along_m": along, "cross_m": cross, "vertical": vertical_proxy(F.col("velocity"), F.coalesce("incidence_angle", "default_incidence_deg"))})
-    featured = groups.step_support(groups.local_deviation(groups.height_ranks(rows.where("building_id IS NOT NULL"))), stats)
+    featured = groups.step_support(groups.local_deviation(groups.height_ranks(rows.where("building_id IS NOT NULL"), tasks=tasks)), stats, tasks=tasks)
     unassigned = rows.where("building_id IS NULL").withColumns({c: F.lit(0.0) for c in ("height_rank", "local_deviation", "step_support")})
-    gated = materialize(groups.apply_gates(featured.unionByName(unassigned, allowMissingColumns=True), stats), "gated")
+    gated = materialize(groups.apply_gates(featured.unionByName(unassigned, allowMissingColumns=True), stats, tasks=tasks), "gated")
     kept = gated.where("NOT excluded")
     clusters = materialize(cluster_points(kept), "clusters")
     placed = gated.join(clusters.drop("building_id"), ["code", "track"], "left")

@@ -49,3 +49,91 @@ def test_bootstrap_of_a_long_group_in_parts(monkeypatch):
     whole = resample.bootstrap_medians(values, 50, 9)
     monkeypatch.setattr(resample, "HELD", 1_000)
     assert (resample.bootstrap_medians(values, 50, 9) == whole).all()
+
+
+def test_clusters_of_many_groups_in_one_call(spark, small_batches):
+    from subsidia.operators import cluster
+
+    rng, rows = np.random.default_rng(8), []
+    for g in range(12):
+        for i in range(int(rng.integers(6, 30))):
+            rows.append((f"{i:03d}", f"b{g}", 44, *[float(v) for v in rng.normal(size=5)], float(rng.random()), float(rng.random()), "nearest" if i % 3 else "within", float(rng.random() * 15)))
+    points = spark.createDataFrame(rows, "code string, building_id string, track int, along_m double, cross_m double, height_rank double, velocity double, acceleration double, coherence double, local_deviation double, method string, distance_m double")
+    found = cluster.cluster_points(points)
+    assert "FlatMapGroups" not in plan(found)
+    got = found.toPandas().sort_values(["building_id", "code"]).reset_index(drop=True)
+    own = points.toPandas().assign(coherence_penalty=lambda d: (0.65 - d["coherence"]).clip(lower=0.0))
+    one = lambda rows: cluster.cluster_group(rows, cluster._reachability_edges(cluster.scaled_matrix(rows.sort_values("code")), cluster.group_limits(len(rows))[1]))
+    want = [one(rows) for _, rows in own.groupby("building_id")]
+    columns = ["building_id", "code", "role", "cluster_id", "probability", "outlier"]
+    assert got[columns].values.tolist() == [r for w in want for r in w[columns].values.tolist()]
+
+
+def test_tree_of_few_points_is_that_of_rounds(monkeypatch):
+    from subsidia.operators import cluster
+
+    x = np.random.default_rng(9).integers(0, 4, (40, 6)).astype(float)  # many equal distances
+    few = cluster._reachability_edges(x, 3)
+    monkeypatch.setattr(cluster, "FEW", 0)
+    assert (cluster._reachability_edges(x, 3) == few).all()
+
+
+def points_of(spark, n):
+    return spark.range(n).selectExpr("CAST(id AS STRING) AS code", "CAST(id % 300 AS STRING) AS building_id", "CAST(44 + id % 2 AS INT) AS track", "CAST(id % 80 AS DOUBLE) / 10 AS step_abs", "CAST(id % 5 AS INT) AS step_index", "CAST(id % 3 - 1 AS INT) AS step_sign", "CAST(id % 60 AS INT) AS epochs", "60 AS total_dates", "0.9 AS coherence")
+
+
+@pytest.mark.parametrize("name", ["step_support", "apply_gates"])
+def test_groups_are_dealt_by_their_rows(spark, monkeypatch, name):
+    """Two tracks and rows that compress well are still as many tasks as the rows need."""
+    from subsidia import session
+    from subsidia.operators import groups
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    monkeypatch.setattr(session.task_count, "__defaults__", (100,))
+    points = points_of(spark, 3000)
+    stats = spark.createDataFrame([(44, 5.0, 0.5), (45, 6.0, 0.5)], "track int, step_p90 double, coherence_p05 double")
+    assert getattr(groups, name)(points, stats).where("building_id IS NOT NULL").rdd.getNumPartitions() >= 30
+
+
+def houses(spark, n):
+    return spark.range(n).selectExpr("id AS zone", "CAST(id AS STRING) AS building_id", "'a' AS area_id", "CAST(id % 40 * 20 AS DOUBLE) AS cx", "CAST(floor(id / 40) * 20 AS DOUBLE) AS cy", "4.0D AS hw", "3.0D AS hh")
+
+
+def test_neighbours_are_dealt_by_buildings(spark, monkeypatch):
+    from subsidia.operators import assign
+
+    monkeypatch.setattr(assign, "BUILDINGS", 50)
+    found = assign.neighbour_candidates(houses(spark, 1000))
+    assert found.rdd.getNumPartitions() >= 20 and "BroadcastHashJoin" not in plan(found)
+
+
+def test_cells_are_dealt_by_shapes_and_terrain_sends_no_side_round(spark, monkeypatch):
+    from subsidia.operators import raster
+
+    monkeypatch.setattr(raster, "SHAPES", 50)
+    at = lambda a, b: F.struct((F.col("cx") + a * F.col("hw")).alias("x"), (F.col("cy") + b * F.col("hh")).alias("y"))
+    shapes = houses(spark, 1000).withColumns({"rings": F.array(F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))), "inner_x": F.col("cx"), "inner_y": F.col("cy")})
+    assert raster.touched_cells(shapes, -0.3, 600.7, 3.7).rdd.getNumPartitions() >= 20
+    grid = spark.range(5000).selectExpr("CAST(id % 160 AS INT) AS row", "CAST(floor(id / 160) AS INT) AS col", "CAST(id AS DOUBLE) AS elevation")
+    assert "Broadcast" not in plan(raster.terrain_of_zones(shapes, grid, -0.3, 600.7, 3.7, {"elevation": ["mean"]}))
+
+
+def test_colours_send_no_side_round(spark, monkeypatch):
+    from subsidia.operators import coloring
+
+    plans = []
+    written = coloring.materialize
+    monkeypatch.setattr(coloring, "materialize", lambda df, name="table": plans.append(plan(df)) or written(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e")], "a string, b string")
+    found = coloring.color_buildings(spark.createDataFrame([(k,) for k in "abcdef"], "key string"), edges)
+    assert found.count() == 6 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_moments_of_a_series_are_added_by_date(spark):
+    """A slope whose tenth digit is a five, up to the last bit: as the SQL rounds it."""
+    from subsidia.operators import series
+
+    rows = [('2024-01-04', 51.12), ('2024-01-06', 98.23), ('2024-01-08', 117.55), ('2024-01-16', 16.42), ('2024-01-19', 90.9), ('2024-01-25', 14.13), ('2024-01-27', 5.04)]
+    long = spark.createDataFrame([("a", d, v) for d, v in rows], "code string, d string, displacement double").select("code", F.to_date("d").alias("date"), "displacement")
+    found = series.displacement_features(long.repartition(5), ["code"]).select(F.round("slope_per_year", 9).alias("s"), F.round("residual_std", 9).alias("r")).first()
+    assert (found.s, found.r) == (-1203.784101563, 32.00108385)
