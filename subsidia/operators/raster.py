@@ -61,10 +61,11 @@ def touched_cells(shapes: DataFrame, x0: float, y0: float, cell: float, *, order
     it, so no task's table of cells grows with the input.
     """
     polygons = F.col("polygons") if "polygons" in shapes.columns else F.array("rings")
-    rings = shapes.select("zone", F.col(order or "zone").alias("order"), F.explode(F.flatten(polygons)).alias("ring")).where(F.size("ring") > 0)
-    place = lambda p: ((p["x"] - x0) / cell, (y0 - p["y"]) / cell)
     tasks = task_count(shapes, SHAPES)
-    edges = rings.select("zone", "order", F.explode(ring_edges(F.col("ring"))).alias("e")).repartition(tasks)
+    rings = dealt(shapes.select("zone", F.col(order or "zone").alias("order"), polygons.alias("polygons")), "zone", tasks=tasks)
+    rings = rings.select("zone", "order", F.explode(F.flatten("polygons")).alias("ring")).where(F.size("ring") > 0)
+    place = lambda p: ((p["x"] - x0) / cell, (y0 - p["y"]) / cell)
+    edges = rings.select("zone", "order", F.explode(ring_edges(F.col("ring"))).alias("e"))
     (ax, ay), (bx, by) = place(F.col("e.a")), place(F.col("e.b"))
     edges = edges.select("zone", "order", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
     spans = _spans(edges).unionByName(_filled(edges))

@@ -22,6 +22,8 @@ from subsidia.sources.sinks import field, varint, zigzag
 EXTENT, MARGIN = 4096, 64
 #: Features of a tile that are encoded at a time.
 PER_PART = 20_000
+#: Tiles, or parts of them, that a Python worker gets at a time; and features that it gives back at a time.
+TILES, GIVEN = 4, 5_000
 _POINT, _POLYGON = 1, 3
 
 
@@ -107,23 +109,46 @@ def _number(kind: str, text: str) -> bytes:
     return varint(7 << 3) + varint(int(text == "true"))
 
 
-def _commands(kind: int, rings: list) -> bytes:
-    out, x, y = [], 0, 0
+_SHORT = [varint(n) for n in range(1 << 14)]
+
+
+def _varint(n: int) -> bytes:
+    return _SHORT[n] if n < len(_SHORT) else varint(n)
 
-    def move(p) -> bytes:
-        nonlocal x, y
-        step = varint(zigzag(p["x"] - x)) + varint(zigzag(p["y"] - y))
-        x, y = p["x"], p["y"]
-        return step
 
+def _commands(kind: int, rings: list[tuple[list[int], list[int]]]) -> bytes:
+    """The vertices of rings, each as its xs and ys."""
+    out, x, y = [], 0, 0
     if kind == _POINT:
-        every = [p for r in rings for p in r]
-        return varint(1 | len(every) << 3) + b"".join(map(move, every))
-    for ring in rings:
-        out += [varint(9), move(ring[0]), varint(2 | len(ring) - 1 << 3), *map(move, ring[1:]), varint(15)]
+        out.append(_varint(1 | sum(len(xs) for xs, _ in rings) << 3))
+    for xs, ys in rings:
+        for i, (nx, ny) in enumerate(zip(xs, ys)):
+            if kind != _POINT and i < 2:
+                out.append(_varint(9) if i == 0 else _varint(2 | len(xs) - 1 << 3))
+            out += (_varint(zigzag(nx - x)), _varint(zigzag(ny - y)))
+            x, y = nx, ny
+        if kind != _POINT:
+            out.append(_varint(15))
     return b"".join(out)
 
 
+def _ends(lists: pa.ListArray) -> list[int]:
+    """Where each list begins and ends in the flattened array."""
+    at = lists.offsets.to_numpy()
+    return (at - at[0]).tolist() if len(at) else [0]
+
+
+def _columns(rows: pa.StructArray) -> list[list]:
+    return [c.to_pylist() for c in rows.flatten()]
+
+
+def _tables(batch: pa.RecordBatch) -> Iterator[list[tuple[str, str]]]:
+    """The values (kind, text) of the table of each row's tile."""
+    values = batch["values"].fill_null([]) if batch["values"].null_count else batch["values"]
+    at, (kinds, texts) = _ends(values), _columns(values.flatten())
+    return (list(zip(kinds[i:j], texts[i:j])) for i, j in zip(at, at[1:]))
+
+
 def encode_tiles(features: DataFrame, layer: str, keys: list[str], kind: str = "point", *, id_col: str | None = None, extent: int = EXTENT, per_part: int = PER_PART) -> DataFrame:
     """(tile_x, tile_y, features, tile) from rows with tile_x, tile_y, ``geometry`` and the attributes ``keys``.
 
@@ -144,17 +169,23 @@ def encode_tiles(features: DataFrame, layer: str, keys: list[str], kind: str = "
     parted = rows.join(counts, ["tile_x", "tile_y"]).withColumn("part", F.pmod(F.xxhash64("feature"), F.col("parts")).cast("int"))
     parted = parted.groupBy("tile_x", "tile_y", "part").agg(F.sort_array(F.collect_list("feature")).alias("features"))
 
+    head = varint(3 << 3) + varint(number)
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, counts = [], []
-            for features, values in zip(batch["features"], batch["values"]):
-                place = {(v["kind"], v["text"]): i for i, v in enumerate(values.as_py() or [])}
+            made, counts, features = [], [], batch["features"]
+            of, (ids, attributes, geometry) = _ends(features), features.flatten().flatten()
+            ids, rings = ids.to_pylist(), geometry.flatten()
+            tag_at, (tag_key, tag_kind, tag_text) = _ends(attributes), _columns(attributes.flatten())
+            ring_at, vertex_at, (xs, ys) = _ends(geometry), _ends(rings), _columns(rings.flatten())
+            for first, last, values in zip(of, of[1:], _tables(batch)):
+                place = {v: _varint(i) for i, v in enumerate(values)}
                 out = []
-                for f in features:
-                    f = f.as_py()
-                    tags = b"".join(varint(a["key"]) + varint(place[a["kind"], a["text"]]) for a in f["attributes"])
-                    body = (varint(8) + varint(f["id"]) if f["id"] is not None else b"") + (field(2, tags) if tags else b"")
-                    out.append(field(2, body + varint(3 << 3) + varint(number) + field(4, _commands(number, f["geometry"]))))
+                for f in range(first, last):
+                    tags = b"".join([_SHORT[tag_key[i]] + place[tag_kind[i], tag_text[i]] for i in range(tag_at[f], tag_at[f + 1])])
+                    shape = _commands(number, [(xs[a:b], ys[a:b]) for a, b in ((vertex_at[r], vertex_at[r + 1]) for r in range(ring_at[f], ring_at[f + 1]))])
+                    body = (varint(8) + varint(ids[f]) if ids[f] is not None else b"") + (field(2, tags) if tags else b"")
+                    out.append(field(2, body + head + field(4, shape)))
                 made.append(b"".join(out))
                 counts.append(len(out))
             yield pa.RecordBatch.from_arrays([batch["tile_x"], batch["tile_y"], batch["part"], pa.array(counts, pa.int64()), pa.array(made, pa.binary())], ["tile_x", "tile_y", "part", "n", "bytes"])
@@ -162,14 +193,16 @@ def encode_tiles(features: DataFrame, layer: str, keys: list[str], kind: str = "
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for parts, values in zip(batch["parts"], batch["values"]):
-                table = b"".join(field(3, k.encode()) for k in keys) + b"".join(field(4, _number(v["kind"], v["text"])) for v in (values.as_py() or []))
+            for parts, values in zip(batch["parts"], _tables(batch)):
+                table = b"".join(field(3, k.encode()) for k in keys) + b"".join([field(4, _number(*v)) for v in values])
                 out.append(field(3, varint(15 << 3) + varint(2) + field(1, layer.encode()) + b"".join(parts.as_py()) + table + varint(5 << 3) + varint(extent)))
             yield pa.RecordBatch.from_arrays([batch["tile_x"], batch["tile_y"], batch["features"], pa.array(out, pa.binary())], ["tile_x", "tile_y", "features", "tile"])
 
     parts = parted.join(tables, ["tile_x", "tile_y"], "left").mapInArrow(encoded, "tile_x int, tile_y int, part int, n long, bytes binary")
+    parts = materialize(parts, "tile-parts", arrow_rows=TILES)
     whole = parts.groupBy("tile_x", "tile_y").agg(F.sum("n").alias("features"), F.transform(F.sort_array(F.collect_list(F.struct("part", "bytes"))), lambda p: p["bytes"]).alias("parts"))
-    return whole.join(tables, ["tile_x", "tile_y"], "left").mapInArrow(closed, "tile_x int, tile_y int, features long, tile binary")
+    closed_tiles = whole.join(tables, ["tile_x", "tile_y"], "left").mapInArrow(closed, "tile_x int, tile_y int, features long, tile binary")
+    return materialize(closed_tiles, "tiles", arrow_rows=TILES)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -240,19 +273,27 @@ def decode_tiles(tiles: DataFrame, column: str = "tile") -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
             for i, tile in enumerate(batch[column]):
-                for _, layer in _fields(tile.as_py() or b""):
-                    parts = list(_fields(layer))
-                    name = next(v.decode() for n, v in parts if n == 1)
-                    names, values = [v.decode() for n, v in parts if n == 3], [_value(v) for n, v in parts if n == 4]
-                    for f in (dict(_fields(v)) for n, v in parts if n == 2):
-                        tags = _packed(f.get(2, b""))
-                        at.append(i)
-                        rows.append({"layer": name, "id": f.get(1), "kind": f[3], "geometry": _rings(_packed(f[4])), "attributes": [(names[k], values[v]) for k, v in zip(tags[::2], tags[1::2])]})
-            own = batch.select(others).take(pa.array(at, pa.int64()))
-            found = pa.RecordBatch.from_pylist(rows, schema=_DECODED)
-            yield pa.RecordBatch.from_arrays([*own.columns, *found.columns], [*others, *_DECODED.names])
+                for rows in given(tile.as_py() or b""):
+                    own = batch.select(others).take(pa.array([i] * len(rows), pa.int64()))
+                    found = pa.RecordBatch.from_pylist(rows, schema=_DECODED)
+                    yield pa.RecordBatch.from_arrays([*own.columns, *found.columns], [*others, *_DECODED.names])
+
+    def given(tile: bytes) -> Iterator[list[dict]]:
+        """The features of a tile, some at a time."""
+        for _, layer in _fields(tile):
+            parts = list(_fields(layer))
+            name = next(v.decode() for n, v in parts if n == 1)
+            names, values = [v.decode() for n, v in parts if n == 3], [_value(v) for n, v in parts if n == 4]
+            rows = []
+            for f in (dict(_fields(v)) for n, v in parts if n == 2):
+                tags = _packed(f.get(2, b""))
+                rows.append({"layer": name, "id": f.get(1), "kind": f[3], "geometry": _rings(_packed(f[4])), "attributes": [(names[k], values[v]) for k, v in zip(tags[::2], tags[1::2])]})
+                if len(rows) == GIVEN:
+                    yield rows
+                    rows = []
+            if rows:
+                yield rows
 
     schema = ", ".join(f"{c} {dict(tiles.dtypes)[c]}" for c in others)
     return tiles.mapInArrow(made, f"{schema}, layer string, id long, kind int, geometry array<array<struct<x:int,y:int>>>, attributes map<string,string>")
