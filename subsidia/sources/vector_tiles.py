@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -241,7 +242,7 @@ def _packed(data: bytes) -> list[int]:
     return out
 
 
-def _rings(commands: list[int]) -> list[list[dict]]:
+def _rings(commands: list[int]) -> list[list[tuple[int, int]]]:
     rings, at, x, y = [], 0, 0, 0
     while at < len(commands):
         command, count = commands[at] & 7, commands[at] >> 3
@@ -254,7 +255,7 @@ def _rings(commands: list[int]) -> list[list[dict]]:
             at += 2
             if command == 1:
                 rings.append([])
-            rings[-1].append({"x": x, "y": y})
+            rings[-1].append((x, y))
     return rings
 
 
@@ -267,6 +268,22 @@ def _value(data: bytes) -> str:
 _DECODED = pa.schema([("layer", pa.string()), ("id", pa.int64()), ("kind", pa.int32()), ("geometry", pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))), ("attributes", pa.map_(pa.string(), pa.string()))])
 
 
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Features (layer, id, kind, rings, names and values of attributes) as a batch, made from flat arrays."""
+    layer, ident, kind, geometry, names, values = zip(*rows)
+    rings = [r for g in geometry for r in g]
+    vertices = [p for r in rings for p in r]
+    points = pa.StructArray.from_arrays([pa.array([p[i] for p in vertices], pa.int32()) for i in (0, 1)], ["x", "y"])
+    shapes = _lists(_lists(points, [len(r) for r in rings]), [len(g) for g in geometry])
+    at = pa.array([0, *accumulate(len(n) for n in names)], pa.int32())
+    attributes = pa.MapArray.from_arrays(at, pa.array([x for n in names for x in n], pa.string()), pa.array([x for v in values for x in v], pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array(layer, pa.string()), pa.array(ident, pa.int64()), pa.array(kind, pa.int32()), shapes, attributes], schema=_DECODED)
+
+
 def decode_tiles(tiles: DataFrame, column: str = "tile") -> DataFrame:
     """Features of vector tiles: the other columns, layer, id, kind, geometry (rings in tile units) and attributes as text."""
     others = [c for c in tiles.columns if c != column]
@@ -276,10 +293,10 @@ def decode_tiles(tiles: DataFrame, column: str = "tile") -> DataFrame:
             for i, tile in enumerate(batch[column]):
                 for rows in given(tile.as_py() or b""):
                     own = batch.select(others).take(pa.array([i] * len(rows), pa.int64()))
-                    found = pa.RecordBatch.from_pylist(rows, schema=_DECODED)
+                    found = _batch(rows)
                     yield pa.RecordBatch.from_arrays([*own.columns, *found.columns], [*others, *_DECODED.names])
 
-    def given(tile: bytes) -> Iterator[list[dict]]:
+    def given(tile: bytes) -> Iterator[list[tuple]]:
         """The features of a tile, some at a time."""
         for _, layer in _fields(tile):
             parts = list(_fields(layer))
@@ -288,7 +305,7 @@ def decode_tiles(tiles: DataFrame, column: str = "tile") -> DataFrame:
             rows = []
             for f in (dict(_fields(v)) for n, v in parts if n == 2):
                 tags = _packed(f.get(2, b""))
-                rows.append({"layer": name, "id": f.get(1), "kind": f[3], "geometry": _rings(_packed(f[4])), "attributes": [(names[k], values[v]) for k, v in zip(tags[::2], tags[1::2])]})
+                rows.append((name, f.get(1), f[3], _rings(_packed(f[4])), [names[k] for k in tags[::2]], [values[v] for v in tags[1::2]]))
                 if len(rows) == GIVEN:
                     yield rows
                     rows = []

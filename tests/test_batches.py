@@ -137,3 +137,30 @@ def test_moments_of_a_series_are_added_by_date(spark):
     long = spark.createDataFrame([("a", d, v) for d, v in rows], "code string, d string, displacement double").select("code", F.to_date("d").alias("date"), "displacement")
     found = series.displacement_features(long.repartition(5), ["code"]).select(F.round("slope_per_year", 9).alias("s"), F.round("residual_std", 9).alias("r")).first()
     assert (found.s, found.r) == (-1203.784101563, 32.00108385)
+
+
+def test_tiles_are_given_some_features_at_a_time(spark, monkeypatch):
+    """A tile's features are not one batch, and tiles do not reach a worker all at once."""
+    import pyarrow as pa
+
+    from subsidia.sources import vector_tiles as vt
+
+    rows = [(1, 2, f"p{i}", i, [[{"x": i % 4096, "y": i * 7 % 4096}]]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "tile_x int, tile_y int, s string, n int, geometry array<array<struct<x:int,y:int>>>")
+    tiles = vt.encode_tiles(frame, "l", ["s", "n"])
+    assert "MapInArrow" not in plan(tiles)
+    runs = []
+
+    class Tiles:
+        columns, dtypes = ["tile_x", "tile"], [("tile_x", "int"), ("tile", "binary")]
+
+        def mapInArrow(self, made, schema):
+            runs.append(made)
+
+    monkeypatch.setattr(vt, "GIVEN", 15)
+    vt.decode_tiles(Tiles())
+    tile = bytes(tiles.first().tile)
+    found = list(runs[0](iter([pa.RecordBatch.from_pydict({"tile_x": pa.array([1], pa.int32()), "tile": pa.array([tile])})])))
+    assert [len(b) for b in found] == [15, 15, 10]
+    got = {dict(r["attributes"])["s"]: (r["geometry"], dict(r["attributes"])["n"]) for b in found for r in b.to_pylist()}
+    assert got == {s: (g, str(n)) for _, _, s, n, g in rows}
