@@ -13,6 +13,7 @@ same either way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -256,8 +257,8 @@ def _roles(x: np.ndarray, calm: np.ndarray, near_roof: np.ndarray, edges: np.nda
     return labels, np.clip(probability, 0.05, 0.99), np.where(labels == -1, np.maximum(outlier, 0.75), outlier)
 
 
-def cluster_groups(table: pa.Table, starts: np.ndarray) -> pa.Table:
-    """``cluster_group`` of many groups, each in order of code."""
+def cluster_groups(table: pa.Table, starts: np.ndarray, columns: list[str]) -> pa.Table:
+    """``cluster_group`` of many groups, each in order of code, beside the named columns of the rows."""
     rows = table.select([*FEATURES, "local_deviation", "coherence", "method", "distance_m"]).to_pandas()
     x, calm, near_roof = rows[list(FEATURES)].to_numpy(float), _calm(rows), _near_roof(rows)
     at = starts.tolist()
@@ -265,7 +266,7 @@ def cluster_groups(table: pa.Table, starts: np.ndarray) -> pa.Table:
     labels, probability, outlier = (np.concatenate(c) for c in zip(*made))
     keys = zip(table["building_id"].to_pylist(), table["track"].to_pylist(), labels.tolist())
     names = [f"{b}:t{t}:" + (f"cluster_{k}" if k >= 0 else "noise") for b, t, k in keys]
-    return table.select(["code", "building_id", "track"]).append_column("role", pa.array(np.where(labels >= 0, "core", "noise").tolist())).append_column("cluster_id", pa.array(names)).append_column("probability", pa.array(probability)).append_column("outlier", pa.array(outlier))
+    return table.select(columns).append_column("role", pa.array(np.where(labels >= 0, "core", "noise").tolist())).append_column("cluster_id", pa.array(names)).append_column("probability", pa.array(probability)).append_column("outlier", pa.array(outlier))
 
 
 #: Points of a group above which its tree is made by blocks; points in a block, and in a task at most about.
@@ -413,16 +414,29 @@ def _large_groups(rows: DataFrame, schema: str) -> DataFrame:
     return rows.groupBy(*_GROUP).cogroup(edges.groupBy(*_GROUP)).applyInPandas(cut, schema)
 
 
-def cluster_points(kept: DataFrame) -> DataFrame:
-    """code, building_id, track, role, cluster_id, probability and outlier of kept points, by the size of their group."""
+def cluster_points(kept: DataFrame, *, columns: list[str] | None = None, sizes: str | None = None) -> DataFrame:
+    """code, building_id, track, role, cluster_id, probability and outlier of kept points, by the size of their group.
+
+    ``columns`` are those of the points that go through, in place of the first
+    three, so that the result need not be joined with the points again.
+    ``sizes`` names a column with the number of kept points of the group, where
+    it is known; else the groups are counted.
+    """
     from subsidia.operators.groups import GROUP, small_group_roles
 
-    columns = ["code", "building_id", "track", "role", "cluster_id", "probability", "outlier"]
-    small = small_group_roles(kept).select(*columns)
-    sizes = materialize(kept.groupBy(*GROUP).count().where("count >= 6"), "group-sizes")
-    rows = kept.withColumn("coherence_penalty", F.greatest(F.lit(0.0), 0.65 - F.coalesce("coherence", F.lit(0.65))))
-    rows = rows.select("code", *GROUP, *[F.col(f).cast("double") for f in FEATURES], "coherence", "local_deviation", "method", F.col("distance_m").cast("double"))
-    schema = f"code string, building_id string, track {dict(kept.dtypes)['track']}, role string, cluster_id string, probability double, outlier double"
-    of = lambda test: rows.join(sizes.where(test).select(*GROUP), GROUP, "left_semi")
-    out = small.unionByName(in_groups(of(F.col("count") <= LARGE), GROUP, ["code"], cluster_groups, schema))
-    return out if sizes.where(F.col("count") > LARGE).isEmpty() else out.unionByName(_large_groups(of(F.col("count") > LARGE), schema))
+    columns, added = columns or ["code", *GROUP], ["role", "cluster_id", "probability", "outlier"]
+    if sizes is None:
+        sizes = "group_size"
+        kept = kept.join(materialize(kept.groupBy(*GROUP).agg(F.count("*").alias(sizes)), "group-sizes"), GROUP)
+    small = small_group_roles(kept.where(F.col(sizes) <= 5)).select(*columns, *added)
+    rows = kept.where(F.col(sizes) >= 6).withColumn("coherence_penalty", F.greatest(F.lit(0.0), 0.65 - F.coalesce("coherence", F.lit(0.65))))
+    used = list(dict.fromkeys([*columns, "code", *GROUP, *FEATURES, "coherence", "local_deviation", "method", "distance_m"]))
+    rows = rows.withColumns({f: F.col(f).cast("double") for f in (*FEATURES, "distance_m")})
+    schema = "role string, cluster_id string, probability double, outlier double"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+    medium, large = rows.where(F.col(sizes) <= LARGE).select(*used), rows.where(F.col(sizes) > LARGE).select(*used)
+    out = small.unionByName(in_groups(medium, GROUP, ["code"], partial(cluster_groups, columns=columns), f"{kinds}, {schema}"))
+    if large.isEmpty():
+        return out
+    found = _large_groups(large, f"code string, building_id string, track {dict(kept.dtypes)['track']}, {schema}")
+    return out.unionByName(large.select(*columns).join(found, ["code", *GROUP]).select(*columns, *added))

@@ -51,10 +51,9 @@ def step_support(points: DataFrame, stats: DataFrame, *, tasks: int | None = Non
 
 def _robust(rows: DataFrame, names: list[str]) -> DataFrame:
     """Median and scaled median absolute deviation of columns by group, as ``<name>_median`` and ``<name>_mad``."""
-    medians = rows.groupBy(*GROUP).agg(*[F.median(n).alias(f"{n}_median") for n in names])
-    joined = rows.join(medians, GROUP)
-    mads = joined.groupBy(*GROUP).agg(*[(1.4826 * F.median(F.abs(F.col(n) - F.col(f"{n}_median")))).alias(f"{n}_mad") for n in names])
-    return joined.join(mads, GROUP)
+    group = Window.partitionBy(*GROUP)
+    rows = rows.withColumns({f"{n}_median": F.median(n).over(group) for n in names})
+    return rows.withColumns({f"{n}_mad": 1.4826 * F.median(F.abs(F.col(n) - F.col(f"{n}_median"))).over(group) for n in names})
 
 
 def local_deviation(points: DataFrame) -> DataFrame:
@@ -81,15 +80,27 @@ def gate_reasons(*, min_epochs: int = 24, min_ratio: float = 0.50, coherence_flo
 def apply_gates(points: DataFrame, stats: DataFrame, *, tasks: int | None = None, **limits) -> DataFrame:
     """Points with their reasons, the first one, and the share of their group that is kept.
 
-    Points without a building have no group: nothing of it is kept, and they are in no window.
+    Points without a building have no group: nothing of it is kept, and they are in no window and in no shuffle.
     """
-    rows = dealt(points, *GROUP, tasks=tasks).join(F.broadcast(stats.select("track", "coherence_p05")), "track").withColumn("reasons", gate_reasons(**limits))
-    rows = rows.withColumns({"excluded": F.size("reasons") > 0, "degraded_reason": F.get("reasons", F.lit(0))})
-    rows, group = rows.drop("coherence_p05"), Window.partitionBy(*GROUP)
+    grouped = group_gates(points.where("building_id IS NOT NULL"), stats, tasks=tasks, **limits)
+    return grouped.unionByName(lone_gates(points.where("building_id IS NULL"), stats, **limits))
+
+
+def _gated(points: DataFrame, stats: DataFrame, **limits) -> DataFrame:
+    rows = points.join(F.broadcast(stats.select("track", "coherence_p05")), "track").withColumn("reasons", gate_reasons(**limits))
+    return rows.withColumns({"excluded": F.size("reasons") > 0, "degraded_reason": F.get("reasons", F.lit(0))}).drop("coherence_p05")
+
+
+def group_gates(points: DataFrame, stats: DataFrame, *, tasks: int | None = None, **limits) -> DataFrame:
+    """``apply_gates`` of points that have a building; points that are dealt by group already are not moved."""
+    rows, group = _gated(dealt(points, *GROUP, tasks=tasks), stats, **limits), Window.partitionBy(*GROUP)
     kept = F.sum((~F.col("excluded")).cast("int")).over(group)
-    grouped = rows.where("building_id IS NOT NULL").withColumns({"kept_points": kept, "kept_ratio": kept / F.count("*").over(group)})
-    alone = rows.where("building_id IS NULL").withColumns({"kept_points": F.lit(0).cast("bigint"), "kept_ratio": F.lit(0.0)})
-    return grouped.unionByName(alone)
+    return rows.withColumns({"kept_points": kept, "kept_ratio": kept / F.count("*").over(group)})
+
+
+def lone_gates(points: DataFrame, stats: DataFrame, **limits) -> DataFrame:
+    """``apply_gates`` of points without a building."""
+    return _gated(points, stats, **limits).withColumns({"kept_points": F.lit(0).cast("bigint"), "kept_ratio": F.lit(0.0)})
 
 
 def small_group_roles(points: DataFrame, threshold: float = 0.80) -> DataFrame:

@@ -291,19 +291,18 @@ def anomaly_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     rows = rows.withColumns({"along_m": along, "cross_m": cross, "vertical": vertical_proxy(F.col("velocity"), F.coalesce("incidence_angle", "default_incidence_deg"))})
     featured = groups.step_support(groups.local_deviation(groups.height_ranks(rows.where("building_id IS NOT NULL"), tasks=tasks)), stats, tasks=tasks)
     unassigned = rows.where("building_id IS NULL").withColumns({c: F.lit(0.0) for c in ("height_rank", "local_deviation", "step_support")})
-    gated = materialize(groups.apply_gates(featured.unionByName(unassigned, allowMissingColumns=True), stats, tasks=tasks), "gated")
-    kept = gated.where("NOT excluded")
-    clusters = materialize(cluster_points(kept), "clusters")
-    placed = gated.join(clusters.drop("building_id"), ["code", "track"], "left")
-    placed = placed.withColumns({"role": F.coalesce("role", F.lit("excluded")), "outlier": F.coalesce("outlier", F.when(F.col("building_id").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))})
-    placed = materialize(placed, "placed")
-    rolled = materialize(rollup.cluster_rollup(placed.where("NOT excluded")), "cluster-rollup")
-    near = materialize(assign.neighbour_candidates(buildings.join(placed.select("building_id").distinct(), "building_id", "left_semi")), "near")
-    fits = materialize(neighbours.neighbour_fit(placed.where("NOT excluded"), rolled, near), "fits")
+    gated = materialize(groups.group_gates(featured, stats, tasks=tasks).unionByName(groups.lone_gates(unassigned, stats)), "gated")
+    # Kept points go through the clustering with their columns, so no table of points is joined with its like.
+    kept = materialize(cluster_points(gated.where("NOT excluded"), columns=gated.columns, sizes="kept_points"), "clusters")
+    excluded = gated.where("excluded").withColumns({"role": F.lit("excluded"), "cluster_id": F.lit(None).cast("string"), "probability": F.lit(None).cast("double"), "outlier": F.when(F.col("building_id").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))})
+    rolled = materialize(rollup.cluster_rollup(kept), "cluster-rollup")
+    near = materialize(assign.neighbour_candidates(buildings.join(gated.select("building_id").distinct(), "building_id", "left_semi")), "near")
+    found = ["own_fit", "neighbour_id", "neighbour_cluster", "neighbour_fit", "misassigned"]
+    fits = materialize(neighbours.neighbour_fit(kept.select("code", "track", "building_id", "role", "cluster_id", *score.FIT), rolled, near).select("code", "track", "building_id", *found), "fits")
     events = materialize(neighbours.neighbour_events(neighbours.neighbour_support(rolled, near), fits), "events")
-    placed = placed.join(fits.select("code", "track", "own_fit", "neighbour_id", "neighbour_cluster", "neighbour_fit", "misassigned"), ["code", "track"], "left").withColumn("misassigned", F.coalesce("misassigned", F.lit(False)))
+    placed = kept.join(fits.drop("building_id"), ["code", "track"], "left").unionByName(excluded, allowMissingColumns=True).withColumn("misassigned", F.coalesce("misassigned", F.lit(False)))
     b = rollup.building_rollup(rolled, buildings)
-    before = placed.where("NOT excluded").groupBy("building_id").agg(F.abs(F.median(F.when(F.col("track") == 44, F.col("vertical"))) - F.median(F.when(F.col("track") == 95, F.col("vertical")))).alias("before_diff"))
+    before = kept.groupBy("building_id").agg(F.abs(F.median(F.when(F.col("track") == 44, F.col("vertical"))) - F.median(F.when(F.col("track") == 95, F.col("vertical")))).alias("before_diff"))
     b = b.join(before, "building_id", "left").join(events, "building_id", "left")
     b = b.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("candidates", "supporters", "support_tracks")} | {c: F.coalesce(c, F.lit(False)) for c in ("context", "event")})
     scored = score.score_points(placed.join(b.select("building_id", "agreement"), "building_id", "left"), stats)

@@ -164,3 +164,25 @@ def test_tiles_are_given_some_features_at_a_time(spark, monkeypatch):
     assert [len(b) for b in found] == [15, 15, 10]
     got = {dict(r["attributes"])["s"]: (r["geometry"], dict(r["attributes"])["n"]) for b in found for r in b.to_pylist()}
     assert got == {s: (g, str(n)) for _, _, s, n, g in rows}
+
+
+def test_groups_are_moved_once(spark):
+    """Ranks, deviations, step support and gates of points by group take one shuffle of the points."""
+    from subsidia.operators import groups
+
+    points = points_of(spark, 300).selectExpr("*", *[f"CAST(code AS DOUBLE) * {k} % 17 AS {c}" for k, c in ((1, "height"), (3, "velocity"), (5, "acceleration"), (7, "along_m"), (11, "cross_m"))])
+    stats = spark.createDataFrame([(44, 5.0, 0.5), (45, 6.0, 0.5)], "track int, step_p90 double, coherence_p05 double")
+    rows = groups.step_support(groups.local_deviation(groups.height_ranks(points, tasks=8)), stats, tasks=8)
+    assert groups.group_gates(rows, stats, tasks=8)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_points_go_through_the_clustering(spark, small_batches):
+    """Small and larger groups keep the columns of their points, and no rows are lost or doubled where codes repeat."""
+    from subsidia.operators import cluster
+
+    rows = [(f"{i % 9:03d}", f"b{g}", 44, *[float((i * k + g) % 7) for k in range(1, 6)], 0.9, 0.1, "within", 1.0, f"{g}/{i}", ["x", str(i)], n) for g, n in enumerate((2, 4, 6, 20)) for i in range(n)]
+    points = spark.createDataFrame(rows, "code string, building_id string, track int, along_m double, cross_m double, height_rank double, velocity double, acceleration double, coherence double, local_deviation double, method string, distance_m double, name string, marks array<string>, kept_points long")
+    got = cluster.cluster_points(points, columns=points.columns, sizes="kept_points")
+    assert got.columns == [*points.columns, "role", "cluster_id", "probability", "outlier"]
+    assert sorted(tuple(r)[: len(points.columns)] for r in got.collect()) == sorted(rows)
+    assert {r.building_id for r in got.collect() if r.role == "insufficient_support"} == {"b0"}
