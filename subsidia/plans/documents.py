@@ -18,13 +18,13 @@ from subsidia.sources.tracks import track_geometry
 
 #: Points that a building's detail names.
 TOP = 8
-# Names in the meta text of a result row.
-META = (
-    "method string, feature_flags struct<assignment_method:string>, cluster struct<cluster_role:string,cluster_probability:double,is_main_cluster:boolean,cluster_rank:int>,"
-    " cluster_rollup struct<cluster_id:string,track:int,cluster_rank:int,point_count:bigint,median_vertical_proxy_mm_a:double,cluster_reliability_score:double,is_main_cluster:boolean>,"
-    " building_rollup struct<building_status:string,building_motion_mm_a:double,building_reliability_score:double,building_reliability_band:string,track_agreement_score:double,cluster_count:bigint,reliable_cluster_count:bigint,differential_motion_flag:boolean,reliability_penalties:array<string>>,"
-    " visual_context struct<gate_excluded:boolean,gate_reasons:array<string>,kept_for_scoring:boolean,assignment_method:string>"
+# Names in the meta text of a result row, those of the roll-ups in it, and what is read of each row.
+CLUSTER_META = "cluster_id string, track int, cluster_rank int, point_count bigint, median_vertical_proxy_mm_a double, cluster_reliability_score double, is_main_cluster boolean"
+BUILDING_META = (
+    "building_status string, building_motion_mm_a double, building_reliability_score double, building_reliability_band string, track_agreement_score double,"
+    " cluster_count bigint, reliable_cluster_count bigint, differential_motion_flag boolean, reliability_penalties array<string>"
 )
+ROW_META = "cluster struct<cluster_role:string,cluster_rank:int>, cluster_rollup string, building_rollup string, visual_context struct<gate_excluded:boolean,assignment_method:string>"
 
 
 def result_rows(points: DataFrame, clusters: DataFrame, buildings: DataFrame, run_id: str) -> DataFrame:
@@ -55,9 +55,10 @@ def building_details(results: DataFrame) -> DataFrame:
 
     Counts by track, label and method, means of the scores, the building's
     roll-up, its clusters by rank, track and id, and the ``TOP`` points of
-    least quality, by code and track where they are equal.
+    least quality, by code and track where they are equal.  Roll-ups, which
+    all points of a building or cluster repeat, stay text until one is chosen.
     """
-    rows = materialize(results.where("building_id IS NOT NULL").withColumn("m", F.from_json("meta", META)).drop("meta"), "detail-rows")
+    rows = materialize(results.where("building_id IS NOT NULL").withColumn("m", F.from_json("meta", ROW_META)).drop("meta"), "detail-rows")
     excluded, role = F.coalesce("m.visual_context.gate_excluded", F.lit(False)), F.col("m.cluster.cluster_role")
     n = lambda test: F.count(F.when(test, 1))
     order = [F.col("quality_score").asc_nulls_last(), F.col("anomaly_score").desc_nulls_last(), F.col("code"), F.col("track")]
@@ -65,10 +66,11 @@ def building_details(results: DataFrame) -> DataFrame:
         F.count("*").alias("point_count"), n(~excluded).alias("kept_point_count"), n(role == "noise").alias("noise_point_count"), n(excluded).alias("excluded_point_count"),
         *[F.avg(c).alias(f"mean_{c}") for c in ("quality_score", "anomaly_score", "distance_m")],
         F.min_by("m.building_rollup", F.struct(F.coalesce("m.cluster.cluster_rank", F.lit(999)), "track", "code")).alias("rollup"),
-    )
+    ).withColumn("rollup", F.from_json("rollup", BUILDING_META))
     for name, value in (("track_counts", F.col("track")), ("label_counts", F.coalesce("label", F.lit("unlabeled"))), ("assignment_methods", F.coalesce("m.visual_context.assignment_method", F.lit("unknown")))):
         out = out.join(_counts(rows, value, name), _KEY)
-    own = rows.where("m.cluster_rollup.cluster_id IS NOT NULL").groupBy(*_KEY, "track", "cluster_id").agg(F.first("m.cluster_rollup").alias("c"))
+    own = rows.where(F.get_json_object("m.cluster_rollup", "$.cluster_id").isNotNull()).groupBy(*_KEY, "track", "cluster_id").agg(F.first("m.cluster_rollup").alias("c"))
+    own = own.withColumn("c", F.from_json("c", CLUSTER_META))
     placed = F.struct(F.coalesce("c.cluster_rank", F.lit(999)).alias("rank"), "track", "cluster_id", "c")
     clusters = own.groupBy(*_KEY).agg(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["c"]).alias("clusters"))
     top = rows.withColumn("at", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*order))).where(F.col("at") <= TOP)

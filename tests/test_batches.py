@@ -186,3 +186,22 @@ def test_points_go_through_the_clustering(spark, small_batches):
     assert got.columns == [*points.columns, "role", "cluster_id", "probability", "outlier"]
     assert sorted(tuple(r)[: len(points.columns)] for r in got.collect()) == sorted(rows)
     assert {r.building_id for r in got.collect() if r.role == "insufficient_support"} == {"b0"}
+
+
+def test_details_parse_a_roll_up_once_chosen(spark, monkeypatch):
+    """Rows keep their roll-ups as text; documents have the values of the row of least rank, and each cluster once."""
+    import json
+
+    from subsidia.plans import documents
+
+    stored, write = {}, documents.materialize
+    monkeypatch.setattr(documents, "materialize", lambda df, name: stored.setdefault(name, write(df, name)))
+    c = lambda k: {"cluster_id": f"c{k}", "track": 44, "cluster_rank": k, "point_count": 2}
+    metas = [{"cluster": {"cluster_role": "core", "cluster_rank": k}, "cluster_rollup": c(k), "building_rollup": {"building_status": f"s{k}", "building_motion_mm_a": 0.1 + k, "reliability_penalties": ["a", "b"]}} for k in (2, 1, 2)]
+    metas.append({"cluster": {"cluster_role": "noise"}, "visual_context": {"gate_excluded": True}})
+    rows = [("r", "a", "d", f"p{i}", 44, f"c{k}", "gba", "b1", 1.0, 0.5, 0.1, 0.5, None, json.dumps(m)) for i, (k, m) in enumerate(zip((2, 1, 2, 0), metas))]
+    results = spark.createDataFrame(rows, "run_id string, area_id string, dataset_id string, code string, track int, cluster_id string, building_source string, building_id string, distance_m double, score double, anomaly_score double, quality_score double, label string, meta string")
+    got = json.loads(documents.building_details(results).first().document)
+    assert {f.name: f.dataType.simpleString() for f in stored["detail-rows"].schema["m"].dataType}["building_rollup"] == "string"
+    assert got["rollup"] == metas[1]["building_rollup"] and got["clusters"] == [c(1), c(2)]
+    assert (got["point_count"], got["noise_point_count"], got["excluded_point_count"]) == (4, 1, 1)
