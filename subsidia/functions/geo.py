@@ -107,35 +107,44 @@ def ring_area(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, doubled / 2).otherwise(F.lit(0.0))
 
 
-def ring_distance(x: Column, y: Column, ring: Column) -> Column:
-    """Distance to the nearest edge of a ring."""
+def _to_scale(scale: tuple[Column, Column] | None) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """What takes a difference of x and one of y to metres."""
+    return (lambda c: c, lambda c: c) if scale is None else (lambda c: c * scale[0], lambda c: c * scale[1])
+
+
+def ring_distance(x: Column, y: Column, ring: Column, scale: tuple[Column, Column] | None = None) -> Column:
+    """Distance to the nearest edge of a ring; ``scale`` has the metres of a unit of x and y."""
+    in_x, in_y = _to_scale(scale)
 
     def of(e: Column) -> Column:
-        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        dx, dy, px, py = in_x(e["b"]["x"] - e["a"]["x"]), in_y(e["b"]["y"] - e["a"]["y"]), in_x(x - e["a"]["x"]), in_y(y - e["a"]["y"])
         length = dx * dx + dy * dy
-        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy) / length))).otherwise(F.lit(0.0))
-        return F.hypot(x - e["a"]["x"] - t * dx, y - e["a"]["y"] - t * dy)
+        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / length))).otherwise(F.lit(0.0))
+        off_x, off_y = px - t * dx, py - t * dy
+        return F.sqrt(off_x * off_x + off_y * off_y)
 
     return F.array_min(F.transform(ring_edges(ring), of))
 
 
-def rings_cover(x: Column, y: Column, rings: Column) -> Column:
+def rings_cover(x: Column, y: Column, rings: Column, scale: tuple[Column, Column] | None = None) -> Column:
     """Whether a polygon covers a point, border included; even-odd over all rings."""
+    in_x, in_y = _to_scale(scale)
 
     def crossings(ring: Column) -> Column:
         def crosses(e: Column) -> Column:
             a, b = e["a"], e["b"]
-            return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+            cut = in_x(b["x"] - a["x"]) * in_y(y - a["y"]) / in_y(b["y"] - a["y"])
+            return ((a["y"] > y) != (b["y"] > y)) & (x < cut + a["x"] if scale is None else in_x(x - a["x"]) < cut)
 
         return F.size(F.filter(ring_edges(ring), crosses))
 
     odd = F.aggregate(rings, F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1
-    return odd | F.exists(rings, lambda r: ring_distance(x, y, r) <= 1e-9)
+    return odd | F.exists(rings, lambda r: ring_distance(x, y, r, scale) <= 1e-9)
 
 
-def rings_distance(x: Column, y: Column, rings: Column) -> Column:
+def rings_distance(x: Column, y: Column, rings: Column, scale: tuple[Column, Column] | None = None) -> Column:
     """Distance to a polygon, 0 where it covers the point."""
-    return F.when(rings_cover(x, y, rings), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, lambda r: ring_distance(x, y, r))))
+    return F.when(rings_cover(x, y, rings, scale), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, lambda r: ring_distance(x, y, r, scale))))
 
 
 def rings_gap(a: Column, b: Column) -> Column:

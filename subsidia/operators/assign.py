@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_distance, rings_gap
+from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_gap
 from subsidia.functions.geodesy import geography_distance, metres_per_degree
+from subsidia.operators.measure import with_distances
 from subsidia.session import dealt, task_count
 
 CELL = 50.0
-#: Buildings whose cells and pairs are one task's work.
-BUILDINGS = 20_000
+#: Buildings, and points, whose cells and pairs are one task's work.
+BUILDINGS, POINTS = 20_000, 50_000
 
 
 def _cell(x: Column, cell: float) -> Column:
@@ -31,6 +32,11 @@ def with_cells(rows: DataFrame, low_x: Column, low_y: Column, high_x: Column, hi
     return out.withColumn("cell_y", F.explode(F.sequence(_cell(low_y, cell), _cell(high_y, cell))))
 
 
+def met_in_cells(points: DataFrame, cells: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Points joined with what lies in their cell; both are dealt by cell, since cells are many more bytes than the table they are made from."""
+    return dealt(points, *keys, tasks=tasks).join(dealt(cells, *keys, tasks=tasks).hint("merge"), keys)
+
+
 def near_buildings(buildings: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     """Buildings whose box lies within ``reach`` of the box of all points; one row of bounds reaches the driver."""
     box = points.agg(*[f(c) for c in ("x_m", "y_m") for f in (F.min, F.max)]).first()
@@ -67,14 +73,17 @@ def assign_buildings(points: DataFrame, buildings: DataFrame, tracks: DataFrame,
     rows = points.drop("building_id").join(F.broadcast(tracks.select("track", "default_incidence_deg", "range_dx", "range_dy")), "track")
     placed = rows.withColumns({"cell_x": _cell(F.col("x_m"), CELL), "cell_y": _cell(F.col("y_m"), CELL)})
     offset = range_offset(F.col("building_height"), F.coalesce("incidence_angle", "default_incidence_deg"), multiplier=multiplier, low=low, high=high)
-    pairs = placed.join(cells, ["cell_x", "cell_y"]).withColumn("range_offset_m", offset)
-    distance = box_distance(F.col("x_m"), F.col("y_m"), F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh"))
-    shifted = box_distance(F.col("x_m") - F.col("range_dx") * F.col("range_offset_m"), F.col("y_m") - F.col("range_dy") * F.col("range_offset_m"), F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh"))
-    pairs = pairs.withColumns({"distance_m": distance, "shifted_m": shifted})
+    met = met_in_cells(placed, cells, ["cell_x", "cell_y"], max(task_count(buildings, BUILDINGS), task_count(points, POINTS))) if rings else placed.join(cells, ["cell_x", "cell_y"])
+    pairs = met.withColumn("range_offset_m", offset)
+    pairs = pairs.withColumns({"back_x": F.col("x_m") - F.col("range_dx") * F.col("range_offset_m"), "back_y": F.col("y_m") - F.col("range_dy") * F.col("range_offset_m")})
+    apart = lambda x, y: box_distance(F.col(x), F.col(y), F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh"))
+    pairs = pairs.withColumns({"distance_m": apart("x_m", "y_m"), "shifted_m": apart("back_x", "back_y")})
     if rings:
         # A polygon is never nearer than its box.
         pairs = pairs.where((F.col("distance_m") <= max_distance) | (F.col("shifted_m") <= slack))
-        pairs = pairs.withColumns({"distance_m": rings_distance(F.col("x_m"), F.col("y_m"), F.col("rings")), "shifted_m": F.when(F.col("shifted_m") <= slack, rings_distance(F.col("x_m") - F.col("range_dx") * F.col("range_offset_m"), F.col("y_m") - F.col("range_dy") * F.col("range_offset_m"), F.col("rings")))})
+        back = lambda c: F.when(F.col("shifted_m") <= slack, F.col(c)).alias(c)
+        pairs = pairs.select("code", "track", "candidate", "range_offset_m", "building_height", "cx", "cy", "x_m", "y_m", back("back_x"), back("back_y"), "rings")
+        pairs = with_distances(pairs, {"distance_m": ("x_m", "y_m"), "shifted_m": ("back_x", "back_y")})
     priority = F.when(F.col("distance_m") == 0, 0).when((F.col("distance_m") <= slack) | (F.col("shifted_m") <= slack), 1).when(F.col("distance_m") <= max_distance, 2)
     pairs = pairs.withColumn("priority", priority).where("priority IS NOT NULL")
     best = pairs.groupBy("code", "track").agg(F.min(F.struct("priority", "distance_m", "candidate", "range_offset_m", "building_height", "cx", "cy")).alias("b"))
