@@ -75,20 +75,11 @@ def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, st
     return let(F.struct(reduced(lat1).alias("a"), reduced(lat2).alias("b"), turn.alias("lon")), prepared)
 
 
-def local_rings(lon: Column, lat: Column, rings: Column) -> Column:
-    """A polygon in degrees as metres east and north of a place."""
-
-    def placed(k: Column) -> Column:
-        return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(((p["x"] - lon) * k["x"]).alias("x"), ((p["y"] - lat) * k["y"]).alias("y"))))
-
-    x, y = metres_per_degree(lat)
-    return let(F.struct(x.alias("x"), y.alias("y")), placed)
-
-
 def geography_distance(lon: Column, lat: Column, rings: Column) -> Column:
     """Metres from a place to a polygon in degrees, 0 where it covers the place.
 
     Degrees are measured by the spheroid's radii at the place, so the error
     grows with the square of the distance: below a millimetre within 100 m.
     """
-    return let(local_rings(lon, lat, rings), lambda r: rings_distance(F.lit(0.0), F.lit(0.0), r))
+    x, y = metres_per_degree(lat)
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda k: rings_distance(lon, lat, rings, (k["x"], k["y"])))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subsidia.functions.geo import box_distance, range_offset, rings_box, rings_gap
-from subsidia.functions.geodesy import geography_distance, metres_per_degree
+from subsidia.functions.geodesy import metres_per_degree
 from subsidia.operators.measure import with_distances
 from subsidia.session import dealt, task_count
 
@@ -135,14 +135,19 @@ def assign_geography(points: DataFrame, buildings: DataFrame, max_distance: floa
     """
     height = max_distance / 110_000
     band = lambda lat: F.floor(lat / height)
+    tasks = max(task_count(buildings, BUILDINGS), task_count(points, POINTS))
     box = buildings.where(F.size("rings") > 0).withColumn("box", rings_box(F.col("rings")))
     rows = box.withColumn("cell_y", F.explode(F.sequence(band(F.col("box.y0") - height), band(F.col("box.y1") + height))))
     width = _band_width(F.col("cell_y"), height, max_distance)
     # The distance is less than a cell's width anywhere in the band, so a cell on either side is enough.
     rows = rows.withColumn("cell_x", F.explode(F.sequence(F.floor(F.col("box.x0") / width) - 1, F.floor(F.col("box.x1") / width) + 1)))
-    rows = rows.select("cell_x", "cell_y", F.col("building_id").alias("candidate"), "rings")
-    placed = points.select("code", "track", "lon", "lat", band(F.col("lat")).alias("cell_y")).withColumn("cell_x", F.floor(F.col("lon") / _band_width(F.col("cell_y"), height, max_distance)))
-    met = placed.join(rows, ["cell_x", "cell_y"]).withColumn("distance_m", geography_distance(F.col("lon"), F.col("lat"), F.col("rings"))).where(F.col("distance_m") <= max_distance)
+    rows = rows.select("cell_x", "cell_y", F.col("building_id").alias("candidate"), "box", "rings")
+    kx, ky = metres_per_degree(F.col("lat"))
+    placed = points.select("code", "track", "lon", "lat", kx.alias("kx"), ky.alias("ky"), band(F.col("lat")).alias("cell_y")).withColumn("cell_x", F.floor(F.col("lon") / _band_width(F.col("cell_y"), height, max_distance)))
+    # A polygon is never nearer than its box, in the same measure.
+    off = lambda c, low, high, k: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0)) * F.col(k) <= max_distance + 1e-6
+    near = met_in_cells(placed, rows, ["cell_x", "cell_y"], tasks).where(off("lon", "box.x0", "box.x1", "kx") & off("lat", "box.y0", "box.y1", "ky"))
+    met = with_distances(near.select("code", "track", "candidate", "lon", "lat", "kx", "ky", "rings"), {"distance_m": ("lon", "lat", "kx", "ky")}).where(F.col("distance_m") <= max_distance)
     return met.groupBy("code", "track").agg(F.min(F.struct("distance_m", "candidate")).alias("b")).select("code", "track", F.col("b.candidate").alias("building_id"), "b.distance_m")
 
 
