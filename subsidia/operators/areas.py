@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,46 @@ from pyspark.sql import functions as F
 from subsidia.functions import overlay
 from subsidia.functions.geo import range_offset, rings_cover
 from subsidia.operators.assign import CELL, with_boxes, with_cells
+from subsidia.operators.measure import flat_rings
+from subsidia.session import dealt, task_count
 
-_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+_VERTEX = [pa.field("x", pa.float64()), pa.field("y", pa.float64())]
+#: Buildings whose areas are one task's work.
+BUILDINGS = 5_000
+#: Outlines that a worker remembers: those of a building serve all its tracks, and buildings of one plan.
+REMEMBERED = 4_096
 
 
-def candidate_areas(buildings: DataFrame, tracks: DataFrame, *, slack: float = 2.0, low: float = 3.0, high: float = 30.0, multiplier: float = 1.0, segments: int = 8, incidence: DataFrame | None = None) -> DataFrame:
+@lru_cache(REMEMBERED)
+def _grown(vertices: bytes, sizes: tuple[int, ...], slack: float, segments: int) -> list[np.ndarray]:
+    return overlay.grown(np.split(np.frombuffer(vertices).reshape(-1, 2), np.cumsum(sizes)[:-1]), slack, segments)
+
+
+@lru_cache(REMEMBERED)
+def _area(vertices: bytes, sizes: tuple[int, ...], shift: tuple[float, float], slack: float, segments: int) -> list[np.ndarray]:
+    """The area of a polygon given from its first vertex, which is all that it depends on."""
+    return overlay.moved_union(_grown(vertices, sizes, slack, segments), shift)
+
+
+def _areas(rings: pa.Array, shifts: np.ndarray, slack: float, segments: int) -> pa.Array:
+    ring_of, vertex_of, *xy = flat_rings(rings)
+    places, found, count = np.stack(xy, 1), [], []
+    for i, shift in enumerate(shifts.tolist()):
+        ends = vertex_of[ring_of[i] : ring_of[i + 1] + 1]
+        if len(ends) < 2 or ends[0] == ends[1]:
+            count.append(0)
+            continue
+        own = places[ends[0] : ends[-1]]
+        made = _area((own - own[0]).tobytes(), tuple(np.diff(ends).tolist()), tuple(shift), slack, segments)
+        found += [r + own[0] for r in made]
+        count.append(len(made))
+    starts = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    x, y = np.concatenate(found or [np.zeros((0, 2))]).T
+    vertices = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], fields=_VERTEX)
+    return pa.ListArray.from_arrays(starts(count), pa.ListArray.from_arrays(starts([len(r) for r in found]), vertices))
+
+
+def candidate_areas(buildings: DataFrame, tracks: DataFrame, *, slack: float = 2.0, low: float = 3.0, high: float = 30.0, multiplier: float = 1.0, segments: int = 8, incidence: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """A row for each building and track: the range offset, its parts, and ``area``.
 
     The area is the building's polygon, united with its copy moved away from
@@ -24,26 +60,26 @@ def candidate_areas(buildings: DataFrame, tracks: DataFrame, *, slack: float = 2
     quarter.  It comes as rings, even-odd: holes are rings.  Buildings have
     building_id, height and ``rings``; tracks are a small dimension with the
     range vector and default incidence, in place of which ``incidence``
-    (building_id, track, incidence_deg) may give a building's own.
+    (building_id, track, incidence_deg) may give a building's own.  Columns of
+    ``buildings`` named in ``also`` go along.
     """
-    rows = buildings.where(F.size("rings") > 0).select("building_id", "height", "rings").join(F.broadcast(tracks.select("track", "default_incidence_deg", "range_dx", "range_dy")))
+    tasks = task_count(buildings, BUILDINGS)
+    rows = buildings.where(F.size("rings") > 0).select("building_id", "height", *also, "rings").join(F.broadcast(tracks.select("track", "default_incidence_deg", "range_dx", "range_dy")))
     angle = F.col("default_incidence_deg")
     if incidence is not None:
         rows, angle = rows.join(incidence, ["building_id", "track"], "left"), F.coalesce("incidence_deg", angle)
     rows = rows.withColumn("range_offset_m", range_offset(F.col("height"), angle, multiplier=multiplier, low=low, high=high))
-    rows = rows.select("building_id", "track", "range_offset_m", (F.col("range_dx") * F.col("range_offset_m")).alias("shift_x_m"), (F.col("range_dy") * F.col("range_offset_m")).alias("shift_y_m"), "rings")
+    rows = rows.select("building_id", "track", "range_offset_m", (F.col("range_dx") * F.col("range_offset_m")).alias("shift_x_m"), (F.col("range_dy") * F.col("range_offset_m")).alias("shift_y_m"), *also, "rings")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rings, dx, dy in zip(batch["rings"], batch["shift_x_m"].to_pylist(), batch["shift_y_m"].to_pylist()):
-                own = [np.array([(p["x"], p["y"]) for p in r]).reshape(-1, 2) for r in rings.as_py()]
-                out.append([[{"x": x, "y": y} for x, y in r.tolist()] for r in overlay.grown_union(own, (dx, dy), slack, segments)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _RINGS)], [*batch.schema.names[:-1], "area"])
+            shifts = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("shift_x_m", "shift_y_m")], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _areas(batch["rings"], shifts, slack, segments)], [*batch.schema.names[:-1], "area"])
 
     kinds = dict(rows.dtypes)
     kept = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "rings")
-    return rows.mapInArrow(made, f"{kept}, area array<array<struct<x:double,y:double>>>")
+    # A building's tracks are one after the other, so that its outline is at hand.
+    return dealt(rows, "building_id", tasks=tasks).sortWithinPartitions("building_id", "track").mapInArrow(made, f"{kept}, area array<array<struct<x:double,y:double>>>")
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsidia.functions import geodesy
-from subsidia.functions.geo import FLATTENING, SEMI_MAJOR, rings_cover
+from subsidia.functions.geo import FLATTENING, SEMI_MAJOR
 from subsidia.operators import areas, assign
+from subsidia.operators.measure import with_distances
 from subsidia.plans.catalog import query
 from subsidia.plans.layers import EDGES, OUTER, polygons
 from subsidia.sources import adapters
@@ -86,9 +87,11 @@ FROM v_buildings b, (VALUES (44, 38.81), (95, 38.48)) t(track, inc)""")
 def candidate_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of all buildings by track; whether a corner of the building and of its moved copy lie in them."""
     corner = F.get(F.get("rings", F.lit(0)), F.lit(0))
-    found = _areas(spark, sf_dir).join(polygons(spark, sf_dir).select("building_id", corner.alias("c")), "building_id")
-    held = rings_cover(F.col("c.x"), F.col("c.y"), F.col("area")) & rings_cover(F.col("c.x") + F.col("shift_x_m"), F.col("c.y") + F.col("shift_y_m"), F.col("area"))
-    return found.select("building_id", F.col("track").cast("int").alias("track"), F.round("range_offset_m", 6).alias("range_offset_m"), held.alias("holds_both"))
+    tracks = track_geometry(spark).where("dataset_id = 'salzburg_snt'")
+    found = areas.candidate_areas(polygons(spark, sf_dir).withColumn("c", corner), tracks, also=("c",))
+    places = found.select("building_id", "track", "range_offset_m", F.col("c.x").alias("x"), F.col("c.y").alias("y"), (F.col("c.x") + F.col("shift_x_m")).alias("moved_x"), (F.col("c.y") + F.col("shift_y_m")).alias("moved_y"), "area")
+    found = with_distances(places, {"own": ("x", "y"), "moved": ("moved_x", "moved_y")}, "area")
+    return found.select("building_id", F.col("track").cast("int").alias("track"), F.round("range_offset_m", 6).alias("range_offset_m"), F.expr("own = 0 AND moved = 0").alias("holds_both"))
 
 
 @query("candidate_points", f"""

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,31 @@ def test_assigned_points_lie_in_areas(spark, sf_dir):
     placed = assign.assign_buildings(points, houses, tracks, slack=1.95).where("method IN ('within', 'directional_buffer')").select("code", "building_id")
     held = areas.points_in_areas(points, areas.candidate_areas(houses, tracks)).select("code", "building_id")
     assert placed.count() > 100 and placed.join(held, ["code", "building_id"], "left_anti").count() == 0
+
+
+def test_areas_are_made_once_for_a_plan(spark, monkeypatch):
+    """Buildings of one plan at different places share an outline, whatever their tracks; each has its own area, where it stands."""
+    made = []
+    own = overlay.grown
+    monkeypatch.setattr(overlay, "grown", lambda *a: made.append(1) or own(*a))
+    areas._grown.cache_clear()
+    areas._area.cache_clear()
+    plan = np.array([(0.0, 0.0), (8.0, 0.0), (8.0, 6.0), (0.0, 6.0)])
+    vertex = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    shapes = [[vertex(plan + (350_000 + 20 * i, 5_290_000))] for i in range(6)] + [[], [[]], [vertex(plan * 2), vertex(plan / 2 + 3)]]
+    shifts = np.array([(3.0 * (i % 2), -2.0) for i in range(len(shapes))])
+    got = areas._areas(pa.array(shapes, areas._areas(pa.array([[vertex(plan)]]), shifts[:1], 2.0, 8).type), shifts, 2.0, 8).to_pylist()
+    assert len(made) == 2 and got[6] == got[7] == []
+    for rings, shift, area in zip(shapes, shifts, got):
+        want = overlay.grown_union([np.array([(p["x"], p["y"]) for p in r]) for r in rings], tuple(shift.tolist()), 2.0) if rings and rings[0] else []
+        assert area == [vertex(r) for r in want]
+
+
+def test_areas_are_dealt(spark, sf_dir):
+    """Work on areas is divided by their number and not by the bytes of the buildings' table."""
+    from subsidia.plans.geography import track_geometry
+    from subsidia.plans.layers import polygons
+
+    shown = lambda df: df._jdf.queryExecution().toString()
+    found = areas.candidate_areas(polygons(spark, sf_dir), track_geometry(spark).where("dataset_id = 'salzburg_snt'"))
+    assert "REPARTITION_BY_NUM" in shown(found)
