@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsidia.functions import overlay
-from subsidia.functions.geo import range_offset, rings_cover
-from subsidia.operators.assign import CELL, with_boxes, with_cells
-from subsidia.operators.measure import flat_rings
-from subsidia.session import dealt, task_count
+from subsidia.functions.geo import range_offset
+from subsidia.operators.assign import CELL, POINTS, met_in_cells, with_boxes, with_cells
+from subsidia.operators.measure import BORDER, flat_rings, with_distances
+from subsidia.session import counted, dealt, task_count
 
 _VERTEX = [pa.field("x", pa.float64()), pa.field("y", pa.float64())]
-#: Buildings whose areas are one task's work.
-BUILDINGS = 5_000
+#: Buildings whose areas are one task's work, and areas of whose tables one task takes.
+BUILDINGS, AREAS = 5_000, 50_000
 #: Outlines that a worker remembers: those of a building serve all its tracks, and buildings of one plan.
 REMEMBERED = 4_096
 
@@ -84,8 +84,11 @@ def candidate_areas(buildings: DataFrame, tracks: DataFrame, *, slack: float = 2
 
 def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
     """(code, track, building_id) of the points (code, track, x_m, y_m) in the areas of their track, over grid cells."""
-    boxed = with_boxes(areas.select("building_id", "track", F.col("area").alias("rings")))
-    cells = with_cells(boxed, F.col("cx") - F.col("hw"), F.col("cy") - F.col("hh"), F.col("cx") + F.col("hw"), F.col("cy") + F.col("hh")).select("cell_x", "cell_y", "building_id", "track", "rings")
+    areas, seen = counted(areas.select("building_id", "track", F.col("area").alias("rings")), "areas")
+    boxed = with_boxes(areas)
+    cells = with_cells(boxed, F.col("cx") - F.col("hw"), F.col("cy") - F.col("hh"), F.col("cx") + F.col("hw"), F.col("cy") + F.col("hh")).select("cell_x", "cell_y", "building_id", "track", "cx", "cy", "hw", "hh", "rings")
     placed = points.select("code", "track", "x_m", "y_m", F.floor(F.col("x_m") / CELL).alias("cell_x"), F.floor(F.col("y_m") / CELL).alias("cell_y"))
-    met = placed.join(cells, ["cell_x", "cell_y", "track"]).where(rings_cover(F.col("x_m"), F.col("y_m"), F.col("rings")))
-    return met.select("code", "track", "building_id")
+    tasks = max(task_count(points, POINTS), -(-seen["rows"] // AREAS))
+    held = lambda at, middle, half: F.abs(F.col(at) - F.col(middle)) <= F.col(half) + 1e3 * BORDER
+    met = met_in_cells(placed, cells, ["cell_x", "cell_y", "track"], tasks).where(held("x_m", "cx", "hw") & held("y_m", "cy", "hh"))
+    return with_distances(met.select("code", "track", "building_id", "x_m", "y_m", "rings"), {"distance_m": ("x_m", "y_m")}).where("distance_m = 0").drop("distance_m")

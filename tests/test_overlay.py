@@ -99,11 +99,14 @@ def test_areas_are_made_once_for_a_plan(spark, monkeypatch):
         assert area == [vertex(r) for r in want]
 
 
-def test_areas_are_dealt(spark, sf_dir):
-    """Work on areas is divided by their number and not by the bytes of the buildings' table."""
+def test_areas_are_dealt_and_points_measured_in_batches(spark, sf_dir):
+    """Work on areas is divided by their number and not by the bytes of the buildings' table; points in them are not told by interpreted expressions."""
     from subsidia.plans.geography import track_geometry
     from subsidia.plans.layers import polygons
+    from subsidia.sources import adapters
 
     shown = lambda df: df._jdf.queryExecution().toString()
     found = areas.candidate_areas(polygons(spark, sf_dir), track_geometry(spark).where("dataset_id = 'salzburg_snt'"))
     assert "REPARTITION_BY_NUM" in shown(found)
+    held = shown(areas.points_in_areas(adapters.points(spark, sf_dir), found))
+    assert "MapInArrow" in held and "lambda e" not in held and "SortMergeJoin [cell_x" in held
