@@ -6,11 +6,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsidia.functions.classify import building_stability_band, stability_band
-from subsidia.operators.batches import in_groups
+from subsidia.operators.batches import group_starts, in_groups
 from subsidia.session import materialize
 
 #: Draws and seed; a group's seed adds the code points of its key.
@@ -20,6 +21,13 @@ PER_PART = 100_000
 #: Numbers drawn at a time, and points of a group up to which it is drawn with others.
 HELD, SMALL = 2_000_000, 64
 
+# What is kept of a building's draws, in Arrow and for Spark.
+_SPREAD = pa.struct([(c, pa.float64()) for c in ("mean", "median", "p05", "p95", "ci_width")])
+_TRACK = pa.struct([("points", pa.int64()), ("support", pa.float64()), ("width", pa.float64())])
+_DRAWN = pa.schema([("building_id", pa.string()), ("tracks", pa.int64()), ("of_tracks", pa.list_(_TRACK)), ("motion_draws", _SPREAD), ("agreement_draws", _SPREAD)])
+_SPREAD_SQL = "struct<mean:double,median:double,p05:double,p95:double,ci_width:double>"
+_DRAWN_SQL = f"building_id string, tracks long, of_tracks array<struct<points:long,support:double,width:double>>, motion_draws {_SPREAD_SQL}, agreement_draws {_SPREAD_SQL}"
+
 
 def key_seed(key: str, base: int = SEED) -> int:
     return base + sum(map(ord, key))
@@ -106,19 +114,42 @@ def _distributions(several: DataFrame, key: str, allowed: Column) -> DataFrame:
     return rows.select(key, "tracks", distribution(mean).alias("motion"), distribution(F.when(F.col("tracks") >= 2, agreement).otherwise(none)).alias("agreement"))
 
 
-def bootstrap_draws(rows: DataFrame, keys: list[str], value: str, order: str, draws: int = DRAWS) -> DataFrame:
-    """The draws themselves, one array for each group of ``keys``; the groups are the points of one main cluster."""
-    types = dict(rows.dtypes)
-
-    def drawn(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        first = table.select(keys).take(starts[:-1])
-        names = [":".join(str(r[k]) for k in keys) for r in first.to_pylist()]
-        m = medians_of_groups(table["v"].to_numpy(), starts, draws, [key_seed(k) for k in names])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * draws), pa.array(m.ravel()))
-        return first.append_column("points", pa.array(np.diff(starts), pa.int64())).append_column("draws", lists)
-
-    chosen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
-    return in_groups(chosen, keys, ["o"], drawn, ", ".join(f"{k} {types[k]}" for k in keys) + ", points long, draws array<double>")
+def _spread(m: np.ndarray) -> dict[str, np.ndarray]:
+    """``distribution`` of each row of ``m``."""
+    ordered, n = np.sort(m, axis=1), m.shape[1]
+
+    def at(q: float) -> np.ndarray:
+        place = q * (n - 1)
+        low, high = ordered[:, int(np.floor(place))], ordered[:, int(np.ceil(place))]
+        return low + (high - low) * (place - np.floor(place))
+
+    low, high = at(0.05), at(0.95)
+    return {"mean": np.cumsum(m, axis=1)[:, -1] / n, "median": at(0.5), "p05": low, "p95": high, "ci_width": high - low}
+
+
+def _drawn_buildings(table: pa.Table, starts: np.ndarray, draws: int) -> pa.Table:
+    """What a building's draws come to: its tracks' points, support and width, and the spread of its motion and agreement."""
+    valid = pc.is_valid(table["v"]).to_numpy()
+    of_track = group_starts(table, ["building_id", "track"])[:-1]
+    count = np.add.reduceat(valid.astype(np.int64), of_track)
+    some = np.flatnonzero(count)
+    if not len(some):
+        return _DRAWN.empty_table()
+    support = np.fmax.reduceat(table["support"].to_numpy(), of_track)[some]
+    first = table.select(["building_id", "track", "allowed"]).take(of_track[some])
+    seeds = [key_seed(f"{b}:{t}") for b, t in zip(first["building_id"].to_pylist(), first["track"].to_pylist())]
+    m = medians_of_groups(table["v"].filter(pa.array(valid)).to_numpy(), np.append(0, np.cumsum(count[some])), draws, seeds)
+    owner = np.searchsorted(starts, of_track[some], "right")
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    tracks = np.diff(np.append(at, len(owner)))
+    several = tracks >= 2
+    allowed = first["allowed"].to_numpy()[at]
+    agreement = np.exp(-(np.maximum.reduceat(m, at) - np.minimum.reduceat(m, at))[several] / allowed[several, None])
+    widths = pa.StructArray.from_arrays([pa.array(count[some]), pa.array(support, from_pandas=True), pa.array(_spread(m)["ci_width"])], fields=list(_TRACK))
+    spread = lambda m: pa.StructArray.from_arrays([pa.array(v) for v in _spread(m).values()], fields=list(_SPREAD))
+    found = spread(agreement).take(pa.array(np.where(several, np.cumsum(several) - 1, 0), mask=~several)) if several.any() else pa.nulls(len(at), _SPREAD)
+    columns = [first["building_id"].take(at), pa.array(tracks), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), widths), spread(np.add.reduceat(m, at) / tracks[:, None]), found]
+    return pa.Table.from_arrays(columns, schema=_DRAWN)
 
 
 def building_stability(points: DataFrame, buildings: DataFrame, draws: int = DRAWS) -> DataFrame:
@@ -130,14 +161,11 @@ def building_stability(points: DataFrame, buildings: DataFrame, draws: int = DRA
     reliable clusters and the allowed difference.  Notes name what does not fit
     together.
     """
-    keys = ["building_id", "track"]
-    drawn = bootstrap_draws(points, keys, "vertical", "code", draws)
-    support = points.groupBy(*keys).agg(F.max("support").alias("support"))
-    tracks = drawn.join(support, keys).withColumn("width", distribution(F.col("draws"))["ci_width"])
-    tracks = tracks.withColumn("band", stability_band(F.col("points"), F.col("support"), F.col("width")))
-    bands = tracks.groupBy("building_id").agg(F.sort_array(F.collect_list("band")).alias("bands"))
-    rows = drawn.join(buildings.select("building_id", "allowed"), "building_id").select("building_id", "draws", "allowed")
-    out = _with_allowed(rows).join(bands, "building_id").join(buildings, "building_id")
+    rows = points.join(buildings.select("building_id", F.greatest("allowed", F.lit(0.25)).alias("allowed")), "building_id")
+    rows = rows.select(F.col("building_id").cast("string").alias("building_id"), "track", F.col("vertical").cast("double").alias("v"), F.col("support").cast("double").alias("support"), "allowed", F.col("code").alias("o"))
+    drawn = in_groups(rows, ["building_id"], ["track", "o"], lambda table, starts: _drawn_buildings(table, starts, draws), _DRAWN_SQL)
+    bands = F.sort_array(F.transform("of_tracks", lambda t: stability_band(t["points"], t["support"], t["width"])))
+    out = drawn.withColumn("bands", bands).join(buildings, "building_id")
     width, high = F.col("motion_draws.ci_width"), F.col("reliability") >= 0.75
     error = F.abs(F.col("motion_draws.median") - F.col("motion"))
     notes = F.array_compact(F.array(
@@ -151,12 +179,6 @@ def building_stability(points: DataFrame, buildings: DataFrame, draws: int = DRA
     return out.select("building_id", "tracks", "bands", "motion_draws", "agreement_draws", building_stability_band(F.col("bands"), width, F.col("agreement_draws.ci_width")).alias("band"), notes.alias("notes"))
 
 
-def _with_allowed(rows: DataFrame) -> DataFrame:
-    """The distributions with each building's own allowed difference."""
-    several = rows.groupBy("building_id").agg(F.collect_list("draws").alias("of_tracks"), F.count("*").alias("tracks"), F.max("allowed").alias("allowed"))
-    return _distributions(several, "building_id", F.col("allowed")).withColumnsRenamed({"motion": "motion_draws", "agreement": "agreement_draws"})
-
-
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Hull from the lowest left point, counter-clockwise."""
     points = sorted(set(points))

@@ -205,3 +205,36 @@ def test_details_parse_a_roll_up_once_chosen(spark, monkeypatch):
     assert {f.name: f.dataType.simpleString() for f in stored["detail-rows"].schema["m"].dataType}["building_rollup"] == "string"
     assert got["rollup"] == metas[1]["building_rollup"] and got["clusters"] == [c(1), c(2)]
     assert (got["point_count"], got["noise_point_count"], got["excluded_point_count"]) == (4, 1, 1)
+
+
+def test_stability_of_many_buildings_in_one_call(spark, small_batches):
+    """Draws never leave the batch that they are made in; points without a value count for support only, tracks of such points not at all."""
+    rng, rows = np.random.default_rng(10), []
+    for b in range(30):
+        for t in (44, 95, 117)[: b % 4]:
+            for i in range(int(rng.integers(1, 6))):
+                rows.append((f"b{b:02d}", t, f"{i:03d}", float(rng.normal()) if (b + i) % 5 else None, float(rng.random())))
+    points = spark.createDataFrame(rows, "building_id string, track int, code string, vertical double, support double")
+    own = "building_id string, status string, motion double, agreement double, reliability double, differential boolean, reliable_clusters int, allowed double"
+    buildings = spark.createDataFrame([(f"b{b:02d}", "ok", 0.0, 0.9, 0.5, False, 3, 0.1 if b % 3 else 1.5) for b in range(30)], own)
+    found = resample.building_stability(points, buildings, 80)
+    assert "MapInArrow" in plan(found) and "collect_list(draws" not in plan(found)
+    got = {r.building_id: r for r in found.collect()}
+    want = {}
+    for b in sorted({r[0] for r in rows}):
+        m, bands = [], []
+        for t in sorted({r[1] for r in rows if r[0] == b}):
+            v = np.array([r[3] for r in rows if r[:2] == (b, t) and r[3] is not None])
+            if len(v):
+                d = resample.bootstrap_medians(v, 80, resample.key_seed(f"{b}:{t}"))
+                m.append(d)
+                width, support = np.subtract(*np.percentile(d, [95, 5])), max(r[4] for r in rows if r[:2] == (b, t))
+                bands.append("unstable" if len(v) < 2 else "stable" if width <= 0.75 and support >= 0.35 else "monitor" if width <= 1.5 and support >= 0.2 else "unstable")
+        if m:
+            want[b] = (len(m), sorted(bands), np.mean(m, 0), np.exp(-np.ptp(m, 0) / (0.25 if int(b[1:]) % 3 else 1.5)) if len(m) > 1 else None)
+    assert set(got) == set(want) and {w[0] for w in want.values()} == {1, 2, 3} and len({x for w in want.values() for x in w[1]}) > 1
+    for b, (tracks, bands, motion, agreement) in want.items():
+        r = got[b]
+        assert (r.tracks, r.bands) == (tracks, bands)
+        for d, v in ((r.motion_draws, motion), (r.agreement_draws, agreement)):
+            assert d is None if v is None else tuple(d) == pytest.approx((v.mean(), *np.percentile(v, [50, 5, 95]), np.subtract(*np.percentile(v, [95, 5]))), abs=1e-12)
