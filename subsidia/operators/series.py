@@ -52,11 +52,19 @@ def displacement_features(series: DataFrame, keys: list[str], value: str = "disp
 
 
 def amplitude_features(series: DataFrame, keys: list[str], value: str = "amplitude") -> DataFrame:
-    """Mean, population deviation, their ratio, and the share of spikes beyond two deviations (0.5 at least)."""
-    stats = series.groupBy(*keys).agg(F.avg(value).alias("amp_mean"), F.stddev_pop(value).alias("amp_std"))
-    spike = F.abs(F.col(value) - F.col("amp_mean")) > 2 * F.greatest("amp_std", F.lit(0.5))
-    shares = series.join(stats, keys).where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(spike.cast("double")).alias("spike_rate"))
-    return stats.join(shares, keys, "left").withColumn("amp_cv", F.col("amp_std") / F.greatest(F.abs("amp_mean"), F.lit(0.5)))
+    """Mean, population deviation, their ratio, and the share of spikes beyond two deviations (0.5 at least).
+
+    A series' values are added up by date, first for the mean and then around
+    it, so that neither the division of the rows nor a running mean decides
+    whether a value is just two deviations away or beyond.
+    """
+    known = F.when(F.col(value).isNotNull(), F.struct("date", F.col(value).cast("double").alias("v")))
+    rows = series.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(known)), lambda r: r["v"]).alias("x"))
+    mean = lambda values: F.when(F.size("x") > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size("x"))
+    rows = rows.withColumn("amp_mean", mean(F.col("x")))
+    rows = rows.withColumn("amp_std", F.sqrt(mean(F.transform("x", lambda v: (v - F.col("amp_mean")) * (v - F.col("amp_mean"))))))
+    spikes = F.filter("x", lambda v: F.abs(v - F.col("amp_mean")) > 2 * F.greatest("amp_std", F.lit(0.5)))
+    return rows.select(*keys, "amp_mean", "amp_std", F.when(F.size("x") > 0, F.size(spikes) / F.size("x")).alias("spike_rate"), (F.col("amp_std") / F.greatest(F.abs("amp_mean"), F.lit(0.5))).alias("amp_cv"))
 
 
 def missing_rate(features: DataFrame, series: DataFrame, track: str = "track") -> DataFrame:

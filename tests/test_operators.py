@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -258,3 +259,14 @@ def test_whole_run_has_the_neighbourhood(spark, sf_dir):
     seen = b[b.misassigned_points.notna()]
     assert len(seen) and (seen.misassigned_points == wrong.reindex(seen.index)).all()
     assert features.anomaly_buildings(spark, sf_dir).columns[-len(features.NEIGHBOURHOOD):] == list(features.NEIGHBOURHOOD)
+
+
+def test_two_deviations_are_no_spike(spark):
+    """Eight values of mean 16 and deviation 7, one of them 30: just two deviations away, in whatever order they come and are divided."""
+    x = [4.0, 10.0, 14.0, 16.0, 18.0, 18.0, 18.0, 30.0]
+    assert sum(x) / 8 == 16 and sum((v - 16) ** 2 for v in x) / 8 == 49
+    rows = [(k, d, v) for k, order in enumerate(itertools.islice(itertools.permutations(x), 0, 40_000, 97)) for d, v in enumerate(order)]
+    frame = spark.createDataFrame(rows + [(-1, 0, None), (-2, 0, 3.0), (-2, 1, None)], "code int, date int, amplitude double").repartition(3)
+    got = {r.code: r for r in series.amplitude_features(frame, ["code"]).collect()}
+    assert len(got) == 415 and {(r.amp_mean, r.amp_std, r.spike_rate, r.amp_cv) for k, r in got.items() if k >= 0} == {(16.0, 7.0, 0.0, 0.4375)}
+    assert tuple(got[-1])[1:] == (None,) * 4 and (got[-2].amp_mean, got[-2].amp_std, got[-2].spike_rate) == (3.0, 0.0, 0.0)
