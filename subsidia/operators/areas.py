@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +22,36 @@ BUILDINGS, AREAS = 5_000, 50_000
 REMEMBERED = 4_096
 
 
-@lru_cache(REMEMBERED)
-def _grown(vertices: bytes, sizes: tuple[int, ...], slack: float, segments: int) -> list[np.ndarray]:
-    return overlay.grown(np.split(np.frombuffer(vertices).reshape(-1, 2), np.cumsum(sizes)[:-1]), slack, segments)
+_GROWN: dict[tuple, list[np.ndarray]] = {}
+_AREAS: dict[tuple, list[np.ndarray]] = {}
 
 
-@lru_cache(REMEMBERED)
-def _area(vertices: bytes, sizes: tuple[int, ...], shift: tuple[float, float], slack: float, segments: int) -> list[np.ndarray]:
-    """The area of a polygon given from its first vertex, which is all that it depends on."""
-    return overlay.moved_union(_grown(vertices, sizes, slack, segments), shift)
+def _all(memory: dict[tuple, list[np.ndarray]], keys: list[tuple], made: Callable[[list[tuple]], list[list[np.ndarray]]]) -> list[list[np.ndarray]]:
+    """The outlines of all keys; those that are not in memory are made together, and the oldest forgotten."""
+    missing = [k for k in dict.fromkeys(keys) if k not in memory]
+    new = dict(zip(missing, made(missing)))
+    found = [new[k] if k in new else memory[k] for k in keys]
+    memory.update(new)
+    for k in list(memory)[: max(0, len(memory) - REMEMBERED)]:
+        del memory[k]
+    return found
 
 
 def _areas(rings: pa.Array, shifts: np.ndarray, slack: float, segments: int) -> pa.Array:
+    """The area of each polygon; it depends on the vertices as seen from the first one, and on the shift."""
     ring_of, vertex_of, *xy = flat_rings(rings)
-    places, found, count = np.stack(xy, 1), [], []
+    places, origins, keys = np.stack(xy, 1), {}, []
     for i, shift in enumerate(shifts.tolist()):
         ends = vertex_of[ring_of[i] : ring_of[i + 1] + 1]
-        if len(ends) < 2 or ends[0] == ends[1]:
-            count.append(0)
-            continue
-        own = places[ends[0] : ends[-1]]
-        made = _area((own - own[0]).tobytes(), tuple(np.diff(ends).tolist()), tuple(shift), slack, segments)
-        found += [r + own[0] for r in made]
-        count.append(len(made))
+        if len(ends) > 1 and ends[0] < ends[1]:
+            own = places[ends[0] : ends[-1]]
+            origins[i] = own[0]
+            keys.append(((own - own[0]).tobytes(), tuple(np.diff(ends).tolist()), slack, segments, tuple(shift)))
+    polygon = lambda k: np.split(np.frombuffer(k[0]).reshape(-1, 2), np.cumsum(k[1])[:-1])
+    grown = lambda ks: _all(_GROWN, [k[:4] for k in ks], lambda ks: overlay.grown([polygon(k) for k in ks], slack, segments))
+    areas = dict(zip(origins, _all(_AREAS, keys, lambda ks: overlay.moved_unions(grown(ks), [k[4] for k in ks]))))
+    count = [len(areas.get(i, ())) for i in range(len(shifts))]
+    found = [r + origins[i] for i, area in areas.items() for r in area]
     starts = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
     x, y = np.concatenate(found or [np.zeros((0, 2))]).T
     vertices = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], fields=_VERTEX)

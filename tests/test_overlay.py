@@ -85,9 +85,9 @@ def test_areas_are_made_once_for_a_plan(spark, monkeypatch):
     """Buildings of one plan at different places share an outline, whatever their tracks; each has its own area, where it stands."""
     made = []
     own = overlay.grown
-    monkeypatch.setattr(overlay, "grown", lambda *a: made.append(1) or own(*a))
-    areas._grown.cache_clear()
-    areas._area.cache_clear()
+    monkeypatch.setattr(overlay, "grown", lambda polygons, *a: made.extend(polygons) or own(polygons, *a))
+    areas._GROWN.clear()
+    areas._AREAS.clear()
     plan = np.array([(0.0, 0.0), (8.0, 0.0), (8.0, 6.0), (0.0, 6.0)])
     vertex = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
     shapes = [[vertex(plan + (350_000 + 20 * i, 5_290_000))] for i in range(6)] + [[], [[]], [vertex(plan * 2), vertex(plan / 2 + 3)]]
@@ -110,3 +110,15 @@ def test_areas_are_dealt_and_points_measured_in_batches(spark, sf_dir):
     assert "REPARTITION_BY_NUM" in shown(found)
     held = shown(areas.points_in_areas(adapters.points(spark, sf_dir), found))
     assert "MapInArrow" in held and "lambda e" not in held and "SortMergeJoin [cell_x" in held
+
+
+def test_outlines_of_many_shapes_together(monkeypatch):
+    """Shapes of unlike sizes, one of them empty: each has the outline it has alone, and they take few calls."""
+    calls, own = [], overlay._outlined
+    monkeypatch.setattr(overlay, "_outlined", lambda edges, some, out: calls.append(len(some)) or own(edges, some, out))
+    rng = np.random.default_rng(4)
+    shapes = [[star(rng, int(rng.integers(3, 30)), 9.0), star(rng, 5, 9.0) + rng.uniform(-6, 6, 2)] for _ in range(60)] + [[]]
+    got = overlay.outlines(shapes)
+    assert sum(calls) == 60 and len(calls) < 5 and got[60] == []
+    for rings, want in zip(got, [overlay.outline(s) for s in shapes]):
+        assert len(rings) == len(want) and all((a == b).all() for a, b in zip(rings, want))
